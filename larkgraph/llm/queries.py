@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from . import op01_mixing
 from .op10_quality import op10_quality
 
-QUERIES = {"op10_quality": op10_quality}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_mixing": op01_mixing.op1_mixing, "op10_quality": op10_quality}
+ORACLES: dict[str, str] = {"op1_mixing": op01_mixing.oracle()}
