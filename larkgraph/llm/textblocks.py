@@ -70,6 +70,41 @@ def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: i
     return mix((run[ends] - run[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+class KeyTable:
+    """An open hash table from 64-bit keys to entries 0, 1, ... in the order they were added, all by array steps."""
+
+    def __init__(self, most: int):
+        self.slots = 1 << max(10, int(2 * most).bit_length())
+        self.keys, self.entry, self.size = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int32), 0
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys & np.uint64(self.slots - 1)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The entry of every key, -1 where it is unknown. (0 marks a free slot; that key counts as 1.)"""
+        keys = np.maximum(keys, np.uint64(1))
+        out, todo, slot = np.full(len(keys), -1, np.int32), np.arange(len(keys)), self._slot(keys)
+        while len(todo):
+            there = self.keys[slot]
+            hit = there == keys[todo]
+            out[todo[hit]] = self.entry[slot[hit]]
+            more = ~hit & (there != 0)
+            todo, slot = todo[more], (slot[more] + 1) & (self.slots - 1)
+        return out
+
+    def add(self, keys: np.ndarray) -> None:
+        """Adds distinct unknown keys. Of those that want one slot, one gets it and the others go on."""
+        keys = np.maximum(keys, np.uint64(1))
+        todo, slot = np.arange(len(keys)), self._slot(keys)
+        while len(todo):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = keys[todo[free]]
+            got = self.keys[slot] == keys[todo]
+            self.entry[slot[got]] = todo[got] + self.size
+            todo, slot = todo[~got], (slot[~got] + 1) & (self.slots - 1)
+        self.size += len(keys)
+
+
 @dataclass
 class Block:
     """Texts of consecutive rows: their bytes, and where each begins in them."""
@@ -119,7 +154,7 @@ class Block:
         return self.data[self.spans[0][j] : self.spans[1][j]].tobytes()
 
 
-def blocks(texts: pa.Array, word_bytes: np.ndarray = PLAIN, lower: bool = False, most: int = BLOCK_BYTES) -> Iterator[Block]:
+def blocks(texts: pa.Array, word_bytes: np.ndarray = PLAIN, lower: bool = False, most: int = BLOCK_BYTES, kind: type[Block] = Block) -> Iterator[Block]:
     """Blocks of an Arrow column of strings; a null is an empty text."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -136,7 +171,7 @@ def blocks(texts: pa.Array, word_bytes: np.ndarray = PLAIN, lower: bool = False,
     while i < n:
         j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
         part = raw[at[i] : at[j]]
-        yield Block(LOWER[part] if lower else part, at[i : j + 1] - at[i], i, word_bytes)
+        yield kind(LOWER[part] if lower else part, at[i : j + 1] - at[i], i, word_bytes)
         i = j
 
 
