@@ -8,24 +8,52 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkgraph.llm.op10_quality import apply_rules
+from larkgraph.llm import op01_mixing, op02_jaccard_join, op05_decontamination, op07_tokens, op10_quality
 from larkgraph.llm.shared import Scratch, documents
 
-#: Fixed by no SQL: the trained and tokenised parts have no SQL form; tests hold the stages against brute force.
+#: The last stage runs a tokenizer's vocabulary file, which SQL can't express; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what the quality rules reject."""
-    return apply_rules(docs)
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that a quality rule rejects."""
+    return op10_quality.apply_rules(docs)
 
 
-STAGES = [("quality", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document, that of the least id, of each group of near-duplicates."""
+    return op02_jaccard_join.deduplicate(docs, Scratch(spark, "pipeline-near"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that are contaminated by the benchmark's passages."""
+    return op05_decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats and drops documents so that the sources' words come near their targets."""
+    return op01_mixing.mix_documents(docs, Scratch(spark, "pipeline-mix"))
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes the token ids as ORC and returns each document's place, length and checksum in the files."""
+    path = f"{Scratch(spark, 'pipeline-tokens').path}/tokens"
+    op07_tokens.write_tokens(docs, path)
+    return op07_tokens.report(spark, path)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources to target weights", mixing),
+    ("token-ID output", token_output),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order, each on what its predecessor kept."""
     scratch, docs = Scratch(spark, "pipeline"), documents(spark, sf_dir)
-    for name, stage in STAGES:
-        docs = scratch.write(stage(spark, docs, sf_dir), name)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = scratch.write(stage(spark, docs, sf_dir), f"stage{k}")
     return docs
