@@ -4,4 +4,18 @@ from __future__ import annotations
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = "ag_07"
+FLAGSHIP = "an_07"
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a query under the survey's operator id, with its oracle if SQL can express it."""
+
+    def add(f):
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
