@@ -104,10 +104,13 @@ def ql_01(spark, sf_dir):
     return g.page(g.traverse(star.graph(spark, sf_dir), PLAN), PLAN, "focus", "node")
 
 
-@query("gr_04", f"{EDGE}, both_ AS (SELECT src AS node, dst AS other FROM edge UNION ALL SELECT dst, src FROM edge), f0 AS (SELECT 'C:1' AS node), f1 AS (SELECT DISTINCT other AS node FROM both_ JOIN f0 USING (node)), f2 AS (SELECT DISTINCT other AS node FROM both_ JOIN f1 USING (node)), f3 AS (SELECT DISTINCT other AS node FROM both_ JOIN f2 USING (node)), hit AS (SELECT min(h) AS h FROM (SELECT 1 AS h FROM f1 WHERE node = 'R:1' UNION ALL SELECT 2 FROM f2 WHERE node = 'R:1' UNION ALL SELECT 3 FROM f3 WHERE node = 'R:1')) SELECT h AS hops, h + 1 AS nodes FROM hit")
+@query("gr_04", f"""{EDGE}, pair AS (SELECT src AS node, dst AS other FROM edge UNION ALL SELECT dst, src FROM edge),
+    f1 AS (SELECT DISTINCT other AS node FROM pair WHERE node = 'S:1'), f2 AS (SELECT DISTINCT other AS node FROM pair JOIN f1 USING (node)), f3 AS (SELECT DISTINCT other AS node FROM pair JOIN f2 USING (node)), f4 AS (SELECT DISTINCT other AS node FROM pair JOIN f3 USING (node)),
+    hit AS (SELECT min(h) AS h FROM (SELECT 1 AS h FROM f1 WHERE node = 'C:1' UNION ALL SELECT 2 FROM f2 WHERE node = 'C:1' UNION ALL SELECT 3 FROM f3 WHERE node = 'C:1' UNION ALL SELECT 4 FROM f4 WHERE node = 'C:1'))
+    SELECT h::INT AS hops, (h + 1)::INT AS nodes FROM hit""")
 def gr_04(spark, sf_dir):
     """Hops and nodes of a shortest path between two nodes."""
-    path = g.shortest_path(star.graph(spark, sf_dir), "C:1", "R:1", most_hops=3)
+    path = g.shortest_path(star.graph(spark, sf_dir), "S:1", "C:1", most_hops=4)
     return path.agg(F.max("hop").alias("hops"), F.count("*").cast("int").alias("nodes"))
 
 
