@@ -8,9 +8,12 @@ its own plus the documents before it in its file; both come from the ``n_tokens`
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import Scratch, documents
+from .textblocks import PLAIN, Block, KeyTable, blocks, byte_set
 
 
 @dataclass(frozen=True)
@@ -39,59 +43,145 @@ class Encoding:
         return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: Pieces whose ids a worker remembers.
-REMEMBERED = 400_000
-#: Where texts are cut before encoding: the tokenizer itself drops white space and never joins across it.
-CUT = "[ \\t\\n\\r]+"
+#: Pieces whose ids a worker remembers, at about 60 bytes each.
+REMEMBERED = 800_000
+
+_LETTER = byte_set((0x41, 0x5A), (0x61, 0x7A))
+_DIGIT = byte_set((0x30, 0x39))
+_MARK = byte_set((0x21, 0x26), (0x28, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))  # ASCII, but for the apostrophe
+
+
+class Pieces(Block):
+    """Texts cut where the tokenizer always cuts: at white space, around digits, between letters and ASCII marks.
+
+    An apostrophe may begin a contraction, and other characters beyond ASCII may be of any kind, so nothing
+    is cut next to those. Upper-case ASCII letters become lower case, as in the tokenizer's normaliser.
+    """
+
+    @cached_property
+    def spans(self) -> tuple[np.ndarray, np.ndarray]:
+        starts, ends = super().spans
+        letter, digit, mark = _LETTER[self.data], _DIGIT[self.data], _MARK[self.data]
+        latin = np.zeros(len(letter), bool)  # first bytes of U+00C0 to U+00FF, but for the two signs among them
+        latin[:-1] = (self.data[:-1] == 0xC3) & (self.data[1:] != 0x97) & (self.data[1:] != 0xB7)
+        opens, closes = letter | latin, letter.copy()
+        closes[1:] |= latin[:-1]
+        cut = digit[:-1] | digit[1:] | (closes[:-1] & mark[1:]) | (mark[:-1] & opens[1:])
+        inside = self.word_bytes[self.data]
+        at = np.flatnonzero(cut & inside[:-1] & inside[1:]) + 1
+        at = np.setdiff1d(at, starts, assume_unique=True)
+        return np.sort(np.concatenate([starts, at])), np.sort(np.concatenate([ends, at]))
+
+
+def _spelling() -> dict[int, str]:
+    """How byte-level vocabularies spell lower-case letters up to U+00FF: a character for each byte of UTF-8.
+
+    Bytes that print in Latin-1 stand for themselves, the others are counted from U+0100 on.
+    """
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in prints]
+    own = {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(others)}
+    letters_ = [c for c in range(0x61, 0x100) if chr(c).isalpha() and chr(c).islower() and c not in (0xAA, 0xB5, 0xBA)]
+    return {c: "".join(own[b] for b in chr(c).encode()) for c in letters_}
+
+
+SPELLING = _spelling()
+_PLAIN_PIECE = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 
 
 class Encoder:
-    """Encodes texts piece by piece; each distinct piece goes through the tokenizer once.
+    """Encodes texts piece by piece; a worker sends each distinct piece through the tokenizer once.
 
-    The vocabulary's normaliser and pre-tokenizer treat white space as a boundary that leaves no token, so
-    the ids of a text are those of its pieces between ASCII spaces, tabs and line ends, in order.
+    A piece of lower-case letters up to U+00FF is one word to normaliser and pre-tokenizer alike, so it goes
+    to the model at once. Texts that hold the opening of a special token are encoded whole.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
-
-    def pieces(self, pieces: list[str]) -> list[np.ndarray]:
-        new = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = pieces
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[p] = np.array(e.ids, np.int32)
-        return [self.known[p] for p in pieces]
+        self.model = self.tokenizer.model
+        self._forget()
+
+    def _forget(self) -> None:
+        self.table = KeyTable(REMEMBERED)
+        self.at, self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def _learn(self, block: Block, keys: np.ndarray, first: np.ndarray) -> None:
+        """Adds pieces: their hashes and, for each, the place of one in the block."""
+        raw, (starts, ends) = block.data.tobytes(), block.spans
+        pieces = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+        found: list = [None] * len(pieces)
+        rest = []
+        for i, piece in enumerate(pieces):
+            if _PLAIN_PIECE.fullmatch(piece):
+                found[i] = [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(SPELLING))]
+            else:
+                rest.append(i)
+        for a in range(0, len(rest), 10_000):
+            part = rest[a : a + 10_000]
+            for i, coded in zip(part, self.tokenizer.encode_batch_fast([pieces[i] for i in part], add_special_tokens=False)):
+                found[i] = coded.ids
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        pool = np.fromiter((x for ids in found for x in ids), np.int32, int(size.sum()))
+        self.table.add(keys)
+        self.at = np.concatenate([self.at, np.cumsum(size) - size + len(self.pool)])
+        self.size, self.pool = np.concatenate([self.size, size]), np.concatenate([self.pool, pool])
+
+    def _block(self, block: Block, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a block's texts, one after the other, and how many each has."""
+        keys = block.hashes
+        place = self.table.find(keys)
+        lacking = np.flatnonzero(place < 0)
+        if len(lacking):
+            new, first = np.unique(keys[lacking], return_index=True)
+            if len(self.at) + len(new) > REMEMBERED:
+                self._forget()
+                new, first = np.unique(keys, return_index=True)
+                lacking = np.arange(len(keys))
+            self._learn(block, new, lacking[first])
+            place[lacking] = self.table.find(keys[lacking])
+        size, at = self.size[place], self.at[place]
+        run = np.zeros(len(size) + 1, np.int64)
+        np.cumsum(size, out=run[1:])
+        ends = run[block.bounds[1:]] + np.arange(1, len(block.bounds))
+        out, keep = np.full(int(run[-1]) + len(ends), end, np.int32), np.ones(int(run[-1]) + len(ends), bool)
+        keep[ends - 1] = False
+        out[keep] = self.pool[np.repeat(at - run[:-1], size) + np.arange(run[-1])]
+        return out, np.diff(ends, prepend=0)
 
     def texts(self, texts: pa.Array, end: int) -> pa.ListArray:
         """Ids of each text with ``end`` after them, as a list array; a null text is empty."""
-        cut = pc.split_pattern_regex(pc.fill_null(texts, ""), CUT)
-        flat = cut.flatten().dictionary_encode()
-        ids = self.pieces(flat.dictionary.to_pylist())
-        size = np.array([len(x) for x in ids], np.int64)
-        where = np.zeros(len(ids) + 1, np.int64)
-        np.cumsum(size, out=where[1:])
-        pool = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-        piece = flat.indices.to_numpy(zero_copy_only=False)
-        run = np.zeros(len(piece) + 1, np.int64)
-        np.cumsum(size[piece], out=run[1:])
-        bounds = cut.offsets.to_numpy() - cut.offsets[0].as_py()
-        offsets = run[bounds] + np.arange(len(bounds))
-        take = np.repeat(where[piece] - run[:-1], size[piece]) + np.arange(run[-1])
-        out = np.full(offsets[-1], end, np.int32)
-        keep = np.ones(offsets[-1], bool)
-        keep[offsets[1:] - 1] = False
-        out[keep] = pool[take]
-        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(out))
-
-
-def _slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+        special = pc.fill_null(pc.match_substring(texts, "<|"), False)
+        parts, sizes = [], []
+        plain = pc.if_else(special, pa.scalar("", texts.type), texts)
+        for block in blocks(plain, PLAIN, lower=True, most=1 << 20, kind=Pieces):
+            ids, size = self._block(block, end)
+            parts.append(ids)
+            sizes.append(size)
+        ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+        if pc.any(special).as_py():
+            own = np.split(ids, np.cumsum(size)[:-1])
+            for i in np.flatnonzero(special.to_numpy(zero_copy_only=False)):
+                own[i] = np.array([*self.tokenizer.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, end], np.int32)
+            ids, size = np.concatenate(own), np.array(list(map(len, own)))
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(ids))
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The worker's encoder, which outlives a task."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
+def _slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most`` bytes of text each, one row at least."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     run, i = np.cumsum(size), 0
@@ -106,7 +196,7 @@ def encode(docs: DataFrame, how: Encoding) -> DataFrame:
     path, end = how.path(), how.end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for batch in batches:
             for part in _slices(batch, "text"):
                 ids = encoder.texts(part.column("text"), end)
