@@ -83,8 +83,12 @@ def _row(batch: pa.RecordBatch, column: str) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(column)]
 
 
+def _maps(batch: pa.RecordBatch, column: str) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column(column)]
+
+
 def describe(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """kind 0: (id, n, cls) of a document's set. kind 1: a shingle, how many sets of one task hold it at least."""
+    """kind 0: (id, n, cls, bits) of a document's set. kind 1: a shingle, how many sets of one task hold it at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -95,17 +99,19 @@ def describe(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
             keys, n = np.unique(np.concatenate(pending), return_counts=True)
             keys, n = signed(keys[n >= FREQUENT]), n[n >= FREQUENT]
             pending.clear()
-            return out(np.ones(len(keys), np.int32), keys, n, np.zeros(len(keys), np.int64))
+            return out(np.ones(len(keys), np.int32), keys, n, np.zeros(len(keys), np.int64), pa.nulls(len(keys), pa.binary()))
 
-        def out(kind, a, n, cls) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(kind), a if isinstance(a, pa.Array) else pa.array(a), pa.array(n), pa.array(cls)], ["kind", "id", "n", "cls"])
+        def out(*columns) -> pa.RecordBatch:
+            arrays = [x if isinstance(x, pa.Array) else pa.array(x) for x in columns]
+            return pa.RecordBatch.from_arrays(arrays, ["kind", "id", "n", "cls", "bits"])
 
         for batch in batches:
-            sizes, names = [], []
+            sizes, names, maps = [], [], []
             for block in blocks(batch.column("text"), PLAIN, lower=True):
                 for s in shingle_sets(block, k):
                     sizes.append(len(s))
                     names.append(set_id(s) if len(s) else -1)
+                    maps.append(bitmap(s, bitmap_bits(len(s))).tobytes() if len(s) else None)
                     if len(s) and names[-1] not in seen:
                         seen.add(names[-1])
                         pending.append(s)
@@ -115,11 +121,11 @@ def describe(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
                     size = 0
                     if len(seen) > 1_000_000:
                         seen.clear()
-            yield out(np.zeros(len(sizes), np.int32), batch.column("doc_id"), np.array(sizes, np.int64), np.array(names, np.int64))
+            yield out(np.zeros(len(sizes), np.int32), batch.column("doc_id"), np.array(sizes, np.int64), np.array(names, np.int64), pa.array(maps, pa.binary()))
         if pending:
             yield frequent()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "kind int, id long, n long, cls long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "kind int, id long, n long, cls long, bits binary")
 
 
 def tiles(docs: DataFrame, last: np.ndarray, k: int = SHINGLE, per_cent: int = PER_CENT) -> DataFrame:
@@ -169,43 +175,61 @@ def shared_tiles(rows: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(cls, n, shingles) of the classes ``wanted`` (doc_id, cls), from the texts of those documents."""
+    """(cls, shingles) of the classes ``wanted`` (doc_id, cls), from the texts of those documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             asked, row = batch.column("cls").to_numpy(), 0
             for block in blocks(batch.column("text"), PLAIN, lower=True):
-                names, sizes, arrays = [], [], []
+                names, arrays = [], []
                 for s in shingle_sets(block, k):
                     if len(s) and set_id(s) == asked[row]:  # an id may be given to several texts
                         names.append(int(asked[row]))
-                        sizes.append(len(s))
                         arrays.append(s.tobytes())
                     row += 1
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(arrays, pa.binary())], ["cls", "n", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(arrays, pa.binary())], ["cls", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").select("cls", "text")
-    return texts.mapInArrow(run, "cls long, n long, shingles binary")
+    return texts.mapInArrow(run, "cls long, shingles binary")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
-    """Those pairs (a, b) of classes that link: bit counts first, then the exact intersection."""
+def bounded(pairs: DataFrame, maps: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
+    """Those pairs (a, b) of classes whose sizes and bit counts allow a link. ``maps``: cls, n, bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(_row(batch, "x"), _row(batch, "y")):
-                need = int(overlap_needed(len(x), len(y), per_cent))
-                ok = min(len(x), len(y)) >= need
-                if ok:
-                    bits = bitmap_bits(max(len(x), len(y)))
-                    ok = int(bound(len(x), bitmap(x, bits), bitmap(y, bits))) >= need
-                keep.append(ok and len(x) + len(y) - len(np.union1d(x, y)) >= need)
+            for n, m, x, y in zip(batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist(), _maps(batch, "x"), _maps(batch, "y")):
+                width = min(len(x), len(y))
+                x, y = (np.bitwise_or.reduce(v.reshape(-1, width)) for v in (x, y))
+                keep.append(int(bound(n, x, y)) >= overlap_needed(n, m, per_cent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left, right = (sets.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("shingles").alias(s)) for c, s in (("a", "x"), ("b", "y")))
+    left, right = (maps.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(v)) for c, v in (("a", "x"), ("b", "y")))
     near = (100 * F.col("n_a") >= per_cent * F.col("n_b")) & (100 * F.col("n_b") >= per_cent * F.col("n_a"))
-    return pairs.join(left, "a").join(right, "b").where(near).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").where(near).select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def verify(pairs: DataFrame, own: DataFrame, docs: DataFrame, scratch: Scratch, name: str, k: int = SHINGLE, per_cent: int = PER_CENT) -> DataFrame:
+    """Those pairs (a, b) of classes that link, by intersecting the sorted arrays of their shingles.
+
+    Arrays are made for the classes of ``pairs`` alone, from one text of each.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [len(x) + len(y) - len(np.union1d(x, y)) >= overlap_needed(len(x), len(y), per_cent) for x, y in zip(_row(batch, "x"), _row(batch, "y"))]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    active = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    wanted = own.join(active, "cls").where("id IS NOT NULL").groupBy("cls").agg(F.min("id").alias("doc_id"))
+    sets = scratch.write(sets_of(docs, wanted, k), f"{name}-sets")
+    scratch.release()
+    left, right = (sets.select(F.col("cls").alias(c), F.col("shingles").alias(s)) for c, s in (("a", "x"), ("b", "y")))
+    linked = scratch.write(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct(), name)
+    scratch.remove(f"{name}-sets")
+    scratch.release()
+    return linked
 
 
 def across(rows: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
@@ -255,28 +279,28 @@ def link(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, per_cent: int = PE
     empty table gives no rows. Other columns play no part.
     """
     found = scratch.write(describe(docs, k), "found")
-    own = found.where("kind = 0")
+    own = found.where("kind = 0").drop("kind")
     often = found.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(ORDERED_LAST)
     last = np.sort(np.array([r[0] for r in often.select("id").collect()], np.int64).view(np.uint64))
-    shared = scratch.write(shared_tiles(tiles(docs, last, k, per_cent)), "tiles")
-    scratch.release()
+    prefixes = scratch.write(tiles(docs, last, k, per_cent), "prefixes")
+    shared = scratch.write(shared_tiles(prefixes), "tiles")
+    scratch.remove("prefixes")
+    maps = own.where("n > 0").select("cls", "n", "bits").dropDuplicates(["cls"])
 
     votes = shared.where("cls <> hub").groupBy("cls", "hub").agg(F.count("*").alias("n"))
-    star = scratch.write(votes.groupBy("cls").agg(F.min_by("hub", F.struct(-F.col("n"), "hub")).alias("hub")).select(F.col("hub").alias("a"), F.col("cls").alias("b")), "star")
-    active = star.select(F.col("a").alias("cls")).union(star.select(F.col("b").alias("cls"))).distinct()
-    wanted = own.join(active, "cls").where("id IS NOT NULL").groupBy("cls").agg(F.min("id").alias("doc_id"))
-    sets = scratch.write(sets_of(docs, wanted, k).dropDuplicates(["cls"]), "sets")
+    star = votes.groupBy("cls").agg(F.min_by("hub", F.struct(-F.col("n"), "hub")).alias("hub")).select(F.col("hub").alias("a"), F.col("cls").alias("b"))
+    star = scratch.write(bounded(star, maps, per_cent), "star")
     scratch.release()
-    linked = scratch.write(verify(star, sets, per_cent), "linked")
-    labels = components(linked, scratch, "star")
+    linked = verify(star, own, docs, scratch, "star-links", k, per_cent)
+    labels = components(linked, scratch, "near")
 
     named = shared.select("shingle", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     named = scratch.write(named, "named")
     open_tiles = named.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("shingle")
-    rows = named.join(open_tiles, "shingle").join(signatures(sets), "cls")
+    rows = named.join(open_tiles, "shingle").join(maps, "cls")
     more = scratch.write(across(rows, per_cent), "candidates")
-    further = verify(more, sets, per_cent)
-    edges = scratch.write(linked.unionByName(further), "links")
+    scratch.release()
+    edges = linked.unionByName(verify(more, own, docs, scratch, "more-links", k, per_cent))
     labels = components(edges, scratch, "all")
 
     named_own = own.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
@@ -285,21 +309,11 @@ def link(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, per_cent: int = PE
     return joined.select("id", "n", "cls", F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))).alias("component"))
 
 
-def signatures(sets: DataFrame) -> DataFrame:
-    """(cls, n, bits): every set's bitmap."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits = [bitmap(x, bitmap_bits(len(x))).tobytes() for x in _row(batch, "shingles")]
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("n"), pa.array(bits, pa.binary())], ["cls", "n", "bits"])
-
-    return sets.mapInArrow(run, "cls long, n long, bits binary")
-
-
 def deduplicate(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows of ``docs`` that name their component, with their own columns: one document of each group.
 
-    Rows without an id stay; of rows that repeat an id and text, one stays.
+    Decisions are by id: an id stays, with all its rows, if one of them names its component. Rows without an
+    id stay.
     """
     own = link(docs, scratch).where("id = component OR id IS NULL").select(F.col("id").alias("kept_id")).distinct()
     own = scratch.write(own, "kept")
