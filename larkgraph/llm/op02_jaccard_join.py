@@ -6,10 +6,11 @@ shingle of that prefix, with a band of sizes, names a tile, and only sets of one
 hashed bitmaps bound the overlap from above by their bit counts; pairs that pass are settled by
 intersecting the sorted arrays of shingles.
 
-Only what joins components is compared. First every class is held against one hub, the least class with
-which it shares most tiles; verified pairs already join most groups of copies. Then only tiles that still
-hold classes of different components are searched, and in them only pairs across components. So a group
-of a million copies costs a million comparisons, and no link between components is lost.
+Only what joins components is compared. In a few rounds every class is held against one hub, a class of
+another component with which it shares most tiles; verified pairs already join most groups of copies. Then
+only tiles that still hold classes of different components are searched, and in them only pairs across
+components. So a group of a million copies costs a few million comparisons, and no link between components
+is lost.
 """
 
 from __future__ import annotations
@@ -34,6 +35,10 @@ FREQUENT = 8
 ORDERED_LAST = 1 << 17
 #: Rows of a tile that one task compares at a time.
 TILE_ROWS = 1024
+#: Tiles of so many classes or fewer are told apart by the classes they hold.
+LISTED = 200
+#: Rounds of hubs before the tiles are searched; more rounds leave the tiles less to do and change no result.
+HUB_ROUNDS = 2
 
 
 def shingle_sets(block, k: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -71,7 +76,8 @@ def bitmap(shingles: np.ndarray, bits: int) -> np.ndarray:
 
 
 def bitmap_bits(n: int) -> int:
-    return max(64, 1 << (2 * n - 1).bit_length())
+    """A power of two from 4 to 8 bits a shingle, so that few shingles share a bit."""
+    return max(64, 1 << (4 * n - 1).bit_length())
 
 
 def bound(n: int, own: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -161,17 +167,43 @@ def tiles(docs: DataFrame, last: np.ndarray, k: int = SHINGLE, per_cent: int = P
 
 
 def shared_tiles(rows: DataFrame) -> DataFrame:
-    """(shingle, cls, hub) for shingles that two classes or more hold; hub is the least of them.
+    """(shingle, cls) for shingles that two classes or more hold.
 
     Rare shingles are dealt by shingle and need one exchange. Those of the common order's end may be held
     by any share of all sets; theirs are summed before they are dealt, and joined back.
     """
     rare = rows.where(~F.col("common")).repartition("shingle").dropDuplicates(["shingle", "cls"])
     own = Window.partitionBy("shingle")
-    rare = rare.withColumns({"hub": F.min("cls").over(own), "top": F.max("cls").over(own)}).where("hub < top")
+    rare = rare.withColumns({"least": F.min("cls").over(own), "most": F.max("cls").over(own)}).where("least < most")
     often = rows.where("common").select("shingle", "cls").distinct()
-    hubs = often.groupBy("shingle").agg(F.min("cls").alias("hub"), F.max("cls").alias("top")).where("hub < top")
-    return rare.select("shingle", "cls", "hub").unionByName(often.join(hubs, "shingle").select("shingle", "cls", "hub"))
+    held = often.groupBy("shingle").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least < most").select("shingle")
+    return rare.select("shingle", "cls").unionByName(often.join(held, "shingle"))
+
+
+def star(named: DataFrame, k: int) -> DataFrame:
+    """(a, b): every class with the hub it shares most tiles with, among hubs of other components.
+
+    ``named``: shingle, cls, label. A tile's hub is its least class by a hash that differs from round to round;
+    the hub of a tile that holds one component asks for nothing.
+    """
+    rank = F.struct(F.xxhash64("cls", F.lit(k)).alias("r"), "cls", "label")
+    hubs = named.groupBy("shingle").agg(F.min(rank).alias("hub"), F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
+    hubs = hubs.select("shingle", F.col("hub.cls").alias("hub"), F.col("hub.label").alias("hub_label"))
+    votes = named.join(hubs, "shingle").where("label <> hub_label").groupBy("cls", "hub").agg(F.count("*").alias("n"))
+    best = votes.groupBy("cls").agg(F.min_by("hub", F.struct(-F.col("n"), "hub")).alias("hub"))
+    return best.select(F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b")).distinct()
+
+
+def open_tiles(named: DataFrame) -> DataFrame:
+    """(shingle, cls, label) of tiles that hold classes of two components or more.
+
+    Tiles of equal short lists of classes ask the same question; one of them stays.
+    """
+    size = named.groupBy("shingle").agg(F.count("*").alias("rows"), F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
+    rows = named.join(size.select("shingle", "rows"), "shingle")
+    lists = rows.where(F.col("rows") <= LISTED).groupBy("shingle").agg(F.array_sort(F.collect_list(F.struct("cls", "label"))).alias("held"))
+    single = lists.groupBy("held").agg(F.min("shingle").alias("shingle")).select("shingle", F.explode("held").alias("x")).select("shingle", "x.cls", "x.label")
+    return single.unionByName(rows.where(F.col("rows") > LISTED).select("shingle", "cls", "label"))
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -287,17 +319,19 @@ def link(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, per_cent: int = PE
     scratch.remove("prefixes")
     maps = own.where("n > 0").select("cls", "n", "bits").dropDuplicates(["cls"])
 
-    votes = shared.where("cls <> hub").groupBy("cls", "hub").agg(F.count("*").alias("n"))
-    star = votes.groupBy("cls").agg(F.min_by("hub", F.struct(-F.col("n"), "hub")).alias("hub")).select(F.col("hub").alias("a"), F.col("cls").alias("b"))
-    star = scratch.write(bounded(star, maps, per_cent), "star")
-    scratch.release()
-    linked = verify(star, own, docs, scratch, "star-links", k, per_cent)
-    labels = components(linked, scratch, "near")
+    linked, named, labels = None, shared.select("shingle", "cls", F.col("cls").alias("label")), None
+
+    def renamed(labels: DataFrame) -> DataFrame:
+        return shared.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("shingle", "cls", F.coalesce("label", "cls").alias("label"))
 
-    named = shared.select("shingle", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    named = scratch.write(named, "named")
-    open_tiles = named.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("shingle")
-    rows = named.join(open_tiles, "shingle").join(maps, "cls")
+    for round_ in range(HUB_ROUNDS):
+        pairs = scratch.write(bounded(star(named, round_), maps, per_cent), f"star{round_}")
+        scratch.release()
+        found_links = verify(pairs, own, docs, scratch, f"star-links{round_}", k, per_cent)
+        linked = found_links if linked is None else linked.unionByName(found_links)
+        labels = components(linked, scratch, f"near{round_}")
+        named = scratch.write(renamed(labels), f"named{round_}")
+    rows = open_tiles(named).join(maps, "cls")
     more = scratch.write(across(rows, per_cent), "candidates")
     scratch.release()
     edges = linked.unionByName(verify(more, own, docs, scratch, "more-links", k, per_cent))
