@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE, WORD, n_words, words
+from .shared import words
 
 WINDOW = 8
 #: Rows of the sample that orders the rules.
@@ -64,32 +64,23 @@ def duplicate_lines(text: Column) -> Column:
     return once(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
-def measures(text: Column) -> dict[str, Column]:
-    """The figures that the rules use; all are 0 for null or empty text."""
+def measures(text: Column, found: Column) -> dict[str, Column]:
+    """The figures that the rules use, of a text and its words; all are 0 for null or empty text."""
     blank = F.coalesce(text, F.lit(""))
     return {
-        "n_words": n_words(text),
-        "word_chars": F.length(F.concat_ws("", words(text))).cast("long"),
+        "n_words": F.size(found).cast("long"),
+        "word_chars": F.length(F.concat_ws("", found)).cast("long"),
         "n_symbols": F.regexp_count(blank, F.lit("[#*$%&|<>]")).cast("long"),
         "n_dup_lines": duplicate_lines(text),
-        "n_repeat_words": repeated_words(words(text)),
+        "n_repeat_words": repeated_words(found),
         "n_lines": F.regexp_count(blank, F.lit("(?m)^.*[^ \\t-\\r].*$")).cast("long"),
         "n_upper": F.regexp_count(blank, F.lit("\\p{Lu}")).cast("long"),
     }
 
 
 def all_measures(text: Column) -> Column:
-    """The same figures as one struct, with the text split into words once."""
-    alone = measures(text)
-    return once(
-        words(text),
-        lambda w: F.struct(
-            F.size(w).cast("long").alias("n_words"),
-            F.length(F.concat_ws("", w)).cast("long").alias("word_chars"),
-            repeated_words(w).alias("n_repeat_words"),
-            *(alone[k].alias(k) for k in ("n_symbols", "n_dup_lines", "n_lines", "n_upper")),
-        ),
-    )
+    """All figures as one struct, with the text split into words once."""
+    return once(words(text), lambda w: F.struct(*(v.alias(k) for k, v in measures(text, w).items())))
 
 
 @dataclass(frozen=True)
@@ -121,14 +112,19 @@ def order_rules(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS, cl
     if not rows:
         return list(rules)
     sample = docs.sparkSession.createDataFrame(rows, "text string")
-    found, rates = measures(F.col("text")), []
+    text, rates = F.col("text"), []
     for rule in rules:
         began = clock()
-        rejected = sample.agg(F.count_if(rule.expression(found))).first()[0]
+        test = once(words(text), _verdict(rule, text))
+        rejected = sample.agg(F.count_if(test)).first()[0]
         rates.append(rejected / len(rows) / max(clock() - began, 1e-6))
     return [r for _, r in sorted(zip(rates, rules), key=lambda x: -x[0])]
 
 
+def _verdict(rule: Rule, text: Column):
+    return lambda w: rule.expression(measures(text, w))
+
+
 def first_failed(rules, found: dict[str, Column]) -> Column:
     """Name of the first rule of the chain that rejects, else null; CASE stops at the first true branch."""
     out = None
@@ -145,7 +141,8 @@ def apply_rules(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) ->
     whatever their names; an empty table stays empty.
     """
     ordered = order_rules(docs, rules, sample_rows)
-    return docs.where(first_failed(ordered, measures(F.col("text"))).isNull())
+    text = F.col("text")
+    return docs.where(once(words(text), lambda w: first_failed(ordered, measures(text, w))).isNull())
 
 
 def judge(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
