@@ -58,10 +58,14 @@ def repeated_words(found: Column, window: int = WINDOW) -> Column:
     return once(F.transform(found, lambda w: F.xxhash64(w)), lambda h: fold(h, 1))
 
 
+def word_lines(text: Column) -> Column:
+    """The lines that have a word."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike("[^ \\t-\\r]"))
+
+
 def duplicate_lines(text: Column) -> Column:
     """Lines with a word that equal an earlier line."""
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike("[^ \\t-\\r]"))
-    return once(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
+    return once(word_lines(text), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
 def measures(text: Column, found: Column) -> dict[str, Column]:
@@ -73,7 +77,7 @@ def measures(text: Column, found: Column) -> dict[str, Column]:
         "n_symbols": F.regexp_count(blank, F.lit("[#*$%&|<>]")).cast("long"),
         "n_dup_lines": duplicate_lines(text),
         "n_repeat_words": repeated_words(found),
-        "n_lines": F.regexp_count(blank, F.lit("(?m)^.*[^ \\t-\\r].*$")).cast("long"),
+        "n_lines": F.size(word_lines(text)).cast("long"),
         "n_upper": F.regexp_count(blank, F.lit("\\p{Lu}")).cast("long"),
     }
 
@@ -163,3 +167,17 @@ def op10_quality(spark, sf_dir: str) -> DataFrame:
     from .shared import documents
 
     return judge(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+ORACLE = """
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM documents),
+    x AS (SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS key FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+    r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, key) AS n FROM x) WHERE n > 1),
+    c AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS k FROM r) GROUP BY 1),
+    m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+        (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines, len(regexp_extract_all(t, '\\p{Lu}')) AS n_upper FROM d LEFT JOIN c ON c.doc_id = d.doc_id)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > 3 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+            OR 2 * n_upper > word_chars OR (n_dup_lines >= 3 AND 2 * n_dup_lines > n_lines)) AS kept FROM m
+"""
