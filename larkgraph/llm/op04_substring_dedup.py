@@ -76,7 +76,7 @@ def describe(docs: DataFrame) -> DataFrame:
     """kind 0: (id, n, text_id, sha) of a text, sha of all its words. kind 1: a frequent anchor and how many texts of a task hold it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "id", "n", "text_id", "sha"]
+        names = ["kind", "id", "n", "text_id", "sha", "text_hash"]
         seen: set[int] = set()
         pending: list[np.ndarray] = []
         windows, size = _Windows(), 0
@@ -85,7 +85,7 @@ def describe(docs: DataFrame) -> DataFrame:
             keys, n = np.unique(np.concatenate(pending), return_counts=True)
             keys, n = signed(keys[n >= FREQUENT]), n[n >= FREQUENT]
             pending.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int32)), pa.array(keys), pa.array(n), pa.array(np.zeros(len(keys), np.int64)), pa.nulls(len(keys), pa.string())], names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int32)), pa.array(keys), pa.array(n), pa.array(np.zeros(len(keys), np.int64)), pa.nulls(len(keys), pa.string()), pa.nulls(len(keys), pa.int64())], names)
 
         for batch in batches:
             sizes, ids, shas = [], [], []
@@ -106,12 +106,12 @@ def describe(docs: DataFrame) -> DataFrame:
                 size = 0
             if len(seen) > 1_000_000:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes), np.int32)), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(shas, pa.string())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes), np.int32)), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(shas, pa.string()), batch.column("text_hash")], names)
         if pending:
             yield frequent()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "kind int, id long, n long, text_id long, sha string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(run, "kind int, id long, n long, text_id long, sha string, text_hash long")
 
 
 def anchor_rows(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -146,12 +146,13 @@ def anchor_rows(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 def repeated_anchors(rows: DataFrame) -> DataFrame:
     """(text_id, frequent, anchors): the anchors of each text that occur twice or more, in it or in another.
 
-    Frequent anchors are known to, so only the others, few in any text, are dealt by anchor and counted.
+    Frequent anchors are known to and are dealt in parts; the others, few in any task, are dealt by anchor and
+    counted.
     """
-    rare = rows.where(~F.col("frequent")).repartition("anchor").dropDuplicates(["anchor", "text_id"])
-    rare = rare.withColumn("texts", F.count("*").over(Window.partitionBy("anchor"))).where("twice OR texts > 1")
-    both = rare.select("text_id", "anchor", "frequent").unionByName(rows.where("frequent").select("text_id", "anchor", "frequent").distinct())
-    return both.groupBy("text_id").agg(F.collect_list(F.when(~F.col("frequent"), F.col("anchor"))).alias("rare"), F.collect_list(F.when(F.col("frequent"), F.col("anchor"))).alias("often"))
+    part = F.when(F.col("frequent"), F.pmod(F.xxhash64("text_id"), F.lit(PARTS))).otherwise(F.lit(0))
+    dealt = rows.withColumn("part", part).repartition("anchor", "part").dropDuplicates(["anchor", "part", "text_id"])
+    dealt = dealt.withColumn("texts", F.count("*").over(Window.partitionBy("anchor", "part"))).where("frequent OR twice OR texts > 1")
+    return dealt.groupBy("text_id").agg(F.collect_list(F.when(~F.col("frequent"), F.col("anchor"))).alias("rare"), F.collect_list(F.when(F.col("frequent"), F.col("anchor"))).alias("often"))
 
 
 def seeds(texts: DataFrame) -> DataFrame:
@@ -192,17 +193,16 @@ def look_up(rows: DataFrame) -> DataFrame:
     dealt in ``PARTS`` by document, where all but a part's first are found at once, and the parts' firsts
     are then looked up among each other.
     """
-    order = ["id", "text_id", "at"]
+    columns = ["id", "text_id", "at", "source", "source_at"]
 
     def found(part: DataFrame, *keys: str) -> DataFrame:
-        own = Window.partitionBy(*keys).orderBy(*order)
+        own = Window.partitionBy(*keys).orderBy("id", "text_id", "at")
         return part.withColumns({"place": F.row_number().over(own), "source": F.first("id").over(own), "source_at": F.first("at").over(own)})
 
-    rare = found(rows.where(~F.col("frequent")), "seed").where("place > 1")
-    often = found(rows.where("frequent").withColumn("part", F.pmod(F.xxhash64("id", "text_id"), F.lit(PARTS))), "seed", "part")
-    firsts = found(often.where("place = 1").drop("place", "source", "source_at", "part"), "seed").where("place > 1")
-    columns = ["id", "text_id", "at", "source", "source_at"]
-    return rare.select(columns).unionByName(often.where("place > 1").select(columns)).unionByName(firsts.select(columns))
+    part = F.when(F.col("frequent"), F.pmod(F.xxhash64("id", "text_id"), F.lit(PARTS))).otherwise(F.lit(0))
+    once = found(rows.withColumn("part", part), "seed", "part")
+    firsts = once.where("frequent AND place = 1").select("seed", "id", "text_id", "at")
+    return once.where("place > 1").select(columns).unionByName(found(firsts, "seed").where("place > 1").select(columns))
 
 
 def parse(at: np.ndarray, source: np.ndarray, source_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -252,26 +252,29 @@ def duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     an id come last. Other columns play no part, and an empty table gives no rows.
     """
     found = scratch.write(describe(docs), "found")
-    own = found.where("kind = 0").select(F.coalesce("id", F.lit(LAST_ID)).alias("id"), F.col("id").alias("doc_id"), "n", "text_id", "sha")
+    own = found.where("kind = 0").select(F.coalesce("id", F.lit(LAST_ID)).alias("id"), F.col("id").alias("doc_id"), "n", "text_id", "sha", "text_hash")
     top = found.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(SPLIT)
     frequent = np.sort(np.array([r[0] for r in top.select("id").collect()], np.int64).view(np.uint64))
     repeated = scratch.write(repeated_anchors(anchor_rows(docs, frequent)), "anchors")
     scratch.release()
 
-    first = own.groupBy("text_id").agg(F.min("id").alias("id"))
-    wanted = first.join(repeated, "text_id").select(F.col("id").alias("wanted"), "text_id", "rare", "often")
+    first = own.groupBy("text_id").agg(F.min(F.struct("id", "text_hash")).alias("f")).select("text_id", "f.*")
+    wanted = first.join(repeated, "text_id").select(F.col("id").alias("wanted"), "text_id", F.col("text_hash").alias("spelling"), "rare", "often")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), "text")
-    texts = scratch.write(texts.join(wanted, F.col("id") == F.col("wanted")).drop("wanted"), "texts")
+    texts = texts.join(wanted, (F.col("id") == F.col("wanted")) & (F.xxhash64("text") == F.col("spelling"))).drop("wanted", "spelling")
+    texts = texts.dropDuplicates(["id", "text_id"])  # rows that repeat an id and a text
+    texts = scratch.write(texts, "texts")
+    scratch.remove("anchors")
     scratch.release()
-    hits = look_up(seeds(texts).dropDuplicates(["seed", "id", "text_id", "at"]))
+    hits = look_up(seeds(texts))
     hits = hits.groupBy("id", "text_id").agg(F.collect_list(F.struct("at", "source", "source_at")).alias("hits"))
     hits = scratch.write(hits, "hits")
     scratch.release()
     parsed = texts.select("id", "text_id", F.col("text").cast("binary").alias("text")).join(hits, ["id", "text_id"])
     parsed = parsed.mapInArrow(_factor, f"id long, text_id long, n_removed long, kept_sha256 string, factors {FACTORS}")
-    parsed = scratch.write(parsed, "parsed").dropDuplicates(["id", "text_id"])
+    parsed = scratch.write(parsed, "parsed")
 
-    rows = own.join(first.withColumnRenamed("id", "first_id"), "text_id").join(parsed, ["id", "text_id"], "left")
+    rows = own.join(first.select("text_id", F.col("id").alias("first_id")), "text_id").join(parsed, ["id", "text_id"], "left")
     copy = (F.col("id") > F.col("first_id")) & (F.col("n") >= SEED)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("size"), F.col("first_id").alias("source"), F.lit(0).cast("long").alias("source_start")))
     return rows.select(
