@@ -183,10 +183,16 @@ def shared_tiles(rows: DataFrame) -> DataFrame:
 def star(named: DataFrame, k: int) -> DataFrame:
     """(a, b): every class with the hub it shares most tiles with, among hubs of other components.
 
-    ``named``: shingle, cls, label. A tile's hub is its least class by a hash that differs from round to round;
-    the hub of a tile that holds one component asks for nothing.
+    ``named``: shingle, cls, label. A tile's hub is first its class of most tiles, which in a group of copies
+    is likely the text that all were made from; in later rounds its least class by a hash of the round. The
+    hub of a tile that holds one component asks for nothing.
     """
-    rank = F.struct(F.xxhash64("cls", F.lit(k)).alias("r"), "cls", "label")
+    if k == 0:
+        tiles_of = named.groupBy("cls").agg(F.count("*").alias("tiles"))
+        named = named.join(tiles_of, "cls")
+        rank = F.struct((-F.col("tiles")).alias("r"), "cls", "label")
+    else:
+        rank = F.struct(F.xxhash64("cls", F.lit(k)).alias("r"), "cls", "label")
     hubs = named.groupBy("shingle").agg(F.min(rank).alias("hub"), F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
     hubs = hubs.select("shingle", F.col("hub.cls").alias("hub"), F.col("hub.label").alias("hub_label"))
     votes = named.join(hubs, "shingle").where("label <> hub_label").groupBy("cls", "hub").agg(F.count("*").alias("n"))
