@@ -164,7 +164,7 @@ def ag_02(spark, sf_dir):
 
 @query("ag_01", "SELECT (SELECT count(*) FROM customer) AS entities, (SELECT count(DISTINCT o_custkey) FROM orders) AS annotated, (SELECT count(*) FROM supplier) AS genes, (SELECT count(*) FROM part) AS terms, (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R') AS excluded, (SELECT count(*) FROM lineitem) AS edges")
 def ag_01(spark, sf_dir):
-    """Counters of the whole atlas."""
+    """Counters of the whole graph."""
     count = lambda name, c="*": table(spark, sf_dir, name).agg(F.count(c) if c == "*" else F.countDistinct(c))
     out = count("customer").toDF("entities")
     for name, df in (("annotated", count("orders", "o_custkey")), ("genes", count("supplier")), ("terms", count("part"))):
