@@ -197,12 +197,15 @@ def look_up(rows: DataFrame) -> DataFrame:
 
     def found(part: DataFrame, *keys: str) -> DataFrame:
         own = Window.partitionBy(*keys).orderBy("id", "text_id", "at")
-        return part.withColumns({"place": F.row_number().over(own), "source": F.first("id").over(own), "source_at": F.first("at").over(own)})
+        # A count, as Spark would limit the groups of a row number in one branch, which then shares no exchange with the other.
+        place = F.count("*").over(own.rowsBetween(Window.unboundedPreceding, 0))
+        return part.withColumns({"place": place, "source": F.first("id").over(own), "source_at": F.first("at").over(own)})
 
     part = F.when(F.col("frequent"), F.pmod(F.xxhash64("id", "text_id"), F.lit(PARTS))).otherwise(F.lit(0))
     once = found(rows.withColumn("part", part), "seed", "part")
     firsts = once.where("frequent AND place = 1").select("seed", "id", "text_id", "at")
-    return once.where("place > 1").select(columns).unionByName(found(firsts, "seed").where("place > 1").select(columns))
+    # Both branches name the same columns, so that they read one exchange of the seeds.
+    return once.where("place > 1 AND frequent IS NOT NULL").select(columns).unionByName(found(firsts, "seed").where("place > 1").select(columns))
 
 
 def parse(at: np.ndarray, source: np.ndarray, source_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
