@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import Scratch, documents
-from .textblocks import PLAIN, Block, KeyTable, blocks, byte_set
+from .textblocks import LOWER, PLAIN, Block, KeyTable, blocks, byte_set
 
 
 @dataclass(frozen=True)
@@ -55,9 +55,18 @@ class Pieces(Block):
     """Texts cut where the tokenizer always cuts: at white space, around digits, between letters and ASCII marks.
 
     An apostrophe may begin a contraction, and other characters beyond ASCII may be of any kind, so nothing
-    is cut next to those. Upper-case ASCII letters become lower case, as in the tokenizer's normaliser.
+    is cut next to those. Wholly ASCII pieces become lower case, as in the tokenizer's normaliser. The others
+    keep their spelling: the normaliser composes before it lowers, and a capital may compose otherwise.
     """
 
+    def __post_init__(self):
+        starts, ends = self.spans
+        wide = np.zeros(len(self.data) + 1, np.int64)
+        np.cumsum(self.data >= 0x80, out=wide[1:])
+        low = self.word_bytes[self.data]
+        low[low] = np.repeat(wide[ends] == wide[starts], ends - starts)
+        self.data = np.where(low, LOWER[self.data], self.data)
+
     @cached_property
     def spans(self) -> tuple[np.ndarray, np.ndarray]:
         starts, ends = super().spans
@@ -156,7 +165,7 @@ class Encoder:
         special = pc.fill_null(pc.match_substring(texts, "<|"), False)
         parts, sizes = [], []
         plain = pc.if_else(special, pa.scalar("", texts.type), texts)
-        for block in blocks(plain, PLAIN, lower=True, most=1 << 20, kind=Pieces):
+        for block in blocks(plain, PLAIN, most=1 << 20, kind=Pieces):
             ids, size = self._block(block, end)
             parts.append(ids)
             sizes.append(size)

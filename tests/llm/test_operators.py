@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -259,6 +260,20 @@ def test_tokens(spark, docs, rows, empty, tmp_path):
     assert q.report(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_tokens_of_decomposed_capitals():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from larkgraph.llm import op07_tokens as q
+
+    plain = Tokenizer.from_file(q.Encoding().path())
+    rng = random.Random(11)
+    parts = [*"HJTWYAEIaehjtwy019=<.'", "\u0331", "\u030c", "\u0308", "\u0338", "\u0301", "\u0327", "\u00c9", "\u00df", " "]
+    texts = ["H\u0331alid", "J\u030cak", "T\u0308x", "The THE the", *("".join(rng.choices(parts, k=rng.randrange(1, 25))) for _ in range(3000))]
+    got = q.Encoder(q.Encoding().path()).texts(pa.array(texts), 1).to_pylist()
+    assert got == [[*plain.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
 def test_hmm(spark, docs, rows, empty, monkeypatch):
     import itertools
 
