@@ -155,6 +155,27 @@ def test_license_scan(spark, docs, empty):
     assert q.scan(docs, model).count() == docs.select("doc_id").distinct().count()
 
 
+def test_license_notices_over_lines_and_inside_text(spark, docs):
+    from larkgraph.llm import op03_licenses as q
+
+    prose = " ".join(["prose words that run on and on"] * 9)
+    gpl = next(t for f, t in q.TEMPLATES if f == "gpl-3.0" and len(t) > 100)
+    bsd = next(t for f, t in q.TEMPLATES if f == "bsd-3-clause" and len(t) > 100)
+    wrapped = "\n".join(" ".join(gpl.split()[i : i + 6]) for i in range(0, len(gpl.split()), 6))
+    texts = [
+        (1, "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"),
+        (2, "/*\n * " + wrapped.replace("\n", "\n * ") + "\n */"),
+        (3, f"{prose} {gpl} {prose}"),
+        (4, f"{prose}\n-- Licensed under\n-- the Apache License,\n-- Version 2.0. {prose}\n\nReleased under\r\nthe MIT License."),
+        (5, f"{prose} {bsd} {prose}\nReleased under the MIT License.\nReleased under the\nMIT License. {prose}"),
+        (6, "Permission is hereby granted, free of charge, to\n\nother people of this software and more"),
+        (7, "This work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License."),
+    ]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: (r["families"], r["n_licence"]) for r in q.scan(frame, q.train(docs)).collect()}
+    assert got == {1: ("mit", 1), 2: ("gpl-3.0", 1), 3: ("gpl-3.0", 1), 4: ("apache-2.0,mit", 2), 5: ("bsd-3-clause,mit", 3), 6: ("", 0), 7: ("cc-by-nc-4.0", 1)}
+
+
 def brute_substrings(rows):
     order = sorted({(r[0] if r[0] is not None else 1 << 63, r[1] or "") for r in rows})
     seen, out = set(), {}
