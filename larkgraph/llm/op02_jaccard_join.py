@@ -1,16 +1,18 @@
 """Near-duplicate texts by an exact Jaccard join over sets of word n-grams.
 
-Texts with equal sets form a class; the join runs over classes. Two sets can reach the threshold only if
-they share one of their first shingles in a common order (shingles that are frequent come last), so a
-shingle of that prefix, with a band of sizes, names a tile, and only sets of one tile are compared. There,
-hashed bitmaps bound the overlap from above by their bit counts; pairs that pass are settled by
-intersecting the sorted arrays of shingles.
-
-Only what joins components is compared. In a few rounds every class is held against one hub, a class of
-another component with which it shares most tiles; verified pairs already join most groups of copies. Then
-only tiles that still hold classes of different components are searched, and in them only pairs across
-components. So a group of a million copies costs a few million comparisons, and no link between components
-is lost.
+Texts with equal sets form a class; the join runs over classes. In a common order of all shingles (frequent
+ones last), two sets that link share several of the first shingles of either: with ``n - ceil(0.8 n) + l``
+first shingles of each, at least ``l`` are shared. So each class deals its first shingles once; classes that
+meet others in too few of them link with nothing and leave.
+
+A shingle and a band of sizes name a tile, and only sets of one tile are compared. There, hashed bitmaps bound
+the overlap from above by their bit counts; pairs that pass are settled by intersecting the sorted arrays of
+shingles.
+
+Only what joins components is compared. In a few rounds every class is held against the hub of one of its
+tiles, a class of another component; verified pairs already join most groups of copies. Then only tiles that
+still hold classes of different components are searched, and in them only pairs across components. So a group
+of a million copies costs a few million comparisons, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -34,11 +36,21 @@ FREQUENT = 8
 #: Shingles, at most, that the common order puts last; which they are changes speed only.
 ORDERED_LAST = 1 << 17
 #: Rows of a tile that one task compares at a time.
-TILE_ROWS = 1024
+TILE_ROWS = 512
+#: Bits of the longest bitmaps.
+MOST_BITS = 1 << 16
+#: Pairs of a tile that are held against each other at a time.
+PAIRS = 1 << 20
 #: Tiles of so many classes or fewer are told apart by the classes they hold.
 LISTED = 200
 #: Rounds of hubs before the tiles are searched; more rounds leave the tiles less to do and change no result.
 HUB_ROUNDS = 2
+#: Parts into which the classes of a frequent shingle are dealt.
+PARTS = 64
+#: Shingles of a set for each further one that linked sets must share among their first.
+SPARE = 40
+#: Different sets of one name that are told apart, at most. At 10**10 sets about five are expected.
+CLASHES = 10_000
 
 
 def shingle_sets(block, k: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -52,10 +64,22 @@ def shingle_sets(block, k: int = SHINGLE) -> Iterator[np.ndarray]:
             yield block.sequence(i) if b > a else np.zeros(0, np.uint64)
 
 
-def set_id(shingles: np.ndarray) -> int:
-    """A 63-bit name of a set; sets of equal names are taken as equal."""
-    total = mix(shingles ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64, keepdims=True)
-    return int(mix(total ^ mix(np.array([len(shingles)], np.uint64)))[0] >> np.uint64(1))
+def set_names(sets: list[np.ndarray]) -> np.ndarray:
+    """Two independent 63-bit names (rows) of every set: the second stands in where sets share the first. Empty sets: -1."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    out, real = np.full((2, len(sets)), -1, np.int64), size > 0
+    if real.any():
+        shingles, starts = np.concatenate(sets), (np.cumsum(size) - size)[real]
+        for row, by in enumerate((0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)):
+            total = np.add.reduceat(mix(shingles ^ np.uint64(by)), starts)
+            out[row, real] = (mix(total ^ mix(size[real].astype(np.uint64))) >> np.uint64(1)).astype(np.int64)
+    return out
+
+
+def class_names(sets: list[np.ndarray], clashes: np.ndarray) -> list[int]:
+    """The names of the sets' classes, given the first names that several sets share."""
+    name, other = set_names(sets)
+    return np.where(np.isin(name, clashes), other, name).tolist()
 
 
 def overlap_needed(n: np.ndarray, m: np.ndarray, per_cent: int = PER_CENT) -> np.ndarray:
@@ -64,8 +88,17 @@ def overlap_needed(n: np.ndarray, m: np.ndarray, per_cent: int = PER_CENT) -> np
 
 
 def prefix_size(n: int, per_cent: int = PER_CENT) -> int:
-    """Linked sets share one of so many first shingles of either, in any common order."""
-    return n - -(-per_cent * n // 100) + 1
+    """So many first shingles of a set are dealt: n - ceil(0.8 n) + l, with l of ``1 + n // SPARE``."""
+    return min(n, n - -(-per_cent * n // 100) + 1 + n // SPARE)
+
+
+def shared_at_least(n: Column, per_cent: int = PER_CENT) -> Column:
+    """So many of a set's first shingles another must deal too to link: the least ``l`` of sets it can link with.
+
+    Of the first shingles of whichever set's end comes first in the order, all but n - ceil(0.8 n) lie in the
+    other set, before the end of its own first ones.
+    """
+    return 1 + F.floor(F.ceil(per_cent * n / 100) / SPARE)
 
 
 def bitmap(shingles: np.ndarray, bits: int) -> np.ndarray:
@@ -76,11 +109,11 @@ def bitmap(shingles: np.ndarray, bits: int) -> np.ndarray:
 
 
 def bitmap_bits(n: int) -> int:
-    """A power of two from 4 to 8 bits a shingle, so that few shingles share a bit."""
-    return max(64, 1 << (4 * n - 1).bit_length())
+    """A power of two from 2 to 4 bits a shingle, up to ``MOST_BITS``; a longer set's bound is weaker, not wrong."""
+    return min(MOST_BITS, max(64, 1 << (2 * n - 1).bit_length()))
 
 
-def bound(n: int, own: np.ndarray, others: np.ndarray) -> np.ndarray:
+def bound(n, own: np.ndarray, others: np.ndarray) -> np.ndarray:
     """Upper bounds of the overlaps of a set of n with others: each bit that only it has is a shingle they lack."""
     return n - np.bitwise_count(own & ~others).sum(axis=-1, dtype=np.int64)
 
@@ -94,7 +127,11 @@ def _maps(batch: pa.RecordBatch, column: str) -> list[np.ndarray]:
 
 
 def describe(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """kind 0: (id, n, cls, bits) of a document's set. kind 1: a shingle, how many sets of one task hold it at least."""
+    """kind 0: (id, n, cls, other, spelling) of a document's set. kind 1: a shingle, how many sets of one task hold it at least.
+
+    ``other`` is the set's second name and ``spelling`` a hash of the text, which finds it again.
+    """
+    names = ["kind", "id", "n", "cls", "other", "spelling"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -105,21 +142,24 @@ def describe(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
             keys, n = np.unique(np.concatenate(pending), return_counts=True)
             keys, n = signed(keys[n >= FREQUENT]), n[n >= FREQUENT]
             pending.clear()
-            return out(np.ones(len(keys), np.int32), keys, n, np.zeros(len(keys), np.int64), pa.nulls(len(keys), pa.binary()))
+            none = np.zeros(len(keys), np.int64)
+            return out(np.ones(len(keys), np.int32), keys, n, none, none, none)
 
         def out(*columns) -> pa.RecordBatch:
             arrays = [x if isinstance(x, pa.Array) else pa.array(x) for x in columns]
-            return pa.RecordBatch.from_arrays(arrays, ["kind", "id", "n", "cls", "bits"])
+            return pa.RecordBatch.from_arrays(arrays, names)
 
         for batch in batches:
-            sizes, names, maps = [], [], []
+            sizes, first, second = [], [], []
             for block in blocks(batch.column("text"), PLAIN, lower=True):
-                for s in shingle_sets(block, k):
-                    sizes.append(len(s))
-                    names.append(set_id(s) if len(s) else -1)
-                    maps.append(bitmap(s, bitmap_bits(len(s))).tobytes() if len(s) else None)
-                    if len(s) and names[-1] not in seen:
-                        seen.add(names[-1])
+                sets = list(shingle_sets(block, k))
+                names_ = set_names(sets)
+                sizes += map(len, sets)
+                first += names_[0].tolist()
+                second += names_[1].tolist()
+                for s, name in zip(sets, names_[0].tolist()):
+                    if len(s) and name not in seen:
+                        seen.add(name)
                         pending.append(s)
                         size += len(s)
                 if size > 4_000_000:
@@ -127,15 +167,25 @@ def describe(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
                     size = 0
                     if len(seen) > 1_000_000:
                         seen.clear()
-            yield out(np.zeros(len(sizes), np.int32), batch.column("doc_id"), np.array(sizes, np.int64), np.array(names, np.int64), pa.array(maps, pa.binary()))
+            yield out(np.zeros(len(sizes), np.int32), batch.column("doc_id"), *(np.array(x, np.int64) for x in (sizes, first, second)), batch.column("spelling"))
         if pending:
             yield frequent()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "kind int, id long, n long, cls long, bits binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("spelling"))
+    return rows.mapInArrow(run, "kind int, id long, n long, cls long, other long, spelling long")
+
 
+def clashing(own: DataFrame) -> np.ndarray:
+    """First names that different sets share; raises beyond ``CLASHES``."""
+    shared = own.where("n > 0").groupBy("cls").agg(F.min("other").alias("least"), F.max("other").alias("most")).where("least < most")
+    found = [r[0] for r in shared.select("cls").limit(CLASHES + 1).collect()]
+    if len(found) > CLASHES:
+        raise RuntimeError(f"op2: more than {CLASHES} names are shared by different sets")
+    return np.array(found, np.int64)
 
-def tiles(docs: DataFrame, last: np.ndarray, k: int = SHINGLE, per_cent: int = PER_CENT) -> DataFrame:
-    """(shingle, cls, common): the prefixes of all sets, each set once in a task. ``common``: the order puts it last."""
+
+def tiles(docs: DataFrame, last: np.ndarray, clashes: np.ndarray, k: int = SHINGLE, per_cent: int = PER_CENT) -> DataFrame:
+    """(shingle, cls, common): the first shingles of all sets, each set once in a task. ``common``: the order puts it last."""
     sent = docs.sparkSession.sparkContext.broadcast(last)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,8 +193,9 @@ def tiles(docs: DataFrame, last: np.ndarray, k: int = SHINGLE, per_cent: int = P
         for batch in batches:
             for block in blocks(batch.column("text"), PLAIN, lower=True):
                 keys, names, flags = [], [], []
-                for s in shingle_sets(block, k):
-                    if not len(s) or (name := set_id(s)) in seen:
+                sets = list(shingle_sets(block, k))
+                for s, name in zip(sets, class_names(sets, clashes)):
+                    if not len(s) or name in seen:
                         continue
                     seen.add(name)
                     n = prefix_size(len(s), per_cent)
@@ -166,69 +217,109 @@ def tiles(docs: DataFrame, last: np.ndarray, k: int = SHINGLE, per_cent: int = P
     return docs.select("text").mapInArrow(run, "shingle long, cls long, common boolean")
 
 
-def shared_tiles(rows: DataFrame) -> DataFrame:
-    """(shingle, cls) for shingles that two classes or more hold.
+def met(rows: DataFrame) -> DataFrame:
+    """(shingle, cls, heat) that another class may deal too, from one exchange of ``tiles``.
 
-    Rare shingles are dealt by shingle and need one exchange. Those of the common order's end may be held
-    by any share of all sets; theirs are summed before they are dealt, and joined back.
+    A rare shingle is dealt as a whole, and stays if two classes hold it; its rows are its heat. Those of the
+    common order's end may be held by any share of all sets; they are dealt in parts and stay, as the hottest.
     """
-    rare = rows.where(~F.col("common")).repartition("shingle").dropDuplicates(["shingle", "cls"])
-    own = Window.partitionBy("shingle")
-    rare = rare.withColumns({"least": F.min("cls").over(own), "most": F.max("cls").over(own)}).where("least < most")
-    often = rows.where("common").select("shingle", "cls").distinct()
-    held = often.groupBy("shingle").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least < most").select("shingle")
-    return rare.select("shingle", "cls").unionByName(often.join(held, "shingle"))
+    part = F.when(F.col("common"), F.pmod(F.xxhash64("cls"), F.lit(PARTS))).otherwise(F.lit(0))
+    dealt = rows.withColumn("part", part).repartition("shingle", "part")
+    own = Window.partitionBy("shingle", "part")
+    heat = F.when(F.col("common"), F.lit(1 << 62)).otherwise(F.count("*").over(own))
+    marked = dealt.withColumns({"least": F.min("cls").over(own), "most": F.max("cls").over(own), "heat": heat})
+    return marked.where("common OR least < most").dropDuplicates(["shingle", "part", "cls"]).select("shingle", "cls", "heat")
+
 
+def active_classes(shared: DataFrame, own: DataFrame) -> DataFrame:
+    """(cls, n, held, id, spelling) of classes that meet others in enough of their first shingles to link, with one text of each."""
+    held = shared.groupBy("cls").agg(F.count("*").alias("held"))
+    classes = own.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.min(F.struct("id", "spelling")).alias("text"))
+    return held.join(classes, "cls").where(F.col("held") >= shared_at_least(F.col("n"))).select("cls", "n", "held", "text.id", "text.spelling")
 
-def star(named: DataFrame, k: int) -> DataFrame:
+
+def cooler(shared: DataFrame, active: DataFrame) -> DataFrame:
+    """(shingle, cls, n, held): the shingles of active classes without the hottest few of each.
+
+    Linked sets share at least ``l`` of the dealt shingles. Were the coolest of those among the ``l - 1`` hottest
+    of one set, all would be; so both keep it, and that much can go.
+    """
+    rows = shared.join(active.select("cls", "n", "held"), "cls")
+    place = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("heat"), "shingle"))
+    return rows.withColumn("place", place).where(F.col("place") >= shared_at_least(F.col("n"))).select("shingle", "cls", "n", "held")
+
+
+def banded(rows: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
+    """``rows`` in their tiles: a shingle and a band of sizes. ``visits``: 0 in a set's own band, 1 in the next.
+
+    Sets that link are in one band or in neighbours, so they meet where one of them is at home.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / per_cent)) + 1e-9).cast("int")
+    return rows.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("visits")).withColumn("tile", band + F.col("visits"))
+
+
+def star(named: DataFrame, k: int, scratch: Scratch) -> DataFrame:
     """(a, b): every class with the hub it shares most tiles with, among hubs of other components.
 
-    ``named``: shingle, cls, label. A tile's hub is first its class of most tiles, which in a group of copies
-    is likely the text that all were made from; in later rounds its least class by a hash of the round. The
-    hub of a tile that holds one component asks for nothing.
+    ``named``: shingle, cls, n, held, label. A tile's hub is at home in it: first its class that meets others
+    most often, which in a group of copies is likely the text that all were made from; in later rounds its
+    least class by a hash of the round. The hub of a tile that holds one component asks for nothing.
     """
-    if k == 0:
-        tiles_of = named.groupBy("cls").agg(F.count("*").alias("tiles"))
-        named = named.join(tiles_of, "cls")
-        rank = F.struct((-F.col("tiles")).alias("r"), "cls", "label")
-    else:
-        rank = F.struct(F.xxhash64("cls", F.lit(k)).alias("r"), "cls", "label")
-    hubs = named.groupBy("shingle").agg(F.min(rank).alias("hub"), F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
-    hubs = hubs.select("shingle", F.col("hub.cls").alias("hub"), F.col("hub.label").alias("hub_label"))
-    votes = named.join(hubs, "shingle").where("label <> hub_label").groupBy("cls", "hub").agg(F.count("*").alias("n"))
+    placed = banded(named)
+    rank = F.struct((-F.col("held")).alias("r") if k == 0 else F.xxhash64("cls", F.lit(k)).alias("r"), "cls", "label")
+    hubs = placed.groupBy("shingle", "tile").agg(F.min(F.when(F.col("visits") == 0, rank)).alias("hub"), F.min("label").alias("least"), F.max("label").alias("most"))
+    hubs = hubs.where("least < most AND hub IS NOT NULL").select("shingle", "tile", F.col("hub.cls").alias("hub"), F.col("hub.label").alias("hub_label"))
+    hubs = scratch.write(hubs, f"hubs{k}")  # written, so that a hot tile's side of the join can be split
+    votes = placed.join(hubs, ["shingle", "tile"]).where("label <> hub_label").groupBy("cls", "hub").agg(F.count("*").alias("n"))
     best = votes.groupBy("cls").agg(F.min_by("hub", F.struct(-F.col("n"), "hub")).alias("hub"))
     return best.select(F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b")).distinct()
 
 
-def open_tiles(named: DataFrame) -> DataFrame:
-    """(shingle, cls, label) of tiles that hold classes of two components or more.
+def open_tiles(named: DataFrame, scratch: Scratch) -> DataFrame:
+    """(shingle, cls, n, label) of shingles that classes of two components or more deal.
 
-    Tiles of equal short lists of classes ask the same question; one of them stays.
+    Shingles of equal short lists of classes ask the same question; one of them stays.
     """
     size = named.groupBy("shingle").agg(F.count("*").alias("rows"), F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
-    rows = named.join(size.select("shingle", "rows"), "shingle")
-    lists = rows.where(F.col("rows") <= LISTED).groupBy("shingle").agg(F.array_sort(F.collect_list(F.struct("cls", "label"))).alias("held"))
-    single = lists.groupBy("held").agg(F.min("shingle").alias("shingle")).select("shingle", F.explode("held").alias("x")).select("shingle", "x.cls", "x.label")
-    return single.unionByName(rows.where(F.col("rows") > LISTED).select("shingle", "cls", "label"))
+    size = scratch.write(size.select("shingle", "rows"), "open")
+    rows = scratch.write(named.join(size, "shingle").select("shingle", "cls", "n", "label", "rows"), "open-rows")
+    lists = rows.where(F.col("rows") <= LISTED).groupBy("shingle").agg(F.array_sort(F.collect_list(F.struct("cls", "n", "label"))).alias("list"))
+    single = lists.groupBy("list").agg(F.min("shingle").alias("shingle")).select("shingle", F.explode("list").alias("x")).select("shingle", "x.*")
+    return single.unionByName(rows.where(F.col("rows") > LISTED).select("shingle", "cls", "n", "label"))
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(cls, shingles) of the classes ``wanted`` (doc_id, cls), from the texts of those documents."""
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cls, text) of the documents that ``wanted`` (cls, id, spelling) names, a null id included."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    same = rows["doc_id"].eqNullSafe(wanted["id"]) & (F.xxhash64(rows["text"]) == wanted["spelling"])
+    return rows.join(wanted, same).select("cls", "text")
+
+
+def maps_of(docs: DataFrame, active: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """(cls, n, bits): the bitmaps of the classes ``active``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            asked, row = batch.column("cls").to_numpy(), 0
+            sizes, maps = [], []
             for block in blocks(batch.column("text"), PLAIN, lower=True):
-                names, arrays = [], []
                 for s in shingle_sets(block, k):
-                    if len(s) and set_id(s) == asked[row]:  # an id may be given to several texts
-                        names.append(int(asked[row]))
-                        arrays.append(s.tobytes())
-                    row += 1
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(arrays, pa.binary())], ["cls", "shingles"])
+                    sizes.append(len(s))
+                    maps.append(bitmap(s, bitmap_bits(len(s))).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary())], ["cls", "n", "bits"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").select("cls", "text")
-    return texts.mapInArrow(run, "cls long, shingles binary")
+    # Rows that repeat an id and a text are one.
+    return texts_of(docs, active.select("cls", "id", "spelling")).mapInArrow(run, "cls long, n long, bits binary").dropDuplicates(["cls"])
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """(cls, shingles) of the classes ``wanted``, from the texts of the documents that it names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            arrays = [s.tobytes() for block in blocks(batch.column("text"), PLAIN, lower=True) for s in shingle_sets(block, k)]
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(arrays, pa.binary())], ["cls", "shingles"])
+
+    return texts_of(docs, wanted).mapInArrow(run, "cls long, shingles binary")
 
 
 def bounded(pairs: DataFrame, maps: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
@@ -248,7 +339,7 @@ def bounded(pairs: DataFrame, maps: DataFrame, per_cent: int = PER_CENT) -> Data
     return pairs.join(left, "a").join(right, "b").where(near).select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def verify(pairs: DataFrame, own: DataFrame, docs: DataFrame, scratch: Scratch, name: str, k: int = SHINGLE, per_cent: int = PER_CENT) -> DataFrame:
+def verify(pairs: DataFrame, active: DataFrame, docs: DataFrame, scratch: Scratch, name: str, k: int = SHINGLE, per_cent: int = PER_CENT) -> DataFrame:
     """Those pairs (a, b) of classes that link, by intersecting the sorted arrays of their shingles.
 
     Arrays are made for the classes of ``pairs`` alone, from one text of each.
@@ -259,8 +350,8 @@ def verify(pairs: DataFrame, own: DataFrame, docs: DataFrame, scratch: Scratch,
             keep = [len(x) + len(y) - len(np.union1d(x, y)) >= overlap_needed(len(x), len(y), per_cent) for x, y in zip(_row(batch, "x"), _row(batch, "y"))]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    active = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    wanted = own.join(active, "cls").where("id IS NOT NULL").groupBy("cls").agg(F.min("id").alias("doc_id"))
+    asked = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    wanted = active.join(asked, "cls").select("cls", "id", "spelling")
     sets = scratch.write(sets_of(docs, wanted, k), f"{name}-sets")
     scratch.release()
     left, right = (sets.select(F.col("cls").alias(c), F.col("shingles").alias(s)) for c, s in (("a", "x"), ("b", "y")))
@@ -270,43 +361,78 @@ def verify(pairs: DataFrame, own: DataFrame, docs: DataFrame, scratch: Scratch,
     return linked
 
 
-def across(rows: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
+def across(rows: DataFrame, maps: DataFrame, scratch: Scratch, per_cent: int = PER_CENT) -> DataFrame:
     """Candidate pairs (a, b) of classes in one tile but different components, whose bit counts allow a link.
 
-    ``rows`` (shingle, cls, label, n, bits). A tile is a shingle and a band of sizes; a set also visits the
-    next band, as sets that link are in one band or in neighbours. A tile of many rows is cut into parts
-    that meet two at a time, so no task holds more than ``2 * TILE_ROWS`` of them.
+    ``rows``: shingle, cls, n, label. A tile of many rows is cut into parts that meet two at a time, so no task
+    holds more than ``2 * TILE_ROWS`` of them.
     """
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / per_cent)) + 1e-9).cast("int")
-    homes = rows.withColumn("band", band)
-    placed = homes.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("visits")).withColumn("tile", F.col("band") + F.col("visits"))
+    placed = scratch.write(banded(rows, per_cent), "placed")
     size = placed.groupBy("shingle", "tile").agg(F.count("*").alias("rows"), F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
-    parts = F.ceil(F.col("rows") / TILE_ROWS).cast("int")
-    placed = placed.join(size.select("shingle", "tile", parts.alias("parts")), ["shingle", "tile"])
+    size = scratch.write(size.select("shingle", "tile", F.ceil(F.col("rows") / TILE_ROWS).cast("int").alias("parts")), "sizes")
+    placed = placed.join(size, ["shingle", "tile"])
     part = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
     meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(part, j).alias("i"), F.greatest(part, j).alias("j")))
-    dealt = placed.withColumn("part", part).withColumn("meet", F.explode(meets)).select("shingle", "tile", "meet", "part", "visits", "cls", "label", "n", "bits")
-
-    def run(key, table):
-        table = table.combine_chunks()
-        cls, label, n, part, visits = (table.column(c).to_numpy() for c in ("cls", "label", "n", "part", "visits"))
-        order = np.argsort(n, kind="stable")
-        maps = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("bits")]
-        width = min(len(x) for x in maps)
-        signs = np.stack([np.bitwise_or.reduce(x.reshape(-1, width)) for x in maps])[order]  # folded to one width
-        cls, label, n, part, visits = (x[order] for x in (cls, label, n, part, visits))
-        apart = key[2].as_py()["i"] != key[2].as_py()["j"]
-        a, b = [], []
-        for i in range(len(cls) - 1):
-            j = np.arange(i + 1, np.searchsorted(n, n[i] * 100 // per_cent, "right"))
-            j = j[(label[j] != label[i]) & ((part[j] != part[i]) | (not apart)) & (visits[j] + visits[i] < 2)]
-            if len(j):
-                j = j[bound(int(n[i]), signs[i], signs[j]) >= overlap_needed(n[i], n[j], per_cent)]
-                a.append(np.minimum(cls[i], cls[j]))
-                b.append(np.maximum(cls[i], cls[j]))
-        return pa.table({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
-
-    return dealt.groupBy("shingle", "tile", "meet").applyInArrow(run, "a long, b long").distinct()
+    met_ = placed.withColumn("part", part).withColumn("meet", F.explode(meets))
+    dealt = met_.join(maps.select("cls", "bits"), "cls").select("shingle", "tile", F.col("meet.i").alias("i"), F.col("meet.j").alias("j"), "part", "visits", "cls", "label", "n", "bits")
+    keys = ["shingle", "tile", "i", "j"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
+            edge = [table.column(c).to_numpy() for c in keys]
+            new = np.flatnonzero(np.any([np.diff(x) != 0 for x in edge], axis=0)) + 1
+            whole = int(new[-1]) if len(new) else 0  # the last group may go on in the next batch
+            rest = table.slice(whole)
+            if whole:
+                yield _candidates(table.slice(0, whole), np.append(0, new[:-1]), per_cent)
+        if rest is not None:
+            edge = [rest.column(c).to_numpy() for c in keys]
+            yield _candidates(rest, np.append(0, np.flatnonzero(np.any([np.diff(x) != 0 for x in edge], axis=0)) + 1), per_cent)
+
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+
+
+def _candidates(table: pa.Table, starts: np.ndarray, per_cent: int) -> pa.RecordBatch:
+    """Pairs of rows of one group (from one of ``starts`` to the next) that pass size and bit counts, each once."""
+    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(table))))
+    order = np.lexsort((table.column("n").to_numpy(), group))
+    cls, label, n, part, visits, i, j = (table.column(c).to_numpy()[order] for c in ("cls", "label", "n", "part", "visits", "i", "j"))
+    group, apart = group[order], i != j
+    bits = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("bits").combine_chunks()]
+    bits = [bits[k] for k in order]
+    width = np.fromiter(map(len, bits), np.int64, len(bits))
+    top = int(n.max()) * 2 + 2  # above every size that is looked for
+    past = np.searchsorted(group * top + n, group * top + n * 100 // per_cent, "right")
+    count = past - np.arange(len(n)) - 1
+    out, row, run = [], 0, np.cumsum(count)
+    while row < len(n):
+        end = max(row + 1, int(np.searchsorted(run, (run[row - 1] if row else 0) + PAIRS, "right")))
+        size = count[row:end]
+        total = np.cumsum(size)
+        x = np.repeat(np.arange(row, end), size)
+        y = np.arange(int(total[-1])) - np.repeat(total - size, size) + x + 1
+        near = (label[x] != label[y]) & (visits[x] + visits[y] < 2) & (~apart[x] | (part[x] != part[y]))
+        x, y, row = x[near], y[near], end
+        a, b = np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])
+        by = np.lexsort((b, a))  # a pair of many tiles is bounded once
+        first = np.append(True, (np.diff(a[by]) != 0) | (np.diff(b[by]) != 0))[: len(by)]
+        x, y = x[by[first]], y[by[first]]
+        low = np.minimum(width[x], width[y])
+        for w in np.unique(low).tolist():
+            p, q = x[low == w], y[low == w]
+            rows, place = np.unique(np.concatenate([p, q]), return_inverse=True)
+            signs = np.stack([np.bitwise_or.reduce(bits[k].reshape(-1, w)) for k in rows]).view(np.uint64)
+            step = max(1, (1 << 25) // w)
+            for s in range(0, len(p), step):
+                u, v = place[: len(p)][s : s + step], place[len(p) :][s : s + step]
+                m = n[p[s : s + step]]
+                keep = bound(m, signs[u], signs[v]) >= overlap_needed(m, n[q[s : s + step]], per_cent)
+                out.append(np.stack([cls[p[s : s + step]][keep], cls[q[s : s + step]][keep]]))
+    found = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(found.min(axis=0)), pa.array(found.max(axis=0))], ["a", "b"])
 
 
 def link(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, per_cent: int = PER_CENT) -> DataFrame:
@@ -318,33 +444,33 @@ def link(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, per_cent: int = PE
     """
     found = scratch.write(describe(docs, k), "found")
     own = found.where("kind = 0").drop("kind")
+    clashes = clashing(own)
+    if len(clashes):
+        own = own.withColumn("cls", F.when(F.col("cls").isin(clashes.tolist()), F.col("other")).otherwise(F.col("cls")))
     often = found.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(ORDERED_LAST)
     last = np.sort(np.array([r[0] for r in often.select("id").collect()], np.int64).view(np.uint64))
-    prefixes = scratch.write(tiles(docs, last, k, per_cent), "prefixes")
-    shared = scratch.write(shared_tiles(prefixes), "tiles")
-    scratch.remove("prefixes")
-    maps = own.where("n > 0").select("cls", "n", "bits").dropDuplicates(["cls"])
-
-    linked, named, labels = None, shared.select("shingle", "cls", F.col("cls").alias("label")), None
-
-    def renamed(labels: DataFrame) -> DataFrame:
-        return shared.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("shingle", "cls", F.coalesce("label", "cls").alias("label"))
+    shared = scratch.write(met(tiles(docs, last, clashes, k, per_cent)), "met")
+    scratch.release()
+    active = scratch.write(active_classes(shared, own), "active")
+    maps = scratch.write(maps_of(docs, active, k), "maps")
+    rows = scratch.write(cooler(shared, active), "tiles")
+    scratch.remove("met")
+    scratch.release()
 
+    linked, named = None, rows.withColumn("label", F.col("cls"))
     for round_ in range(HUB_ROUNDS):
-        pairs = scratch.write(bounded(star(named, round_), maps, per_cent), f"star{round_}")
-        scratch.release()
-        found_links = verify(pairs, own, docs, scratch, f"star-links{round_}", k, per_cent)
+        pairs = scratch.write(bounded(star(named, round_, scratch), maps, per_cent), f"star{round_}")
+        found_links = verify(pairs, active, docs, scratch, f"star-links{round_}", k, per_cent)
         linked = found_links if linked is None else linked.unionByName(found_links)
-        labels = components(linked, scratch, f"near{round_}")
-        named = scratch.write(renamed(labels), f"named{round_}")
-    rows = open_tiles(named).join(maps, "cls")
-    more = scratch.write(across(rows, per_cent), "candidates")
+        labels = components(linked, scratch, f"near{round_}").withColumnRenamed("node", "cls")
+        named = scratch.write(rows.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls")), f"named{round_}")
+    more = scratch.write(across(open_tiles(named, scratch), maps, scratch, per_cent), "candidates")
     scratch.release()
-    edges = linked.unionByName(verify(more, own, docs, scratch, "more-links", k, per_cent))
+    edges = linked.unionByName(verify(more, active, docs, scratch, "more-links", k, per_cent))
     labels = components(edges, scratch, "all")
 
     named_own = own.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    least = named_own.where("n > 0").groupBy("label").agg(F.min("id").alias("component"))
+    least = scratch.write(named_own.where("n > 0").groupBy("label").agg(F.min("id").alias("component")), "least")
     joined = named_own.join(least, "label", "left")
     return joined.select("id", "n", "cls", F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))).alias("component"))
 

@@ -15,10 +15,6 @@ import pyarrow as pa
 
 BLOCK_BYTES = 1 << 21
 
-_ODD, _ODD2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
 def byte_set(*ranges: tuple[int, int]) -> np.ndarray:
     """Which of the 256 byte values lie in one of the (first, last) ranges."""
     out = np.zeros(256, bool)
@@ -44,30 +40,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2**64."""
-    have = _tables.get(base)
-    if have is None or len(have[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        grown = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            grown.append(np.multiply.accumulate(p))
-        if n > (1 << 24):  # one very long text: not kept
-            return grown[0], grown[1]
-        _tables[base] = have = (grown[0], grown[1])
-    return have
-
-
-def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Polynomial hashes, modulo 2**64, of ``values[start:end]`` for every pair, from one running sum."""
+#: Keys of two independent hashes of bytes, and of the levels at which hashes of words are joined.
+_KEYS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_JOIN = 0xD6E8FEB86659FD93
+
+
+def bytes_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int = 0) -> np.ndarray:
+    """64-bit hashes of ``data[start:end]`` for every pair: eight bytes at a time are mixed into the keyed length.
+
+    Spans of one length up to eight bytes never share a hash, as every step is a bijection of what it takes in.
+    """
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * np.uint64(_KEYS[key]) + np.uint64(_KEYS[1 - key]))
     if not len(starts):
-        return np.zeros(0, np.uint64)
-    power, inverse = _powers(base, len(values) + 1)
-    run = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values.astype(np.uint64) * power[: len(values)], out=run[1:])
-    return mix((run[ends] - run[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+        return out
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from every place on
+    todo, at, left = np.arange(len(starts)), starts, size
+    while len(todo):
+        part = eight[at]
+        short = left < 8
+        part[short] &= (np.uint64(1) << (left[short].astype(np.uint64) * np.uint64(8))) - np.uint64(1)
+        out[todo] = mix(out[todo] ^ part)
+        more = left > 8
+        todo, at, left = todo[more], at[more] + 8, left[more] - 8
+    return out
+
+
+def joined(a: np.ndarray, b: np.ndarray, level: int) -> np.ndarray:
+    """Hashes of sequences from those of their two parts."""
+    return mix(a * np.uint64(_JOIN) + (b ^ np.uint64(_KEYS[0] * (2 * level + 1) & 0xFFFFFFFFFFFFFFFF)))
 
 
 class KeyTable:
@@ -137,18 +140,36 @@ class Block:
 
     @cached_property
     def hashes(self) -> np.ndarray:
-        return spans_hash(self.data, *self.spans, _ODD)
+        return bytes_hash(self.data, *self.spans)
+
+    @cached_property
+    def _runs(self) -> dict[int, np.ndarray]:
+        return {1: self.hashes}
+
+    def _run(self, k: int) -> np.ndarray:
+        """Hashes of ``k`` words (a power of two) from each word on, by doubling."""
+        if k not in self._runs:
+            half = self._run(k // 2)
+            n = max(len(half) - k // 2, 0)
+            self._runs[k] = joined(half[:n], half[len(half) - n :], k)
+        return self._runs[k]
 
     def windows(self, k: int) -> np.ndarray:
         """Hash of the k words from each word on; those that run past the block's end are left out."""
-        n = len(self.hashes) - k + 1
-        at = np.arange(max(n, 0))
-        return spans_hash(self.hashes, at, at + k, _ODD2)
+        n, out, done = max(len(self.hashes) - k + 1, 0), None, 0
+        for size in (1 << b for b in reversed(range(k.bit_length())) if k >> b & 1):
+            part = self._run(size)[done : done + n]
+            out = part if out is None else joined(out, part, k)
+            done += size
+        return out[:n]
 
     def sequence(self, i: int) -> np.ndarray:
-        """Hash of the whole word sequence of text i, as an array of one."""
+        """Hash of the whole word sequence of text i, as an array of one; it takes a step for every word."""
         a, b = self.bounds[i : i + 2]
-        return spans_hash(self.hashes[a:b], np.array([0]), np.array([b - a]), _ODD2)
+        out = mix(np.array([b - a], np.uint64))
+        for h in self.hashes[a:b]:
+            out = joined(out, h, 0)
+        return out
 
     def word(self, j: int) -> bytes:
         return self.data[self.spans[0][j] : self.spans[1][j]].tobytes()

@@ -121,6 +121,36 @@ def test_jaccard_join(spark, docs, rows, empty, monkeypatch):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, _, c in want if i == c}
 
 
+def test_jaccard_of_words_with_nul_and_of_names_that_clash(spark, monkeypatch):
+    from larkgraph.llm import op02_jaccard_join as q
+
+    rows = [(1, "x y z a\0 q"), (2, "x y z b q"), (3, "hello\0 one two three four"), (4, "iello one two three four"), (5, "x y z b q"), (6, "a\0 a\0 a\0 a\0 a\0"), (7, "b b b b b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lambda name: sorted((r["id"], r["n"], r["component"]) for r in q.link(docs, Scratch(spark, name)).collect())
+    assert found("t2n") == sorted(brute_jaccard(rows))
+    # Sets that share their first name are told apart by the second.
+    monkeypatch.setattr(q, "clashing", lambda own: __import__("numpy").array([r[0] for r in own.select("cls").distinct().collect()], "int64"))
+    assert found("t2c") == sorted(brute_jaccard(rows))
+
+
+def test_hashes_of_bytes_differ_where_the_bytes_do():
+    import numpy as np
+    import pyarrow as pa
+
+    from larkgraph.llm.textblocks import blocks
+
+    rng = random.Random(3)
+    found = {"".join(rng.choices("ab\0\x01é", k=rng.randrange(1, 30))) for _ in range(20000)} | {"a" + "\0" * n for n in range(40)}
+    (block,) = blocks(pa.array([" ".join(sorted(found))]))
+    assert len(block.hashes) == len(found) == len(np.unique(block.hashes))
+    thue = "a"
+    for _ in range(10):
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    (block,) = blocks(pa.array([" ".join(thue)]))
+    for k in (2, 5, 8, 20):
+        assert len(np.unique(block.windows(k))) == len({thue[i : i + k] for i in range(len(thue) - k + 1)})
+
+
 def test_jaccard_tiles_alone_find_every_link(spark, monkeypatch):
     """Without the hubs' stars, with frequent shingles and tiles cut into parts, the join still loses no link."""
     from larkgraph.llm import op02_jaccard_join as q
