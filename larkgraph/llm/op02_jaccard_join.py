@@ -38,17 +38,21 @@ ORDERED_LAST = 1 << 17
 #: Rows of a tile that one task compares at a time.
 TILE_ROWS = 512
 #: Bits of the longest bitmaps.
-MOST_BITS = 1 << 16
+MOST_BITS = 1 << 13
 #: Pairs of a tile that are held against each other at a time.
 PAIRS = 1 << 20
 #: Tiles of so many classes or fewer are told apart by the classes they hold.
 LISTED = 200
 #: Rounds of hubs before the tiles are searched; more rounds leave the tiles less to do and change no result.
-HUB_ROUNDS = 2
+HUB_ROUNDS = 3
 #: Parts into which the classes of a frequent shingle are dealt.
 PARTS = 64
 #: Shingles of a set for each further one that linked sets must share among their first.
-SPARE = 40
+SPARE = 16
+#: The hubs' rounds read about so many shingles of a set, chosen by the shingles' hashes.
+HUB_SHINGLES = 200
+#: A shingle that more sets than this deal is dealt in parts.
+HOT = 1000
 #: Different sets of one name that are told apart, at most. At 10**10 sets about five are expected.
 CLASHES = 10_000
 
@@ -109,8 +113,8 @@ def bitmap(shingles: np.ndarray, bits: int) -> np.ndarray:
 
 
 def bitmap_bits(n: int) -> int:
-    """A power of two from 2 to 4 bits a shingle, up to ``MOST_BITS``; a longer set's bound is weaker, not wrong."""
-    return min(MOST_BITS, max(64, 1 << (2 * n - 1).bit_length()))
+    """A power of two from 8 to 16 bits a shingle, up to ``MOST_BITS``; a longer set's bound is weaker, not wrong."""
+    return min(MOST_BITS, max(64, 1 << (8 * n - 1).bit_length()))
 
 
 def bound(n, own: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -239,14 +243,14 @@ def active_classes(shared: DataFrame, own: DataFrame) -> DataFrame:
 
 
 def cooler(shared: DataFrame, active: DataFrame) -> DataFrame:
-    """(shingle, cls, n, held): the shingles of active classes without the hottest few of each.
+    """(shingle, cls, n, held, heat): the shingles of active classes without the hottest few of each.
 
     Linked sets share at least ``l`` of the dealt shingles. Were the coolest of those among the ``l - 1`` hottest
     of one set, all would be; so both keep it, and that much can go.
     """
     rows = shared.join(active.select("cls", "n", "held"), "cls")
     place = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("heat"), "shingle"))
-    return rows.withColumn("place", place).where(F.col("place") >= shared_at_least(F.col("n"))).select("shingle", "cls", "n", "held")
+    return rows.withColumn("place", place).where(F.col("place") >= shared_at_least(F.col("n"))).select("shingle", "cls", "n", "held", "heat")
 
 
 def banded(rows: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
@@ -258,34 +262,42 @@ def banded(rows: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
     return rows.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("visits")).withColumn("tile", band + F.col("visits"))
 
 
+def sampled(rows: DataFrame) -> DataFrame:
+    """``rows`` with some shingles of the larger sets only: those of every larger sample are in every smaller set's."""
+    rate = F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.floor(F.log2(F.col("n") / HUB_SHINGLES)))).cast("long")
+    return rows.where(F.pmod(F.xxhash64("shingle"), rate) == 0)
+
+
 def star(named: DataFrame, k: int, scratch: Scratch) -> DataFrame:
     """(a, b): every class with the hub it shares most tiles with, among hubs of other components.
 
-    ``named``: shingle, cls, n, held, label. A tile's hub is at home in it: first its class that meets others
-    most often, which in a group of copies is likely the text that all were made from; in later rounds its
-    least class by a hash of the round. The hub of a tile that holds one component asks for nothing.
+    ``named``: shingle, cls, n, held, label. A tile's hub is first its class that meets others most often, which
+    in a group of copies is likely the text that all were made from; in later rounds its least class by a hash of
+    the round. The hub of a tile that holds one component asks for nothing.
     """
     placed = banded(named)
-    rank = F.struct((-F.col("held")).alias("r") if k == 0 else F.xxhash64("cls", F.lit(k)).alias("r"), "cls", "label")
-    hubs = placed.groupBy("shingle", "tile").agg(F.min(F.when(F.col("visits") == 0, rank)).alias("hub"), F.min("label").alias("least"), F.max("label").alias("most"))
-    hubs = hubs.where("least < most AND hub IS NOT NULL").select("shingle", "tile", F.col("hub.cls").alias("hub"), F.col("hub.label").alias("hub_label"))
+    rank = F.struct((-F.col("held")).alias("r") if k == 0 else F.xxhash64("cls", F.lit(k)).alias("r"), "cls", "label", "visits")
+    hubs = placed.groupBy("shingle", "tile").agg(F.min(rank).alias("hub"), F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
+    hubs = hubs.select("shingle", "tile", F.col("hub.cls").alias("hub"), F.col("hub.label").alias("hub_label"), F.col("hub.visits").alias("hub_visits"))
     hubs = scratch.write(hubs, f"hubs{k}")  # written, so that a hot tile's side of the join can be split
-    votes = placed.join(hubs, ["shingle", "tile"]).where("label <> hub_label").groupBy("cls", "hub").agg(F.count("*").alias("n"))
+    votes = placed.join(hubs, ["shingle", "tile"]).where("label <> hub_label AND visits + hub_visits < 2").groupBy("cls", "hub").agg(F.count("*").alias("n"))
     best = votes.groupBy("cls").agg(F.min_by("hub", F.struct(-F.col("n"), "hub")).alias("hub"))
     return best.select(F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b")).distinct()
 
 
-def open_tiles(named: DataFrame, scratch: Scratch) -> DataFrame:
-    """(shingle, cls, n, label) of shingles that classes of two components or more deal.
+def open_tiles(named: DataFrame) -> DataFrame:
+    """(shingle, cls, n, label, heat) of shingles that classes of two components or more deal, and of hot ones.
 
     Shingles of equal short lists of classes ask the same question; one of them stays.
     """
-    size = named.groupBy("shingle").agg(F.count("*").alias("rows"), F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
-    size = scratch.write(size.select("shingle", "rows"), "open")
-    rows = scratch.write(named.join(size, "shingle").select("shingle", "cls", "n", "label", "rows"), "open-rows")
-    lists = rows.where(F.col("rows") <= LISTED).groupBy("shingle").agg(F.array_sort(F.collect_list(F.struct("cls", "n", "label"))).alias("list"))
-    single = lists.groupBy("list").agg(F.min("shingle").alias("shingle")).select("shingle", F.explode("list").alias("x")).select("shingle", "x.*")
-    return single.unionByName(rows.where(F.col("rows") > LISTED).select("shingle", "cls", "n", "label"))
+    part = F.when(F.col("heat") > HOT, F.pmod(F.xxhash64("cls"), F.lit(PARTS))).otherwise(F.lit(0))
+    own = Window.partitionBy("shingle", "part")
+    rows = named.withColumn("part", part).repartition("shingle", "part")
+    rows = rows.withColumns({"least": F.min("label").over(own), "most": F.max("label").over(own)})
+    rows = rows.where((F.col("least") < F.col("most")) | (F.col("heat") > HOT))
+    lists = rows.where(F.col("heat") <= LISTED).groupBy("shingle", "part").agg(F.array_sort(F.collect_list(F.struct("cls", "n", "label"))).alias("list"), F.first("heat").alias("heat"))
+    single = lists.groupBy("list").agg(F.min(F.struct("shingle", "heat")).alias("one")).select("one.*", F.explode("list").alias("x"))
+    return single.select("shingle", "x.*", "heat").unionByName(rows.where(F.col("heat") > LISTED).select("shingle", "cls", "n", "label", "heat"))
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -364,13 +376,14 @@ def verify(pairs: DataFrame, active: DataFrame, docs: DataFrame, scratch: Scratc
 def across(rows: DataFrame, maps: DataFrame, scratch: Scratch, per_cent: int = PER_CENT) -> DataFrame:
     """Candidate pairs (a, b) of classes in one tile but different components, whose bit counts allow a link.
 
-    ``rows``: shingle, cls, n, label. A tile of many rows is cut into parts that meet two at a time, so no task
+    ``rows``: shingle, cls, n, label, heat. A tile of many rows is cut into parts that meet two at a time, so no task
     holds more than ``2 * TILE_ROWS`` of them.
     """
     placed = scratch.write(banded(rows, per_cent), "placed")
-    size = placed.groupBy("shingle", "tile").agg(F.count("*").alias("rows"), F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
+    hot = placed.where(F.col("heat") > TILE_ROWS)
+    size = hot.groupBy("shingle", "tile").agg(F.count("*").alias("rows"), F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
     size = scratch.write(size.select("shingle", "tile", F.ceil(F.col("rows") / TILE_ROWS).cast("int").alias("parts")), "sizes")
-    placed = placed.join(size, ["shingle", "tile"])
+    placed = placed.where(F.col("heat") <= TILE_ROWS).withColumn("parts", F.lit(1)).unionByName(hot.join(size, ["shingle", "tile"]))
     part = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
     meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(part, j).alias("i"), F.greatest(part, j).alias("j")))
     met_ = placed.withColumn("part", part).withColumn("meet", F.explode(meets))
@@ -457,14 +470,16 @@ def link(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, per_cent: int = PE
     scratch.remove("met")
     scratch.release()
 
-    linked, named = None, rows.withColumn("label", F.col("cls"))
+    some = scratch.write(sampled(rows), "some")
+    linked, labels, named = None, None, some.withColumn("label", F.col("cls"))
     for round_ in range(HUB_ROUNDS):
         pairs = scratch.write(bounded(star(named, round_, scratch), maps, per_cent), f"star{round_}")
         found_links = verify(pairs, active, docs, scratch, f"star-links{round_}", k, per_cent)
         linked = found_links if linked is None else linked.unionByName(found_links)
         labels = components(linked, scratch, f"near{round_}").withColumnRenamed("node", "cls")
-        named = scratch.write(rows.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls")), f"named{round_}")
-    more = scratch.write(across(open_tiles(named, scratch), maps, scratch, per_cent), "candidates")
+        named = some.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    named = rows.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    more = scratch.write(across(open_tiles(named), maps, scratch, per_cent), "candidates")
     scratch.release()
     edges = linked.unionByName(verify(more, active, docs, scratch, "more-links", k, per_cent))
     labels = components(edges, scratch, "all")
