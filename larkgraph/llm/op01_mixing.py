@@ -6,9 +6,11 @@ ranked by random odds over inclusion odds, ``(u/(1-u)) / (p/(1-p))``, and taken
 their words fit what the target still lacks; a few further rounds over the documents small enough for the
 remaining gap close it. ``u`` comes from a digest of the document's id, so reruns agree.
 
-The cut in the ranking is found without sorting a source in one task: words are summed per source and
-rank bin, which finds the bin of the cut, and only that bin's rows are ordered. What is kept per source is
-one row of cuts, so any later pass decides a document's copies from its own row and that one.
+The cut in the ranking is found without sorting a source in one task. Within a source all inclusion odds are
+equal, so ranks ascend with ``u``, whose bins are even: words are summed per source and bin, which finds the bin
+of the cut, then again in bins of that bin, and so on, until only a few rows are ordered. A source whose target
+is a whole multiple of its words has no gap and no cut. What is kept per source is one row of cuts, so any later
+pass decides a document's copies from its own row and that one.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from .shared import Scratch, documents, n_words
 WEIGHTS = (5, 2, 1)
 #: A document's words are taken this many times at most.
 MOST = 3
-#: Rank bins per source: the rows ordered together are about a source's rows over this.
-BINS = 4096
+#: Bins of a source at each level, and levels: the rows ordered together are a source's rows over ``BINS ** LEVELS``.
+BINS, LEVELS = 256, 3
 #: Rounds that fill the gap after the first cut.
 FILLS = 2
 SEED = "mix"
@@ -89,8 +91,9 @@ def _rank(mix: Mix) -> Column:
     return (F.col("u") / (1.0 - F.col("u"))) / (p / (1.0 - p))
 
 
-def _bin(rank: Column) -> Column:
-    return F.floor(rank / (1.0 + rank) * BINS).cast("int")
+def _bin(level: int = LEVELS) -> Column:
+    """The bin of a row's place in its source at a level; those of the next level lie inside it."""
+    return F.floor(F.col("u") * float(BINS**level)).cast("long")
 
 
 def _within(k: int) -> Column:
@@ -109,14 +112,14 @@ def _taken(rounds: int) -> Column:
 
 
 def _candidate(k: int) -> Column:
-    fits = F.col("size") <= F.col(f"left{k}")
-    return (F.col("certain") < F.col("most")) & (F.col("size") > 0) & (fits if k else F.lit(True))
+    left = F.col(f"left{k}")
+    return (F.col("certain") < F.col("most")) & (F.col("size") > 0) & (left >= 1) & (F.col("size") <= left if k else F.lit(True))
 
 
 def _ranked(rows: DataFrame, cuts: DataFrame, mix: Mix) -> DataFrame:
     lowest = F.lit(-(1 << 63)).cast("long")
     joined = rows.join(cuts, "skey").withColumn("rank", _rank(mix))
-    return joined.withColumns({"bin": _bin(F.col("rank")), "oid": F.coalesce(F.col("doc_id"), lowest)})
+    return joined.withColumns({"bin": _bin(), "oid": F.coalesce(F.col("doc_id"), lowest)})
 
 
 def cut(rows: DataFrame, mix: Mix, scratch: Scratch) -> DataFrame:
@@ -125,10 +128,18 @@ def cut(rows: DataFrame, mix: Mix, scratch: Scratch) -> DataFrame:
     cuts = scratch.write(cuts.withColumn("left0", F.col("target") - (F.col("certain") * F.col("source_size")).cast("double")), "cuts")
     for k in range(1 + FILLS):
         open_rows = _ranked(rows, cuts, mix).where(_candidate(k) & ~_taken(k))
-        bins = open_rows.groupBy("skey", "bin").agg(F.sum("size").alias("words"), F.first(f"left{k}").alias("left"))
-        running = F.sum("words").over(Window.partitionBy("skey").orderBy("bin"))
-        bins = bins.withColumn("after", running)
-        edge = bins.where(F.col("after") > F.col("left")).groupBy("skey").agg(F.min_by(F.struct("bin", (F.col("after") - F.col("words")).alias("before"), "left"), "bin").alias("edge")).select("skey", "edge.*")
+        edge, every = None, None
+        for level in range(1, LEVELS + 1):
+            part = open_rows.withColumn("part", _bin(level))
+            if edge is not None:
+                part = part.join(edge.select("skey", F.col("part").alias("outer"), "before"), "skey").where(_bin(level - 1) == F.col("outer"))
+            bins = part.groupBy("skey", "part").agg(F.sum("size").alias("words"), F.first(f"left{k}").alias("left"), (F.lit(0) if edge is None else F.first("before")).alias("base"))
+            after = F.col("base") + F.sum("words").over(Window.partitionBy("skey").orderBy("part"))
+            bins = bins.withColumn("after", after)
+            every = bins.groupBy("skey").agg(F.max("after").alias("every")) if every is None else every
+            edge = bins.where(F.col("after") > F.col("left")).groupBy("skey").agg(F.min_by(F.struct("part", (F.col("after") - F.col("words")).alias("before"), "left"), "part").alias("edge")).select("skey", "edge.*")
+            edge = scratch.write(edge, f"edge{k}-{level}")
+        edge = edge.withColumnRenamed("part", "bin")
         inside = open_rows.select("skey", "bin", "rank", "oid", "size").join(edge, ["skey", "bin"])
         inside = inside.withColumn("sum", F.col("before") + F.sum("size").over(Window.partitionBy("skey").orderBy("rank", "oid")))
         last = inside.groupBy("skey").agg(
@@ -137,7 +148,6 @@ def cut(rows: DataFrame, mix: Mix, scratch: Scratch) -> DataFrame:
             F.coalesce(F.max(F.when(F.col("sum") <= F.col("left"), F.col("sum"))), F.first("before")).alias("got"),
         )
         last = last.select("skey", f"bin{k}", F.col("last.rank").alias(f"rank{k}"), F.col("last.oid").alias(f"id{k}"), "got")
-        every = bins.groupBy("skey").agg(F.max("after").alias("every"))
         cuts = cuts.join(last, "skey", "left").join(every, "skey", "left")
         cuts = cuts.withColumn(f"left{k + 1}", F.col(f"left{k}") - F.coalesce("got", "every", F.lit(0))).drop("got", "every")
         cuts = scratch.write(cuts, f"cuts{k}")
