@@ -1,11 +1,13 @@
 """Duplicate passages by relative Lempel-Ziv parsing of every text against all earlier texts.
 
 The reference is dealt into blocks by anchors: an anchor is the least hash among the 13 runs of 8 words in
-a seed of 20 words, so equal seeds have equal anchors and meet in one block. Each block indexes its seeds by
-their first place (document, word). Parsing a text looks every seed up in the block that can hold it, and a
-factor runs as long as consecutive seeds are found at consecutive places of one source. Where a factor ends
-the next seed is looked up by itself, so a seed that straddles two factors is judged like any other. The
-words of the factors, all of 20 words or more, are the duplicate spans.
+a seed of 20 words, so equal seeds have equal anchors and meet in one block. Each block indexes every
+seed once, by its first place (document, word): the reference is all text without its own repeats. So a match of
+20 words or more has one place to start from, and the longest match from there, which the greedy parse takes, runs
+as long as the next seeds are found at the next places of the same source. Where a factor ends, the next seed is
+looked up by itself, so a seed that straddles two factors is judged like any other. The words of the factors,
+all of 20 words or more, are the duplicate spans. As the index is a hash table of seeds dealt by key, a text's
+look-ups are one join; a block is never searched for texts that share no anchor with it.
 
 Texts of equal word sequences are one reference text; later ones are one factor from end to end. Seeds are
 only made where their anchor occurs twice or more, as no other seed can be found again.
@@ -69,6 +71,8 @@ class _Windows:
             self.block, self.grams, self.seeds = block, block.windows(GRAM), None
         if seeds and self.seeds is None:
             self.seeds = block.windows(SEED)
+            run = np.append(np.uint64(0), np.cumsum(mix(block.hashes ^ np.uint64(0xA24BAED4963EE407))))
+            self.checks = ((run[SEED:] - run[:-SEED])[: len(self.seeds)] >> np.uint64(33)).astype(np.int32)
         return self.grams, self.seeds
 
 
@@ -156,7 +160,11 @@ def repeated_anchors(rows: DataFrame) -> DataFrame:
 
 
 def seeds(texts: DataFrame) -> DataFrame:
-    """(seed, id, text_id, at, frequent): the seeds of ``texts`` (id, text_id, text, rare, often) whose anchor is listed."""
+    """(seed, check, id, text_id, at, frequent): the seeds of ``texts`` (id, text_id, text, rare, often) whose anchor is listed.
+
+    ``seed`` is a hash of the words in order; ``check`` comes from a sum over them.
+    """
+    names = ["seed", "check", "id", "text_id", "at", "frequent"]
 
     def listed(batch: pa.RecordBatch, column: str, row: int) -> np.ndarray:
         return np.sort(np.asarray(batch.column(column)[row].values, np.int64)).view(np.int64)
@@ -164,7 +172,7 @@ def seeds(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = _Windows()
         for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
+            out: list[list] = [[] for _ in names]
             for row, (block, _, a, b) in enumerate(_texts(batch)):
                 if b - a < SEED or _sequence_id(block.hashes[a:b]) != batch.column("text_id")[row].as_py():
                     continue
@@ -173,17 +181,18 @@ def seeds(texts: DataFrame) -> DataFrame:
                 rare, often = (np.isin(key, listed(batch, c, row)) for c in ("rare", "often"))
                 at = np.flatnonzero(rare | often)
                 out[0].append(signed(whole[a + at]))
-                out[1].append(np.full(len(at), batch.column("id")[row].as_py(), np.int64))
-                out[2].append(np.full(len(at), batch.column("text_id")[row].as_py(), np.int64))
-                out[3].append(at.astype(np.int32))
-                out[4].append(often[at])
+                out[1].append(windows.checks[a + at])
+                out[2].append(np.full(len(at), batch.column("id")[row].as_py(), np.int64))
+                out[3].append(np.full(len(at), batch.column("text_id")[row].as_py(), np.int64))
+                out[4].append(at.astype(np.int32))
+                out[5].append(often[at])
                 if sum(map(len, out[0])) > 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["seed", "id", "text_id", "at", "frequent"])
-                    out = [[] for _ in range(5)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names)
+                    out = [[] for _ in names]
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["seed", "id", "text_id", "at", "frequent"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names)
 
-    return texts.select("id", "text_id", F.col("text").cast("binary").alias("text"), "rare", "often").mapInArrow(run, "seed long, id long, text_id long, at int, frequent boolean")
+    return texts.select("id", "text_id", F.col("text").cast("binary").alias("text"), "rare", "often").mapInArrow(run, "seed long, check int, id long, text_id long, at int, frequent boolean")
 
 
 def look_up(rows: DataFrame) -> DataFrame:
@@ -202,10 +211,10 @@ def look_up(rows: DataFrame) -> DataFrame:
         return part.withColumns({"place": place, "source": F.first("id").over(own), "source_at": F.first("at").over(own)})
 
     part = F.when(F.col("frequent"), F.pmod(F.xxhash64("id", "text_id"), F.lit(PARTS))).otherwise(F.lit(0))
-    once = found(rows.withColumn("part", part), "seed", "part")
-    firsts = once.where("frequent AND place = 1").select("seed", "id", "text_id", "at")
+    once = found(rows.withColumn("part", part), "seed", "check", "part")
+    firsts = once.where("frequent AND place = 1").select("seed", "check", "id", "text_id", "at")
     # Both branches name the same columns, so that they read one exchange of the seeds.
-    return once.where("place > 1 AND frequent IS NOT NULL").select(columns).unionByName(found(firsts, "seed").where("place > 1").select(columns))
+    return once.where("place > 1 AND frequent IS NOT NULL").select(columns).unionByName(found(firsts, "seed", "check").where("place > 1").select(columns))
 
 
 def parse(at: np.ndarray, source: np.ndarray, source_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -261,7 +270,8 @@ def duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     repeated = scratch.write(repeated_anchors(anchor_rows(docs, frequent)), "anchors")
     scratch.release()
 
-    first = own.groupBy("text_id").agg(F.min(F.struct("id", "text_hash")).alias("f")).select("text_id", "f.*")
+    # A copy has the digest of its words in common with the first text, not only a name; written, so that a group of copies can be split.
+    first = scratch.write(own.groupBy("text_id", "sha").agg(F.min(F.struct("id", "text_hash")).alias("f")).select("text_id", "sha", "f.*"), "first")
     wanted = first.join(repeated, "text_id").select(F.col("id").alias("wanted"), "text_id", F.col("text_hash").alias("spelling"), "rare", "often")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), "text")
     texts = texts.join(wanted, (F.col("id") == F.col("wanted")) & (F.xxhash64("text") == F.col("spelling"))).drop("wanted", "spelling")
@@ -277,7 +287,7 @@ def duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     parsed = parsed.mapInArrow(_factor, f"id long, text_id long, n_removed long, kept_sha256 string, factors {FACTORS}")
     parsed = scratch.write(parsed, "parsed")
 
-    rows = own.join(first.select("text_id", F.col("id").alias("first_id")), "text_id").join(parsed, ["id", "text_id"], "left")
+    rows = own.join(first.select("text_id", "sha", F.col("id").alias("first_id")), ["text_id", "sha"]).join(parsed, ["id", "text_id"], "left")
     copy = (F.col("id") > F.col("first_id")) & (F.col("n") >= SEED)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("size"), F.col("first_id").alias("source"), F.lit(0).cast("long").alias("source_start")))
     return rows.select(
