@@ -102,7 +102,8 @@ class Encoder:
     """Encodes texts piece by piece; a worker sends each distinct piece through the tokenizer once.
 
     A piece of lower-case letters up to U+00FF is one word to normaliser and pre-tokenizer alike, so it goes
-    to the model at once. Texts that hold the opening of a special token are encoded whole.
+    to the model at once. Texts that hold the opening of a special token are encoded whole, and so are texts
+    with a piece whose hash is that of a remembered one but whose second hash isn't.
     """
 
     def __init__(self, path: str):
@@ -116,6 +117,7 @@ class Encoder:
     def _forget(self) -> None:
         self.table = KeyTable(REMEMBERED)
         self.at, self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.checks = np.zeros(0, np.uint64)
 
     def _learn(self, block: Block, keys: np.ndarray, first: np.ndarray) -> None:
         """Adds pieces: their hashes and, for each, the place of one in the block."""
@@ -135,11 +137,12 @@ class Encoder:
         size = np.fromiter(map(len, found), np.int64, len(found))
         pool = np.fromiter((x for ids in found for x in ids), np.int32, int(size.sum()))
         self.table.add(keys)
+        self.checks = np.concatenate([self.checks, block.checks[first]])
         self.at = np.concatenate([self.at, np.cumsum(size) - size + len(self.pool)])
         self.size, self.pool = np.concatenate([self.size, size]), np.concatenate([self.pool, pool])
 
-    def _block(self, block: Block, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of a block's texts, one after the other, and how many each has."""
+    def _block(self, block: Block, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of a block's texts, one after the other, how many each has, and the texts whose ids are not to be trusted."""
         keys = block.hashes
         place = self.table.find(keys)
         lacking = np.flatnonzero(place < 0)
@@ -151,6 +154,7 @@ class Encoder:
                 lacking = np.arange(len(keys))
             self._learn(block, new, lacking[first])
             place[lacking] = self.table.find(keys[lacking])
+        unlike = np.flatnonzero(self.checks[place] != block.checks)
         size, at = self.size[place], self.at[place]
         run = np.zeros(len(size) + 1, np.int64)
         np.cumsum(size, out=run[1:])
@@ -158,22 +162,24 @@ class Encoder:
         out, keep = np.full(int(run[-1]) + len(ends), end, np.int32), np.ones(int(run[-1]) + len(ends), bool)
         keep[ends - 1] = False
         out[keep] = self.pool[np.repeat(at - run[:-1], size) + np.arange(run[-1])]
-        return out, np.diff(ends, prepend=0)
+        return out, np.diff(ends, prepend=0), np.unique(np.searchsorted(block.bounds, unlike, "right") - 1)
 
     def texts(self, texts: pa.Array, end: int) -> pa.ListArray:
         """Ids of each text with ``end`` after them, as a list array; a null text is empty."""
         special = pc.fill_null(pc.match_substring(texts, "<|"), False)
         parts, sizes = [], []
         plain = pc.if_else(special, pa.scalar("", texts.type), texts)
+        whole = special.to_numpy(zero_copy_only=False).copy()
         for block in blocks(plain, PLAIN, most=1 << 20, kind=Pieces):
-            ids, size = self._block(block, end)
+            ids, size, unlike = self._block(block, end)
+            whole[block.first + unlike] = True
             parts.append(ids)
             sizes.append(size)
         ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
         size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-        if pc.any(special).as_py():
+        if whole.any():
             own = np.split(ids, np.cumsum(size)[:-1])
-            for i in np.flatnonzero(special.to_numpy(zero_copy_only=False)):
+            for i in np.flatnonzero(whole):
                 own[i] = np.array([*self.tokenizer.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, end], np.int32)
             ids, size = np.concatenate(own), np.array(list(map(len, own)))
         return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(ids))

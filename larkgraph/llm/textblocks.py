@@ -142,6 +142,11 @@ class Block:
     def hashes(self) -> np.ndarray:
         return bytes_hash(self.data, *self.spans)
 
+    @cached_property
+    def checks(self) -> np.ndarray:
+        """A second hash of each word, independent of the first."""
+        return bytes_hash(self.data, *self.spans, key=1)
+
     @cached_property
     def _runs(self) -> dict[int, np.ndarray]:
         return {1: self.hashes}
