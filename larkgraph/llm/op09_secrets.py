@@ -121,7 +121,7 @@ class Ledger:
 
     def update(self, versions: DataFrame, rules=RULES) -> None:
         """Scans the pairs of ``versions`` (doc_id, text) and ``rules`` that the ledger lacks, and appends them."""
-        addressed = with_blobs(versions.select("doc_id", "text"))
+        addressed = with_blobs(versions.select("doc_id", "text").where("text <> ''"))  # nothing is in an empty blob
         first = addressed.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
         wanted = F.array(*(F.lit(version(r)) for r in rules))
         if self._exists():
@@ -146,20 +146,31 @@ def findings(versions: DataFrame, ledger: Ledger, rules=RULES) -> DataFrame:
     place = F.create_map(*(F.lit(x) for i, r in enumerate(rules) for x in (version(r), i)))
     own = F.filter("spans", lambda x: x["rule"].isin([version(r) for r in rules]))
     ordered = F.array_sort(F.transform(own, lambda x: F.struct(x["start"].alias("start"), F.element_at(place, x["rule"]).alias("place"), x["end"].alias("end"), F.element_at(kind, x["rule"]).alias("kind"))))
-    found = ledger.read().where(F.size("spans") > 0).select("blob", ordered.alias("spans"))
-    rows = with_blobs(versions.select("doc_id", "text")).select("doc_id", "blob")
+    # Only blobs with findings are joined; written, so that the rows of a blob of many copies can be split.
+    found = Scratch(versions.sparkSession, "op9-found").write(ledger.read().where(F.size("spans") > 0).select(F.col("blob").alias("found"), ordered.alias("spans")), "found")
+    blank = F.coalesce(F.col("text"), F.lit("")) == ""
+    key = F.when(blank, F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))  # empty texts meet nothing, anywhere
+    rows = with_blobs(versions.select("doc_id", "text").withColumn("key", key)).select("doc_id", "blob", F.coalesce("key", "blob").alias("key"))
     empty = F.array().cast("array<struct<start:long,place:int,end:long,kind:string>>")
-    return rows.join(found, "blob", "left").withColumn("spans", F.coalesce("spans", empty))
+    return rows.join(found, F.col("key") == F.col("found"), "left").select("doc_id", "blob", F.coalesce("spans", empty).alias("spans"))
 
 
 def _joined(spans) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def op9_secrets(spark, sf_dir: str) -> DataFrame:
-    """Counts and digest of the base kinds' spans, and all spans, for every document."""
-    ledger = Ledger(spark, f"{Scratch(spark, 'op9').path}/ledger")
-    found = findings(documents(spark, sf_dir), ledger)
+#: Session setting that names the folder of a ledger that outlives a run.
+LEDGER = "spark.larkgraph.secrets.ledger"
+
+
+def op9_secrets(spark, sf_dir: str, ledger: str | None = None) -> DataFrame:
+    """Counts and digest of the base kinds' spans, and all spans, for every document.
+
+    With a ``ledger`` folder, given here or by the session's ``LEDGER``, only pairs that it lacks are scanned
+    and the rest comes from it; without one the run starts a ledger of its own.
+    """
+    where = ledger or spark.conf.get(LEDGER, None) or f"{Scratch(spark, 'op9').path}/ledger"
+    found = findings(documents(spark, sf_dir), Ledger(spark, where))
 
     def of(*kinds: str) -> Column:
         return F.filter("spans", lambda x: x["kind"].isin(*kinds))
