@@ -375,7 +375,7 @@ def starting_point(met: np.ndarray, vocabulary: Vocabulary, states: int = STATES
             centre = np.stack([place[near == c].mean(axis=0) if (near == c).any() else centre[c] for c in range(len(centre))])
         lean[np.arange(len(place)), near] = 8.0
     emit = shares[:, None] * lean
-    whole = (emit.sum(axis=0) + 1.0 - unseen - shares.sum()) / (1.0 - unseen)
+    whole = (emit.sum(axis=0) + 1.0 - unseen - shares.sum()) / (1.0 - unseen) if len(shares) else np.ones(states)
     move = np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
     return Model(np.full(states, 1 / states), move, emit / whole, np.full(states, unseen), whole)
 
