@@ -7,6 +7,7 @@ the session names in ``spark.checkpoint.dir``; a lost executor then costs a re-r
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -57,6 +58,7 @@ class Scratch:
 
     def release(self) -> None:
         """Lets Spark's cleaner drop the shuffle files of finished steps now, not at some later collection."""
+        gc.collect()  # plans that Python still names keep their shuffles
         self.spark.sparkContext._jvm.System.gc()
 
 
