@@ -44,7 +44,7 @@ PAIRS = 1 << 20
 #: Tiles of so many classes or fewer are told apart by the classes they hold.
 LISTED = 200
 #: Rounds of hubs before the tiles are searched; more rounds leave the tiles less to do and change no result.
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 #: Parts into which the classes of a frequent shingle are dealt.
 PARTS = 64
 #: Shingles of a set for each further one that linked sets must share among their first.
@@ -53,6 +53,8 @@ SPARE = 16
 HUB_SHINGLES = 200
 #: A shingle that more sets than this deal is dealt in parts.
 HOT = 1000
+#: Bits of the map that tells which documents a join may need: a megabyte, however many there are.
+WANTED_BITS = 1 << 23
 #: Different sets of one name that are told apart, at most. At 10**10 sets about five are expected.
 CLASHES = 10_000
 
@@ -243,14 +245,24 @@ def active_classes(shared: DataFrame, own: DataFrame) -> DataFrame:
 
 
 def cooler(shared: DataFrame, active: DataFrame) -> DataFrame:
-    """(shingle, cls, n, held, heat): the shingles of active classes without the hottest few of each.
+    """(cls, n, held, tiles): the shingles, with their heat, of active classes, without the hottest few of each.
 
     Linked sets share at least ``l`` of the dealt shingles. Were the coolest of those among the ``l - 1`` hottest
-    of one set, all would be; so both keep it, and that much can go.
+    of one set, all would be; so both keep it, and that much can go. A class is one row, so that later joins by
+    class move little.
     """
-    rows = shared.join(active.select("cls", "n", "held"), "cls")
-    place = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("heat"), "shingle"))
-    return rows.withColumn("place", place).where(F.col("place") >= shared_at_least(F.col("n"))).select("shingle", "cls", "n", "held", "heat")
+    mine = F.array_sort(F.collect_list(F.struct("heat", "shingle")))
+    own = active.select("cls", "n", "held").join(shared.groupBy("cls").agg(mine.alias("tiles")), "cls")
+    return own.withColumn("tiles", F.slice("tiles", 1, F.greatest(F.size("tiles") - (shared_at_least(F.col("n")) - 1).cast("int"), F.lit(1))))
+
+
+def dealt(classes: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(shingle, heat, cls, n, held, label): a row for each shingle of each class, with the class's component."""
+    if labels is None:
+        named = classes.withColumn("label", F.col("cls"))
+    else:
+        named = classes.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    return named.select("cls", "n", "held", "label", F.explode("tiles").alias("t")).select("t.shingle", "t.heat", "cls", "n", "held", "label")
 
 
 def banded(rows: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
@@ -262,10 +274,10 @@ def banded(rows: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
     return rows.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("visits")).withColumn("tile", band + F.col("visits"))
 
 
-def sampled(rows: DataFrame) -> DataFrame:
-    """``rows`` with some shingles of the larger sets only: those of every larger sample are in every smaller set's."""
+def sampled(classes: DataFrame) -> DataFrame:
+    """``classes`` with some shingles of the larger sets only: those of every larger set's sample are in a smaller's."""
     rate = F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.floor(F.log2(F.col("n") / HUB_SHINGLES)))).cast("long")
-    return rows.where(F.pmod(F.xxhash64("shingle"), rate) == 0)
+    return classes.withColumn("rate", rate).withColumn("tiles", F.filter("tiles", lambda t: F.pmod(F.xxhash64(t["shingle"]), F.col("rate")) == 0)).drop("rate")
 
 
 def star(named: DataFrame, k: int, scratch: Scratch) -> DataFrame:
@@ -301,10 +313,25 @@ def open_tiles(named: DataFrame) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cls, text) of the documents that ``wanted`` (cls, id, spelling) names, a null id included."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    same = rows["doc_id"].eqNullSafe(wanted["id"]) & (F.xxhash64(rows["text"]) == wanted["spelling"])
-    return rows.join(wanted, same).select("cls", "text")
+    """(cls, text) of the documents that ``wanted`` (cls, id, spelling) names, a null id included.
+
+    A bitmap of the wanted spellings' hashes, of a fixed size, leaves most other texts out before they are dealt.
+    """
+    at = F.pmod(F.xxhash64("spelling"), F.lit(WANTED_BITS))
+    pages = wanted.select((at + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    bits = np.zeros(WANTED_BITS // 8, np.uint8)
+    for page, part in pages:  # Spark counts bits and pages from 1
+        bits[(page - 1) * 4096 : page * 4096] = np.frombuffer(bytes(part), np.uint8)
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.column("at").to_numpy()
+            yield batch.filter(pa.array((sent.value[place >> 3] >> (place & 7) & 1).astype(bool))).select(["doc_id", "own", "text"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("own"), "text").withColumn("at", F.pmod(F.xxhash64("own"), F.lit(WANTED_BITS)))
+    rows = rows.mapInArrow(run, "doc_id long, own long, text string")
+    return rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["id"]) & (rows["own"] == wanted["spelling"])).select("cls", "text")
 
 
 def maps_of(docs: DataFrame, active: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -387,7 +414,7 @@ def across(rows: DataFrame, maps: DataFrame, scratch: Scratch, per_cent: int = P
     part = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
     meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(part, j).alias("i"), F.greatest(part, j).alias("j")))
     met_ = placed.withColumn("part", part).withColumn("meet", F.explode(meets))
-    dealt = met_.join(maps.select("cls", "bits"), "cls").select("shingle", "tile", F.col("meet.i").alias("i"), F.col("meet.j").alias("j"), "part", "visits", "cls", "label", "n", "bits")
+    ready = met_.join(maps.select("cls", "bits"), "cls").select("shingle", "tile", F.col("meet.i").alias("i"), F.col("meet.j").alias("j"), "part", "visits", "cls", "label", "n", "bits")
     keys = ["shingle", "tile", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,7 +432,7 @@ def across(rows: DataFrame, maps: DataFrame, scratch: Scratch, per_cent: int = P
             edge = [rest.column(c).to_numpy() for c in keys]
             yield _candidates(rest, np.append(0, np.flatnonzero(np.any([np.diff(x) != 0 for x in edge], axis=0)) + 1), per_cent)
 
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+    return ready.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
 
 
 def _candidates(table: pa.Table, starts: np.ndarray, per_cent: int) -> pa.RecordBatch:
@@ -466,20 +493,18 @@ def link(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, per_cent: int = PE
     scratch.release()
     active = scratch.write(active_classes(shared, own), "active")
     maps = scratch.write(maps_of(docs, active, k), "maps")
-    rows = scratch.write(cooler(shared, active), "tiles")
+    classes = scratch.write(cooler(shared, active), "tiles")
     scratch.remove("met")
     scratch.release()
 
-    some = scratch.write(sampled(rows), "some")
-    linked, labels, named = None, None, some.withColumn("label", F.col("cls"))
+    some = scratch.write(sampled(classes), "some")
+    linked, labels = None, None
     for round_ in range(HUB_ROUNDS):
-        pairs = scratch.write(bounded(star(named, round_, scratch), maps, per_cent), f"star{round_}")
+        pairs = scratch.write(bounded(star(dealt(some, labels), round_, scratch), maps, per_cent), f"star{round_}")
         found_links = verify(pairs, active, docs, scratch, f"star-links{round_}", k, per_cent)
         linked = found_links if linked is None else linked.unionByName(found_links)
         labels = components(linked, scratch, f"near{round_}").withColumnRenamed("node", "cls")
-        named = some.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    named = rows.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    more = scratch.write(across(open_tiles(named), maps, scratch, per_cent), "candidates")
+    more = scratch.write(across(open_tiles(dealt(classes, labels)), maps, scratch, per_cent), "candidates")
     scratch.release()
     edges = linked.unionByName(verify(more, active, docs, scratch, "more-links", k, per_cent))
     labels = components(edges, scratch, "all")
