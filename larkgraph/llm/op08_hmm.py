@@ -329,7 +329,7 @@ def expectations(texts: DataFrame, model: Model) -> DataFrame:
         yield rows(2, np.arange(k + 1), np.concatenate([moves, starts[None]]))
 
     schema = f"kind int, key long, {tail_columns(k)}"
-    return texts.select("places", "others", "tail").mapInArrow(run, schema).groupBy("kind", "key").agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(k)))
+    return texts.select("places", "others", "tail").mapInArrow(run, schema).groupBy("kind", "key").agg(*(F.sum(f"s{s}").cast("float").alias(f"s{s}") for s in range(k)))
 
 
 def meetings(encoded: DataFrame, seeds: int) -> np.ndarray:
@@ -391,7 +391,7 @@ class Trainer:
         seeds = min(SEEDS, len(vocabulary.keys))
         self.model = starting_point(meetings(training, seeds) if seeds else np.zeros((0, 0)), vocabulary, states)
         share = (F.col("n") + 0.5) / vocabulary.base_size
-        self.table = self.others.select("key", "n", *((share / float(self.model.whole[s])).alias(f"s{s}") for s in range(states)))
+        self.table = self.others.select("key", "n", *((share / float(self.model.whole[s])).cast("float").alias(f"s{s}") for s in range(states)))
         self.rows = scratch.write(self._rows(), "others")
 
     def _rows(self) -> DataFrame:
@@ -423,6 +423,7 @@ class Trainer:
         kind, key = some.column("kind").to_numpy(), some.column("key").to_numpy()
         value = np.stack([some.column(c).to_numpy() for c in columns], axis=1)
         known, ends = np.zeros((n, k)), np.zeros((k + 1, k))
+        del some
         known[key[kind == 0]], ends[key[kind == 2]] = value[kind == 0], value[kind == 2]
         rest = found.where("kind = 1").agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in columns)).first()
         unseen = 0.5 / v.base_size
@@ -432,7 +433,11 @@ class Trainer:
         self.model = Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit, np.full(k, unseen))
         share = SMOOTH * (F.col("n") + 0.5) / v.base_size
         table = self.others.join(found.where("kind = 1").drop("kind"), "key", "left")
-        self.table = self.scratch.write(table.select("key", "n", *((F.coalesce(c, F.lit(0.0)) * float(gain[s]) + share).alias(c) for s, c in enumerate(columns))), f"emissions{number}")
+        self.table = self.scratch.write(table.select("key", "n", *((F.coalesce(c, F.lit(0.0)) * float(gain[s]) + share).cast("float").alias(c) for s, c in enumerate(columns))), f"emissions{number}")
+        self.scratch.remove(f"expected{number}")
+        if number:
+            self.scratch.remove(f"emissions{number - 1}")
+        self.scratch.release()
 
 
 def score(docs: DataFrame, scratch: Scratch, passes: int = PASSES, known: int = KNOWN) -> DataFrame:
