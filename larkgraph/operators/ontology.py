@@ -11,19 +11,19 @@ from .stored import keep
 def closure(edges: DataFrame, most_rounds: int = 32) -> DataFrame:
     """Reflexive-transitive closure (node, ancestor) of ``edges`` (child, parent).
 
-    Paths double in length every round, so the rounds are the logarithm of the depth; cycles end too.
+    In a round, only pairs that the last one found are lengthened, by all that is known; paths double in length,
+    so the rounds are the logarithm of the depth, and cycles end too.
     """
-    pairs = edges.where("child IS NOT NULL AND parent IS NOT NULL").select(F.col("child").alias("node"), F.col("parent").alias("ancestor"))
+    pairs = keep(edges.where("child IS NOT NULL AND parent IS NOT NULL").select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).distinct())
     nodes = pairs.select("node").union(pairs.select("ancestor")).distinct()
-    reach = keep(pairs.union(nodes.select("node", F.col("node").alias("ancestor"))).distinct())
-    size = reach.count()
+    strict = new = pairs.where("node <> ancestor")
     for _ in range(most_rounds):
-        step = reach.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("further"))
-        reach = keep(reach.join(step, "ancestor").select("node", F.col("further").alias("ancestor")).distinct())
-        grown = reach.count()
-        if grown == size:
-            return reach
-        size = grown
+        further = strict.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("further"))
+        longer = new.join(further, "ancestor").select("node", F.col("further").alias("ancestor")).where("node <> ancestor").distinct()
+        new = keep(longer.join(strict, ["node", "ancestor"], "left_anti"))
+        if new.isEmpty():
+            return strict.unionByName(nodes.select("node", F.col("node").alias("ancestor")))
+        strict = strict.unionByName(new)
     raise RuntimeError(f"closure: still growing after {most_rounds} rounds")
 
 

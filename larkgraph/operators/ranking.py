@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stored import running
+
 
 @dataclass(frozen=True)
 class Scoring:
@@ -35,9 +37,9 @@ def present_evidence(terms: DataFrame, closed: DataFrame, present: DataFrame, ex
     recorded. An entity that excludes the term or an ancestor of it contradicts it, whatever else it says.
     ``terms``: query. ``present``: entity, term, frequency. ``excluded``: entity, term. ``background``: term, share.
     """
-    share = F.broadcast(terms.join(closed, F.col("query") == F.col("node")).join(background, F.col("ancestor") == background["term"]).select("query", "ancestor", "share"))
+    share = terms.join(closed, F.col("query") == F.col("node")).join(background, F.col("ancestor") == background["term"]).select("query", "ancestor", "share")
     below = terms.join(closed, F.col("query") == F.col("ancestor")).select("query", F.col("node").alias("term"))
-    direct = present.join(F.broadcast(below), "term").groupBy("query", "entity").agg(F.max("frequency").alias("f"), F.max(F.when(F.col("term") == F.col("query"), F.col("frequency"))).alias("own"))
+    direct = present.join(below, "term").groupBy("query", "entity").agg(F.max("frequency").alias("f"), F.max(F.when(F.col("term") == F.col("query"), F.col("frequency"))).alias("own"))
     direct = direct.join(share.where("query = ancestor").select("query", "share"), "query")
     direct = direct.select("query", "entity", F.log(F.col("f") / F.col("share")).alias("log_lr"), F.when(F.col("own") == F.col("f"), "exact").otherwise("descendant").alias("kind"), F.lit(2).alias("weight"))
     above = share.where("query <> ancestor")
@@ -53,9 +55,9 @@ def present_evidence(terms: DataFrame, closed: DataFrame, present: DataFrame, ex
 def absent_evidence(terms: DataFrame, closed: DataFrame, present: DataFrame, excluded: DataFrame, p: Scoring = Scoring()) -> DataFrame:
     """(query, entity, log_lr) for terms that are absent: the worst of what is expected, else agreement."""
     below = terms.join(closed, F.col("query") == F.col("ancestor")).select("query", F.col("node").alias("term"))
-    expected = present.join(F.broadcast(below), "term").groupBy("query", "entity").agg(F.min(F.log(F.greatest(1.0 - F.col("frequency"), F.lit(p.min_absent)))).alias("log_lr"))
+    expected = present.join(below, "term").groupBy("query", "entity").agg(F.min(F.log(F.greatest(1.0 - F.col("frequency"), F.lit(p.min_absent)))).alias("log_lr"))
     up = terms.join(closed, F.col("query") == F.col("node")).select("query", F.col("ancestor").alias("term"))
-    agreed = excluded.join(F.broadcast(up), "term").select("query", "entity").distinct().withColumn("agreed", F.lit(p.excluded_match))
+    agreed = excluded.join(up, "term").select("query", "entity").distinct().withColumn("agreed", F.lit(p.excluded_match))
     both = expected.join(agreed, ["query", "entity"], "full")
     return both.select("query", "entity", F.coalesce("log_lr", "agreed").alias("log_lr"))
 
@@ -73,7 +75,7 @@ def scores(candidates: DataFrame, n_present: int, present: DataFrame, absent: Da
 def resnik(terms: DataFrame, closed: DataFrame, annotations: DataFrame, content: DataFrame) -> DataFrame:
     """(entity, score): summed content of the most informative ancestor shared with each query term, over their own."""
     own = terms.join(content, F.col("query") == F.col("term")).agg(F.sum("ic").alias("whole"))
-    up = F.broadcast(terms.join(closed, F.col("query") == F.col("node")).join(content, F.col("ancestor") == F.col("term")).select("query", "ancestor", "ic"))
+    up = terms.join(closed, F.col("query") == F.col("node")).join(content, F.col("ancestor") == F.col("term")).select("query", "ancestor", "ic")
     held = annotations.select("entity", F.col("term").alias("node")).join(closed, "node").select("entity", "ancestor")
     best = held.join(up, "ancestor").groupBy("entity", "query").agg(F.max("ic").alias("ic"))
     total = best.groupBy("entity").agg(F.sum("ic").alias("sum")).crossJoin(F.broadcast(own))
@@ -83,15 +85,33 @@ def resnik(terms: DataFrame, closed: DataFrame, annotations: DataFrame, content:
 def midranks(df: DataFrame, score: str, tie: str, gap: float = 1e-9, partition: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with rank_mid, rank_best, rank_worst and tied. Scores no more than ``gap`` below the next are one tie.
 
-    A candidate vector is ranked as a whole; give ``partition`` where there are many.
+    With ``partition`` each group is ranked by itself. Without it the distinct scores are ranked in ranges, so no
+    task sees them all; ``tie`` then plays no part, as equal scores share their ranks (or, with a negative
+    ``gap``, are taken to be distinct already).
     """
-    order = Window.partitionBy(*partition).orderBy(F.desc(score), tie)
-    step = F.when(F.lag(score).over(order) - F.col(score) > gap, 1).otherwise(0)
-    marked = df.withColumns({"_step": step, "_place": F.row_number().over(order).cast("long")})
-    marked = marked.withColumn("_tie", F.sum("_step").over(Window.partitionBy(*partition).orderBy("_place")))
-    group = Window.partitionBy(*partition, "_tie")
-    out = marked.withColumns({"rank_best": F.min("_place").over(group), "rank_worst": F.max("_place").over(group), "tied": F.count("*").over(group)})
-    return out.withColumn("rank_mid", (F.col("rank_best") + F.col("rank_worst")) / 2).drop("_step", "_place", "_tie")
+    if partition:
+        order = Window.partitionBy(*partition).orderBy(F.desc(score), tie)
+        step = F.when(F.lag(score).over(order) - F.col(score) > gap, 1).otherwise(0)
+        marked = df.withColumns({"_step": step, "_place": F.row_number().over(order).cast("long")})
+        marked = marked.withColumn("_tie", F.sum("_step").over(Window.partitionBy(*partition).orderBy("_place")))
+        group = Window.partitionBy(*partition, "_tie")
+        out = marked.withColumns({"rank_best": F.min("_place").over(group), "rank_worst": F.max("_place").over(group), "tied": F.count("*").over(group)})
+        return out.withColumn("rank_mid", (F.col("rank_best") + F.col("rank_worst")) / 2).drop("_step", "_place", "_tie")
+    scores = df.groupBy(score).agg(F.count("*").alias("_n"))
+    placed = running(scores, F.desc(score), _worst=F.col("_n"))
+    if gap < 0:
+        ranks = placed.select(score, (F.col("_worst") - F.col("_n") + 1).alias("rank_best"), F.col("_worst").alias("rank_worst"))
+    else:
+        # A score opens a tie if no other lies within the gap above it; those scores are found by a join over gap-wide cells.
+        cell = lambda c: F.floor(c / (gap or 1e-300))
+        above = placed.select(F.col(score).alias("_above"), F.explode(F.array(cell(F.col(score)), cell(F.col(score)) - 1)).alias("_cell"))
+        near = placed.withColumn("_cell", cell(F.col(score))).join(above, "_cell").where((F.col("_above") > F.col(score)) & (F.col("_above") - F.col(score) <= gap)).select(score).distinct()
+        marked = placed.join(near.withColumn("_near", F.lit(1)), score, "left")
+        tied = running(marked, F.desc(score), _tie=F.when(F.col("_near").isNull(), 1).otherwise(0))
+        ends = tied.groupBy("_tie").agg(F.min(F.col("_worst") - F.col("_n") + 1).alias("rank_best"), F.max("_worst").alias("rank_worst"))
+        ranks = tied.join(ends, "_tie").select(score, "rank_best", "rank_worst")
+    out = df.join(ranks, score).withColumn("tied", F.col("rank_worst") - F.col("rank_best") + 1)
+    return out.withColumn("rank_mid", (F.col("rank_best") + F.col("rank_worst")) / 2)
 
 
 def fuse(a: DataFrame, b: DataFrame, weight: float = 0.25, k: float = 1.0) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import within_one_edit
+from ..functions.text import deletions
 
 
 def tiers(names: DataFrame, text: str) -> DataFrame:
@@ -56,21 +57,41 @@ def relevance(index: DataFrame, n: DataFrame, terms: DataFrame, k1: float = 1.2,
 
 
 def corrections(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(asked, word): the nearest known word one edit away, for unknown words of four letters or more.
+    """(asked, word, edits): the nearest known word of unknown words of four letters or more.
 
-    An edit leaves the first or the second half of a word as it is, so candidates are joined by either half
-    at either end; the pairs that differ by more go.
+    One edit or swap is allowed up to seven letters, two from eight on. Words so near share what deletions of as
+    many letters leave of them, and are joined by that; those that differ by more go. Fewer edits come first, then
+    the lesser difference in length, then the word.
     """
     unknown = asked.join(vocabulary, asked["asked"] == vocabulary["word"], "left_anti").where(F.length("asked") >= 4)
 
-    def keys(c: str) -> Column:
-        n = F.length(c)
-        half = (n / 2).cast("int")
-        return F.array_distinct(F.array(*(F.concat_ws(":", F.lit(side), take) for d in (-1, 0, 1) for side, take in (("h", F.left(c, F.greatest(half + d, F.lit(1)))), ("t", F.right(c, F.greatest(half + d, F.lit(1))))))))
-
-    left = unknown.select("asked", F.explode(keys("asked")).alias("key"))
-    right = vocabulary.select("word", F.explode(keys("word")).alias("key"))
-    near = left.join(right, "key").where((F.abs(F.length("asked") - F.length("word")) <= 1)).select("asked", "word").distinct()
-    near = near.where(within_one_edit(F.col("asked"), F.col("word")))
-    best = Window.partitionBy("asked").orderBy(F.abs(F.length("asked") - F.length("word")), "word")
-    return near.withColumn("_n", F.row_number().over(best)).where("_n = 1").select("asked", "word")
+    def near(words: DataFrame, least: int, most: int, edits: int) -> DataFrame:
+        size = F.length("asked")
+        left = words.where((size >= least) & (size <= most)).select("asked", F.explode(deletions(F.col("asked"), edits)).alias("key"))
+        n = F.length("word")
+        right = vocabulary.where((n >= least - edits) & (n <= most + edits)).select("word", F.explode(deletions(F.col("word"), edits)).alias("key"))
+        pairs = left.join(right, "key").where(F.abs(F.length("asked") - F.length("word")) <= edits).select("asked", "word").distinct()
+        return pairs.withColumn("edits", osa("asked", "word")).where(F.col("edits") <= edits)
+
+    found = near(unknown, 4, 7, 1).unionByName(near(unknown, 8, 1 << 20, 2))
+    best = Window.partitionBy("asked").orderBy("edits", F.abs(F.length("asked") - F.length("word")), "word")
+    return found.withColumn("_n", F.row_number().over(best)).where("_n = 1").select("asked", "word", "edits")
+
+
+@F.pandas_udf("int")
+def osa(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Optimal string alignment distance: edits, and swaps of neighbours of which no letter is edited again."""
+
+    def distance(x: str, y: str) -> int:
+        rows = [list(range(len(y) + 1))]
+        for i in range(1, len(x) + 1):
+            row = [i]
+            for j in range(1, len(y) + 1):
+                best = min(rows[-1][j] + 1, row[-1] + 1, rows[-1][j - 1] + (x[i - 1] != y[j - 1]))
+                if i > 1 and j > 1 and x[i - 1] == y[j - 2] and x[i - 2] == y[j - 1]:
+                    best = min(best, rows[-2][j - 2] + 1)
+                row.append(best)
+            rows.append(row)
+        return rows[-1][-1]
+
+    return pd.Series([distance(x, y) for x, y in zip(a, b)])

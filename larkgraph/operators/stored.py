@@ -4,12 +4,31 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def keep(df: DataFrame) -> DataFrame:
     """``df`` written to the session's checkpoint folder, which all executors share, and read back."""
     spark: SparkSession = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="larkgraph-"))  # tests and single machines
     return df.checkpoint(eager=True)
+
+
+def running(df: DataFrame, order: Column, parts: int = 0, **sums: Column) -> DataFrame:
+    """``df`` with running sums in an order over the whole table, in range partitions; no task sees all rows.
+
+    ``order`` has no ties. Each of ``sums`` is summed within its range, to which the sums of the ranges before are
+    added; only one row for each range is summed in one place.
+    """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = keep(df.withColumns({f"_v_{k}": v for k, v in sums.items()}).repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_part").agg(*(F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums))
+    totals = totals.select("_part", *(F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_b_{k}") for k in sums))
+    own = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.join(F.broadcast(totals), "_part")  # one row a range
+    return out.withColumns({k: F.sum(f"_v_{k}").over(own) + F.col(f"_b_{k}") for k in sums}).drop("_part", *(f"_{x}_{k}" for k in sums for x in "vb"))

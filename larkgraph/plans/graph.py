@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as g
 from ..operators.ranking import top_in_group
+from ..operators.stored import keep
 from ..session import table
 from ..sources import star
 from .registry import query
@@ -81,12 +82,13 @@ def jn_14(spark, sf_dir):
     return lines.groupBy(F.col("l_suppkey").alias("person")).agg(F.countDistinct("c_nationkey").alias("communities")).where("communities >= 2")
 
 
-@query("jn_17", "SELECT a.doc_id AS a, b.doc_id AS b FROM documents a JOIN documents b ON md5(a.text) = md5(b.text) AND a.text = b.text AND a.doc_id < b.doc_id AND a.source = b.source")
+@query("jn_17", "SELECT doc_id, min(doc_id) OVER c AS representative, count(*) OVER c AS copies FROM documents WINDOW c AS (PARTITION BY source, text) QUALIFY copies > 1")
 def jn_17(spark, sf_dir):
-    """Duplicates within a source: pairs of equal texts."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.md5(F.col("text").cast("binary")).alias("key"))
-    a, b = rows.alias("a"), rows.alias("b")
-    return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.source") == F.col("b.source")) & (F.col("a.doc_id") < F.col("b.doc_id"))).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"))
+    """Duplicates within a source: each copy with its class's least id and size; a pair of copies is two rows of one class."""
+    rows = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "source", F.sha2(F.col("text").cast("binary"), 256).alias("key"))
+    classes = rows.groupBy("source", "key").agg(F.min("doc_id").alias("representative"), F.count("*").alias("copies")).where("copies > 1")
+    named = classes.withColumnsRenamed({"source": "s", "key": "k"})
+    return rows.join(named, F.col("source").eqNullSafe(F.col("s")) & (F.col("key") == F.col("k"))).select("doc_id", "representative", "copies")
 
 
 PLAN = g.Plan(("R:0", "R:2"), (g.Step("part_of", "in", ("N",)), g.Step("located_in", "in", ("S",)), g.Step("offers", "out", ("P",))), 50)
@@ -213,10 +215,10 @@ def jb_01(spark, sf_dir):
 @query("cx_01", f"{EDGE}, deg AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM edge UNION ALL SELECT dst FROM edge) WHERE node LIKE 'S:%' GROUP BY 1), top8 AS (SELECT node FROM deg ORDER BY degree DESC, node LIMIT 8), near AS (SELECT node FROM top8 UNION SELECT dst FROM edge WHERE src IN (SELECT node FROM top8)) SELECT src, relation, dst FROM edge WHERE src IN (SELECT node FROM near) AND dst IN (SELECT node FROM near)")
 def cx_01(spark, sf_dir):
     """Default view: the eight nodes of highest degree, what they link to, and the edges among all these."""
-    edges = star.graph(spark, sf_dir)
+    edges = keep(star.graph(spark, sf_dir))  # read four times
     degree = g.incident(edges).where("node LIKE 'S:%'").groupBy("node").agg(F.count("*").alias("degree"))
     top = degree.orderBy(F.desc("degree"), "node").limit(8).select("node")
-    near = top.union(edges.join(F.broadcast(top), F.col("src") == F.col("node"), "left_semi").select("dst")).distinct()
+    near = top.union(edges.join(top, F.col("src") == F.col("node"), "left_semi").select("dst")).distinct()
     own = edges.join(near, F.col("src") == F.col("node"), "left_semi")
     return own.join(near, F.col("dst") == F.col("node"), "left_semi").select("src", "relation", "dst")
 

@@ -40,7 +40,10 @@ def id_03(spark, sf_dir):
     return rows.join(hub, "k").select("doc_id", "representative")
 
 
-@query("id_06")
+@query("id_06", """WITH RECURSIVE l AS (SELECT 'C:' || c_custkey AS a, 'S:' || s_suppkey AS b FROM customer JOIN supplier ON c_nationkey = s_nationkey AND floor(c_acctbal / 100) = floor(s_acctbal / 100)),
+    g AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT a AS node, a AS reach FROM g UNION SELECT g.b, r.reach FROM r JOIN g ON g.a = r.node), m AS (SELECT node, min(reach) AS component FROM r GROUP BY 1),
+    bad AS (SELECT DISTINCT component FROM (SELECT component, left(node, 1) AS kind, count(*) AS n FROM m GROUP BY 1, 2) WHERE n > 1)
+    SELECT node, component, component IN (SELECT component FROM bad) AS demoted FROM m""")
 def id_06(spark, sf_dir):
     """Clusters of customers and suppliers of a nation by account balance; those with two of a kind are demoted."""
     c = table(spark, sf_dir, "customer").select(F.concat(F.lit("C:"), "c_custkey").alias("id"), "c_nationkey", F.floor(F.col("c_acctbal") / 100).alias("k"))
@@ -61,13 +64,16 @@ def cx_05(spark, sf_dir):
     return free.groupBy("alias").agg(F.countDistinct("node").alias("nodes")).withColumn("ambiguous", F.col("nodes") > 1)
 
 
-@query("cx_06", "SELECT sha256(string_agg(h, '' ORDER BY h)) AS fingerprint FROM (SELECT sha256(string_agg(h, '' ORDER BY h)) AS h FROM (SELECT l_orderkey % 1024 AS part, sha256(l_orderkey || '|' || l_partkey || '|' || l_linenumber) AS h FROM lineitem) GROUP BY part)")
+@query("cx_06", "WITH n AS (SELECT count(*) // 1000 + 1 AS n FROM lineitem) SELECT sha256(string_agg(h, '' ORDER BY h)) AS fingerprint FROM (SELECT sha256(string_agg(h, '' ORDER BY h)) AS h FROM (SELECT l_orderkey % n AS part, sha256(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, (l_quantity * 100)::BIGINT, round(l_extendedprice * 100)::BIGINT, round(l_discount * 100)::BIGINT, round(l_tax * 100)::BIGINT, l_returnflag, l_linestatus, epoch(l_shipdate)::BIGINT)) AS h FROM lineitem, n) GROUP BY part)")
 def cx_06(spark, sf_dir):
-    """Fingerprint of a table: digests of rows, of parts, and of the whole, so no task holds all rows."""
+    """Fingerprint of a table: digests of whole rows, of parts of about 1,000, and of the whole, so no task holds all rows."""
     lines = table(spark, sf_dir, "lineitem")
-    h = F.sha2(F.concat_ws("|", "l_orderkey", "l_partkey", "l_linenumber").cast("binary"), 256)
+    n = lines.count() // 1000 + 1
+    cents = lambda c: F.round(F.col(c) * 100).cast("long")
+    columns = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *map(cents, ("l_quantity", "l_extendedprice", "l_discount", "l_tax")), "l_returnflag", "l_linestatus", F.unix_timestamp("l_shipdate")]
+    h = F.sha2(F.concat_ws("|", *(F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in columns)).cast("binary"), 256)
     join = F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "").cast("binary"), 256)
-    parts = lines.select((F.col("l_orderkey") % 1024).alias("part"), h.alias("h")).groupBy("part").agg(join.alias("h"))
+    parts = lines.select((F.col("l_orderkey") % n).alias("part"), h.alias("h")).groupBy("part").agg(join.alias("h"))
     return parts.agg(join.alias("fingerprint"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ontology as o
 from ..operators import ranking as r
+from ..operators.stored import keep, running
 from ..session import table
 from ..sources import star
 from .ontology import closed
@@ -20,10 +21,10 @@ def _terms(spark, ids):
 
 
 def _setting(spark, sf_dir):
-    ann, closure = star.annotations(spark, sf_dir), closed(spark, sf_dir)
+    ann, closure = keep(star.annotations(spark, sf_dir)), closed(spark, sf_dir)  # both are read several times
     present = ann.where("n > 0").select("entity", "term", r.annotation_frequency(F.col("n"), F.col("m"), F.col("iea")).alias("frequency"))
     excluded = ann.where("n = 0").select("entity", "term")
-    content = o.information_content(present, closure)
+    content = keep(o.information_content(present, closure))
     background = content.select("term", F.exp(-F.col("ic")).alias("share"))
     return closure, present, excluded, content, background
 
@@ -98,7 +99,7 @@ def _ranks(table_name: str, digits: int = 9) -> str:
 @query("an_07", f"{HEAD}{LR} SELECT a.entity, a.mid AS rank_lr, b.mid AS rank_resnik, round(0.25 / (1 + a.mid) + 0.75 / (1 + b.mid), 9) AS fused FROM {_ranks('sc')} a JOIN {_ranks('rs')} b USING (entity) ORDER BY fused DESC, entity LIMIT 20")
 def an_07(spark, sf_dir):
     """Flagship: the first 20 candidates by two scorers and their rank fusion."""
-    lr, rs = (x.withColumn("score", F.round("score", 9)) for x in _scores(spark, sf_dir))
+    lr, rs = (keep(x.select("entity", F.round("score", 9).alias("score"))) for x in _scores(spark, sf_dir))
     a, b = (r.midranks(x.select("entity", "score"), "score", "entity") for x in (lr, rs))
     fused = r.fuse(a, b)
     out = fused.join(a.select("entity", F.col("rank_mid").alias("rank_lr")), "entity").join(b.select("entity", F.col("rank_mid").alias("rank_resnik")), "entity")
@@ -129,9 +130,10 @@ def rk_02(spark, sf_dir):
 def rk_03(spark, sf_dir):
     """Weighted reciprocal-rank fusion of two orders."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity"), "c_acctbal", "c_name")
-    a = r.midranks(c.select("entity", F.col("c_acctbal").alias("score")), "score", "entity", gap=-1.0)
-    names = c.withColumn("score", -F.row_number().over(r.Window.orderBy("c_name", "entity")).cast("double"))
-    return r.fuse(a, r.midranks(names.select("entity", "score"), "score", "entity")).withColumn("fused", F.round("fused", 9))
+    balance = running(c.select("c_acctbal", "entity"), F.struct((-F.col("c_acctbal")).alias("b"), "entity"), rank_mid=F.lit(1))
+    a = balance.select("entity", "rank_mid")
+    names = running(c.select("c_name", "entity"), F.struct("c_name", "entity"), rank_mid=F.lit(1))
+    return r.fuse(a, names.select("entity", "rank_mid")).withColumn("fused", F.round("fused", 9))
 
 
 @query("rk_04", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")

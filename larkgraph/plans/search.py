@@ -56,10 +56,14 @@ def se_12(spark, sf_dir):
     return s.relevance(index, n, terms).withColumn("score", F.round("score", 6))
 
 
-@query("se_04")
+@query("se_04", f"""WITH v AS (SELECT DISTINCT unnest({WORDS}) AS word FROM documents), b AS (SELECT DISTINCT unnest({WORDS}) AS w FROM benchmark), a AS (SELECT DISTINCT CASE WHEN length(w) < 8 THEN w || 'x' ELSE 'q' || w || 'x' END AS asked FROM b),
+    u AS (SELECT asked FROM a WHERE asked NOT IN (SELECT word FROM v) AND length(asked) >= 4), p AS (SELECT asked, word, damerau_levenshtein(asked, word) AS edits FROM u JOIN v ON abs(length(asked) - length(word)) <= CASE WHEN length(asked) >= 8 THEN 2 ELSE 1 END)
+    SELECT asked, word, edits::INT AS edits FROM p WHERE edits <= CASE WHEN length(asked) >= 8 THEN 2 ELSE 1 END QUALIFY row_number() OVER (PARTITION BY asked ORDER BY edits, abs(length(asked) - length(word)), word) = 1""")
 def se_04(spark, sf_dir):
-    """Spelling corrections of benchmark words that the documents lack."""
-    index, _ = _index(spark, sf_dir)
+    """Spelling corrections of misspelt benchmark words: one edit in short words, two in long ones."""
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
-    asked = table(spark, sf_dir, "benchmark").select(F.explode(words).alias("w")).select(F.concat(F.col("w"), F.lit("x")).alias("asked")).distinct()
-    return s.corrections(asked, index.select("word").distinct())
+    w = F.col("w")
+    wrong = F.when(F.length(w) < 8, F.concat(w, F.lit("x"))).otherwise(F.concat(F.lit("q"), w, F.lit("x")))
+    asked = table(spark, sf_dir, "benchmark").select(F.explode(words).alias("w")).select(wrong.alias("asked")).distinct()
+    vocabulary = table(spark, sf_dir, "documents").select(F.explode(words).alias("word")).distinct()
+    return s.corrections(asked, vocabulary)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..operators.similarity import simgic
 from ..session import table
 from .registry import query
 
@@ -65,11 +66,13 @@ def fn_07(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(t.frequency(raw)["value"], 6).alias("value"))
 
 
-@query("fn_12", "SELECT CASE WHEN l LIKE '%-nc%' THEN 'non_commercial' WHEN l LIKE '%-sa%' THEN 'share_alike' WHEN l LIKE '%cc0%' OR l LIKE '%cc-by%' OR l LIKE '%cc by%' OR l LIKE '%public domain%' THEN 'open' ELSE 'unknown' END AS class, count(*) AS texts FROM (SELECT lower(regexp_extract(text, '(?i)[^\\n]*licen[sc]e[^\\n]*')) AS l FROM documents) WHERE l <> '' GROUP BY 1")
+@query("fn_12", """WITH l AS (SELECT unnest(regexp_extract_all(text, '(?i)[^\\n]*licen[sc]e[^\\n]*')) AS l FROM documents), w AS (SELECT l, list_filter(regexp_split_to_array(lower(l), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM l),
+    t AS (SELECT list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || w[i + 1])) AS t FROM w)
+    SELECT CASE WHEN list_has_any(t, ['nc', 'noncommercial']) THEN 'non_commercial' WHEN list_has_any(t, ['sa', 'sharealike']) THEN 'share_alike' WHEN list_has_any(t, ['cc0', 'ccby', 'publicdomain', 'pddl', 'odcby']) THEN 'open' ELSE 'unknown' END AS class, count(*) AS lines FROM t GROUP BY 1""")
 def fn_12(spark, sf_dir):
-    """Licence classes of the lines that name a licence."""
-    line = F.regexp_extract("text", "(?i)[^\\n]*licen[sc]e[^\\n]*", 0)
-    return docs(spark, sf_dir).select(line.alias("l")).where("l <> ''").groupBy(t.licence_class(F.col("l")).alias("class")).agg(F.count("*").alias("texts"))
+    """Licence classes of all lines that name a licence."""
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("(?i)licen[sc]e"))
+    return docs(spark, sf_dir).select(F.explode(lines).alias("l")).groupBy(t.licence_class(F.col("l")).alias("class")).agg(F.count("*").alias("lines"))
 
 
 @query("fn_15", "WITH d AS (SELECT c_custkey, lpad(c_custkey::VARCHAR, 15, '0') AS s FROM customer), c AS (SELECT c_custkey, (12 - list_reduce(list_prepend(0, list_transform(string_split(s, ''), lambda x: x::INT)), lambda a, x: (a + x) * 2 % 11) % 11) % 11 AS k FROM d) SELECT c_custkey, CASE WHEN k = 10 THEN 'X' ELSE k::VARCHAR END AS check_digit FROM c")
@@ -85,13 +88,12 @@ def fn_16(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", t.url_host(F.col("url")).alias("host"))
 
 
-@query("fn_19", "WITH w AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE, 6) AS jaccard FROM w a JOIN w b ON a.item_id + 1 = b.item_id WHERE len(a.w) + len(b.w) > 0")
+@query("fn_19", "WITH w AS (SELECT item_id AS id, list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM benchmark), p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w)) AS i, len(list_distinct(list_concat(a.w, b.w))) AS u FROM w a JOIN w b ON a.id < b.id) SELECT a, b, round(i / u::DOUBLE, 6) AS jaccard FROM p WHERE i > 0 AND 10 * i >= u")
 def fn_19(spark, sf_dir):
-    """Jaccard of the longer words of neighbouring items."""
-    w = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("w"))
-    a, b = w.alias("a"), w.alias("b")
-    pairs = a.join(b, F.col("a.item_id") + 1 == F.col("b.item_id")).where(F.size("a.w") + F.size("b.w") > 0)
-    return pairs.select(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b"), F.round(t.jaccard(F.col("a.w"), F.col("b.w")), 6).alias("jaccard"))
+    """Items whose longer words have a Jaccard of a tenth or more, over all items."""
+    w = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("entity"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)))).alias("term"))
+    even = w.groupBy("term").agg(F.lit(1.0).alias("ic"))
+    return simgic(w, even, 0.1).select("a", "b", F.round("score", 6).alias("jaccard"))
 
 
 @query("fn_20", "SELECT l_orderkey, sha256(l_orderkey || chr(9) || l_partkey || chr(9) || l_suppkey || chr(9) || l_linenumber) AS row_hash FROM lineitem")
@@ -107,13 +109,12 @@ def words(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w")).distinct()
 
 
-@query("fn_21", f"WITH {WORDS} SELECT a.w AS a, b.w AS b FROM w a JOIN w b ON a.w < b.w AND left(a.w, 2) = left(b.w, 2) AND abs(length(a.w) - length(b.w)) <= 1 WHERE damerau_levenshtein(a.w, b.w) <= 1")
+@query("fn_21", f"WITH {WORDS} SELECT a.w AS a, b.w AS b FROM w a JOIN w b ON a.w < b.w AND abs(length(a.w) - length(b.w)) <= 1 WHERE damerau_levenshtein(a.w, b.w) <= 1")
 def fn_21(spark, sf_dir):
-    """Words one edit or swap apart, among those that begin alike."""
-    w = words(spark, sf_dir).withColumn("head", F.left("w", F.lit(2)))
-    a, b = w.alias("a"), w.alias("b")
-    near = (F.col("a.head") == F.col("b.head")) & (F.col("a.w") < F.col("b.w")) & (F.abs(F.length("a.w") - F.length("b.w")) <= 1)
-    return a.join(b, near).where(t.within_one_edit(F.col("a.w"), F.col("b.w"))).select(F.col("a.w").alias("a"), F.col("b.w").alias("b"))
+    """All words one edit or swap apart: two such words share a word that a deletion leaves of each."""
+    keyed = words(spark, sf_dir).select("w", F.explode(t.deletions(F.col("w"))).alias("key"))
+    a, b = (keyed.select("key", F.col("w").alias(c)) for c in ("a", "b"))
+    return a.join(b, "key").where("a < b").select("a", "b").distinct().where(t.within_one_edit(F.col("a"), F.col("b")))
 
 
 @query("fn_22", f"WITH {WORDS} SELECT w, len(list_distinct(list_transform(range(1, greatest(length(w) - 1, 1)), lambda i: w[i : i + 2])))::INT AS trigrams FROM w")
@@ -122,7 +123,10 @@ def fn_22(spark, sf_dir):
     return words(spark, sf_dir).select("w", F.size(t.grams(F.col("w"), 3)).alias("trigrams"))
 
 
-@query("fn_23")
+CODES = "translate(w, 'bfpvcgjkqsxzdtlmnraeiouyhw', '11112222222233455600000000')"
+
+
+@query("fn_23", f"WITH {WORDS}, c AS (SELECT w, {CODES} AS d FROM w), k AS (SELECT w, list_filter(list_transform(range(2, length(w) + 1), lambda i: CASE WHEN d[i:i] <> '0' AND d[i:i] <> d[i - 1 : i - 1] THEN d[i:i] ELSE '' END), lambda x: x <> '') AS r FROM c) SELECT w, left(w, 1) || array_to_string(r[1:3], '') AS code FROM k")
 def fn_23(spark, sf_dir):
     """Sound codes of words."""
     return words(spark, sf_dir).select("w", t.soundex(F.col("w")).alias("code"))
@@ -144,10 +148,20 @@ def fn_26(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.md5(t.document_text(F.col("text")).cast("binary")).alias("body"))
 
 
-@query("fn_27", "SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)+'))::INT AS emails FROM documents WHERE text LIKE '%@%'")
+def _redacted() -> tuple[str, str]:
+    out, counts = "text", []
+    for kind, pattern in t.REDACTIONS:
+        quoted = pattern.replace("'", "''")
+        counts.append(f"len(regexp_extract_all({out}, '{quoted}')) AS {kind}")
+        out = f"regexp_replace({out}, '{quoted}', '[{kind}]', 'g')"
+    return out, ", ".join(counts)
+
+
+@query("fn_27", f"SELECT doc_id, md5({_redacted()[0]}) AS body, {_redacted()[1]} FROM documents")
 def fn_27(spark, sf_dir):
-    """Redacted e-mail addresses."""
-    return docs(spark, sf_dir).where("text LIKE '%@%'").select("doc_id", t.redact(F.col("text"))["email"].alias("emails"))
+    """Every text without personal data, as a digest, and how often each rule met some."""
+    found = docs(spark, sf_dir).select("doc_id", t.redact(F.col("text")).alias("r"))
+    return found.select("doc_id", F.md5(F.col("r.text").cast("binary")).alias("body"), *(F.col(f"r.{kind}").cast("long").alias(kind) for kind, _ in t.REDACTIONS))
 
 
 @query("fn_29", "WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark) SELECT item_id, len(list_distinct(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: array_to_string(w[i : i + 2], ' '))))::INT AS trigrams FROM w")

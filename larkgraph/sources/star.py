@@ -52,15 +52,14 @@ def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     def edges(name: str, src: str, a: str, relation: str, dst: str, b: str) -> DataFrame:
         return table(spark, sf_dir, name).select(F.concat(F.lit(src), a).alias("src"), F.lit(relation).alias("relation"), F.concat(F.lit(dst), b).alias("dst"))
 
-    parts = [
-        edges("customer", "C:", "c_custkey", "located_in", "N:", "c_nationkey"),
-        edges("supplier", "S:", "s_suppkey", "located_in", "N:", "s_nationkey"),
-        edges("nation", "N:", "n_nationkey", "part_of", "R:", "n_regionkey"),
-        edges("orders", "O:", "o_orderkey", "placed_by", "C:", "o_custkey"),
-        edges("lineitem", "O:", "l_orderkey", "contains", "P:", "l_partkey"),
-        edges("lineitem", "S:", "l_suppkey", "offers", "P:", "l_partkey"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+    # Keys are unique in all tables but lineitem, whose pairs repeat.
+    keyed = (
+        ("customer", "C:", "c_custkey", "located_in", "N:", "c_nationkey"),
+        ("supplier", "S:", "s_suppkey", "located_in", "N:", "s_nationkey"),
+        ("nation", "N:", "n_nationkey", "part_of", "R:", "n_regionkey"),
+        ("orders", "O:", "o_orderkey", "placed_by", "C:", "o_custkey"),
+    )
+    out = edges("lineitem", "O:", "l_orderkey", "contains", "P:", "l_partkey").unionByName(edges("lineitem", "S:", "l_suppkey", "offers", "P:", "l_partkey")).distinct()
+    for k in keyed:
+        out = out.unionByName(edges(*k))
+    return out
