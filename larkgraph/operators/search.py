@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ..functions.text import deletions
 
@@ -78,7 +79,7 @@ def corrections(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return found.withColumn("_n", F.row_number().over(best)).where("_n = 1").select("asked", "word", "edits")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def osa(a: pd.Series, b: pd.Series) -> pd.Series:
     """Optimal string alignment distance: edits, and swaps of neighbours of which no letter is edited again."""
 

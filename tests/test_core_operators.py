@@ -105,7 +105,10 @@ def test_search_tiers_and_corrections(spark):
     assert {x["node"]: x["tier"] for x in se.tiers(names, "red").collect()} == {1: 1, 2: 0, 3: 2}
     asked = spark.createDataFrame([("strem",), ("known",), ("abc",), ("tabel",)], "asked string")
     known = spark.createDataFrame([("stream",), ("known",), ("table",), ("abd",)], "word string")
-    assert dict(se.corrections(asked, known).collect()) == {"strem": "stream", "tabel": "table"}
+    asked = asked.union(spark.createDataFrame([("quuickly",), ("sttreamxng",)], "asked string"))
+    known = known.union(spark.createDataFrame([("quickly",), ("streaming",), ("quietly",)], "word string"))
+    got = {x["asked"]: (x["word"], x["edits"]) for x in se.corrections(asked, known).collect()}
+    assert got == {"strem": ("stream", 1), "tabel": ("table", 1), "quuickly": ("quickly", 1), "sttreamxng": ("streaming", 2)}
 
 
 @pytest.mark.parametrize("raw, value", [("3/12", 0.25), ("40%", 0.4), ("0/0", None), ("often", None), ("HP:0040281", 0.895), ("12.5%", 0.125)])
@@ -123,7 +126,42 @@ def test_text_functions(spark):
     assert f(t.mod_11_2(F.lit("000000021825009"))) == "7"
     assert f(t.licence_class(F.lit("CC BY-NC-SA 4.0"))) == "non_commercial"
     red = f(t.redact(F.lit("write to a.b@c.org, born 01.02.1990")))
-    assert red["text"] == "write to [email], born [date]" and red["email"] == 1
+    assert red["text"] == "write to [email], [born]" and (red["email"], red["born"], red["date"]) == (1, 1, 0)
+
+
+def test_licence_terms(spark):
+    names = {"CC-BY-4.0": "open", "Creative Commons Attribution-ShareAlike": "share_alike", "non commercial use": "non_commercial", "Public-Domain": "open", "ncsa": "unknown", "CC0 1.0": "open", "": "unknown"}
+    rows = spark.createDataFrame(list(names.items()), "name string, label string")
+    assert {x["name"]: x["c"] for x in rows.withColumn("c", t.licence_class(F.col("name"))).collect()} == names
+
+
+def test_curation_functions(spark):
+    f = lambda c: one(spark, c)
+    assert [f(t.annotation_date(F.lit(x))) for x in ("HPO:p[2021-06-21]", "a[1];b[2] x", "none", "a]b[c")] == ["2021-06-21", "2", None, None]
+    assert [f(t.keyboard_neighbours(F.lit(a), F.lit(b))) for a, b in (("test", "tesr"), ("test", "tesp"), ("test", "rwst"), ("zu", "tu"))] == [True, False, False, True]
+    assert [f(t.frequency_tier(F.lit(x).cast("double"))) for x in (1.0, 0.8, 0.05, 0.01, 0.0, None)] == ["obligate", "very_frequent", "occasional", "very_rare", "zero_observed", "unknown"]
+    assert [f(t.protocol_key(F.lit(x))) for x in (" ab-12 34 ", "123-456", "short", "protocol")] == ["AB-1234", None, None, None]
+    assert f(t.iri_encode(F.lit("a b*~/é"))) == "a%20b%2A~%2F%C3%A9" and f(t.turtle_literal(F.lit('a"\\\n'))) == '"a\\"\\\\\\n"'
+    assert sorted(f(t.deletions(F.lit("abc")))) == ["ab", "abc", "ac", "bc"]
+
+
+def test_running_sums_over_ranges(spark):
+    from larkgraph.operators.stored import running
+
+    rows = spark.createDataFrame([(i * 7919 % 1000,) for i in range(1000)], "v long")
+    got = {x["v"]: x["total"] for x in running(rows, F.desc("v"), parts=7, total=F.col("v")).collect()}
+    assert got == {v: sum(range(v, 1000)) for v in range(1000)}
+
+
+def test_simgic_from_a_score_on_loses_no_pair(spark):
+    import random
+
+    rng = random.Random(2)
+    sets = spark.createDataFrame([(e, term) for e in range(40) for term in rng.sample(range(30), 12)], "entity long, term long")
+    content = spark.createDataFrame([(x, 0.2 + x / 9) for x in range(30)], "term long, ic double")
+    every = {(x["a"], x["b"]): round(x["score"], 9) for x in s.simgic(sets, content).collect()}
+    for least in (0.2, 0.5):
+        assert {(x["a"], x["b"]): round(x["score"], 9) for x in s.simgic(sets, content, least).collect()} == {k: v for k, v in every.items() if v >= least}
 
 
 def test_streaming_windows(spark, tmp_path):
