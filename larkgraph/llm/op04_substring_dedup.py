@@ -160,11 +160,12 @@ def repeated_anchors(rows: DataFrame) -> DataFrame:
 
 
 def seeds(texts: DataFrame) -> DataFrame:
-    """(seed, check, id, text_id, at, frequent): the seeds of ``texts`` (id, text_id, text, rare, often) whose anchor is listed.
+    """(seed, place, id, text_id, frequent): the seeds of ``texts`` (id, text_id, text, rare, often) whose anchor is listed.
 
-    ``seed`` is a hash of the words in order; ``check`` comes from a sum over them.
+    ``seed`` is a hash of the words in order. ``place`` holds the seed's first word and, in its upper half, a
+    check that comes from a sum over the words.
     """
-    names = ["seed", "check", "id", "text_id", "at", "frequent"]
+    names = ["seed", "place", "id", "text_id", "frequent"]
 
     def listed(batch: pa.RecordBatch, column: str, row: int) -> np.ndarray:
         return np.sort(np.asarray(batch.column(column)[row].values, np.int64)).view(np.int64)
@@ -181,18 +182,17 @@ def seeds(texts: DataFrame) -> DataFrame:
                 rare, often = (np.isin(key, listed(batch, c, row)) for c in ("rare", "often"))
                 at = np.flatnonzero(rare | often)
                 out[0].append(signed(whole[a + at]))
-                out[1].append(windows.checks[a + at])
+                out[1].append((windows.checks[a + at].astype(np.int64) << 32) | at)
                 out[2].append(np.full(len(at), batch.column("id")[row].as_py(), np.int64))
                 out[3].append(np.full(len(at), batch.column("text_id")[row].as_py(), np.int64))
-                out[4].append(at.astype(np.int32))
-                out[5].append(often[at])
+                out[4].append(often[at])
                 if sum(map(len, out[0])) > 500_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names)
                     out = [[] for _ in names]
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names)
 
-    return texts.select("id", "text_id", F.col("text").cast("binary").alias("text"), "rare", "often").mapInArrow(run, "seed long, check int, id long, text_id long, at int, frequent boolean")
+    return texts.select("id", "text_id", F.col("text").cast("binary").alias("text"), "rare", "often").mapInArrow(run, "seed long, place long, id long, text_id long, frequent boolean")
 
 
 def look_up(rows: DataFrame) -> DataFrame:
@@ -207,14 +207,17 @@ def look_up(rows: DataFrame) -> DataFrame:
     def found(part: DataFrame, *keys: str) -> DataFrame:
         own = Window.partitionBy(*keys).orderBy("id", "text_id", "at")
         # A count, as Spark would limit the groups of a row number in one branch, which then shares no exchange with the other.
-        place = F.count("*").over(own.rowsBetween(Window.unboundedPreceding, 0))
-        return part.withColumns({"place": place, "source": F.first("id").over(own), "source_at": F.first("at").over(own)})
+        nth = F.count("*").over(own.rowsBetween(Window.unboundedPreceding, 0))
+        return part.withColumns({"nth": nth, "source": F.first("id").over(own), "source_at": F.first("at").over(own)})
 
     part = F.when(F.col("frequent"), F.pmod(F.xxhash64("id", "text_id"), F.lit(PARTS))).otherwise(F.lit(0))
-    once = found(rows.withColumn("part", part), "seed", "check", "part")
-    firsts = once.where("frequent AND place = 1").select("seed", "check", "id", "text_id", "at")
+    # Dealt by seed and part, so that the check costs no further exchange; it stands beside the place until then.
+    dealt = rows.withColumn("part", part).repartition("seed", "part")
+    dealt = dealt.withColumns({"check": F.shiftright("place", 32), "at": F.col("place").bitwiseAND(0xFFFFFFFF).cast("int")}).drop("place")
+    once = found(dealt, "seed", "check", "part")
+    firsts = once.where("frequent AND nth = 1").select("seed", "check", "id", "text_id", "at")
     # Both branches name the same columns, so that they read one exchange of the seeds.
-    return once.where("place > 1 AND frequent IS NOT NULL").select(columns).unionByName(found(firsts, "seed", "check").where("place > 1").select(columns))
+    return once.where("nth > 1 AND frequent IS NOT NULL").select(columns).unionByName(found(firsts, "seed", "check").where("nth > 1").select(columns))
 
 
 def parse(at: np.ndarray, source: np.ndarray, source_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
