@@ -18,14 +18,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents
+from .shared import Scratch, documents
 from .textblocks import ALNUM, blocks
 
 #: Words of a phrase; an item of fewer words is one phrase.
 WINDOW = 13
 SAMPLE = 8
-#: Benchmark text searched in one pass. A larger benchmark is searched in several, each over all texts.
-PASS_CHARS = 32 << 20
+#: Benchmark text searched in one pass, which a task holds with its phrases (about 100 bytes for each word). A
+#: larger benchmark is searched in several passes, one after the other, each over all texts.
+PASS_CHARS = 4 << 20
 SHARD_BYTES = 4 << 20
 
 
@@ -116,25 +117,30 @@ class Phrases:
 
     @classmethod
     def of(cls, ids: list[int | None], texts: list[str | None], window: int = WINDOW) -> Phrases | None:
-        found: dict[tuple, set] = {}
-        row = 0
+        rows, sizes, owners, row = [], [], [], 0
         for block in blocks(pa.array(texts, pa.string()), ALNUM, lower=True):
             for i in range(len(block.offsets) - 1):
-                a, b = block.bounds[i : i + 2]
-                words = tuple(block.hashes[a:b].tolist())
-                for j in range(max(1, len(words) - window + 1) if words else 0):
-                    found.setdefault(words[j : j + window], set()).update([] if ids[row] is None else [ids[row]])
+                a, b = (int(x) for x in block.bounds[i : i + 2])
+                n = min(window, b - a)
+                if n:
+                    found = np.zeros((b - a - n + 1, window), np.uint64)
+                    found[:, window - n :] = np.lib.stride_tricks.sliding_window_view(block.hashes[a:b], n)
+                    rows.append(found)
+                    sizes.append(np.full(len(found), n))
+                    owners.append(np.full(len(found), row))
                 row += 1
-        if not found:
+        if not rows:
             return None
-        alphabet = np.unique(np.array([w for p in found for w in p], np.uint64))
-        symbols = np.zeros((len(found), window), np.int64)
-        for k, p in enumerate(found):
-            symbols[k, window - len(p) :] = np.searchsorted(alphabet, np.array(p, np.uint64)) + 2
-        sizes = np.array([len(p) for p in found], np.int64)
-        lists = [sorted(x) for x in found.values()]
-        bounds = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-        return cls(alphabet, symbols, sizes, bounds, np.array([x for y in lists for x in y], np.int64), int(sizes.min()))
+        words, size, owner = np.concatenate(rows), np.concatenate(sizes), np.concatenate(owners)
+        used = np.arange(window) >= window - size[:, None]
+        alphabet = np.unique(words[used])
+        symbols = np.where(used, np.searchsorted(alphabet, words) + 2, 0).astype(np.int32)
+        distinct, first, which = np.unique(symbols, axis=0, return_index=True, return_inverse=True)
+        own = np.array([-1 if x is None else x for x in ids], np.int64)[owner]
+        real = np.array([x is not None for x in ids])[owner]
+        pairs = np.unique(np.stack([which.ravel()[real], own[real]]), axis=1)
+        bounds = np.searchsorted(pairs[0], np.arange(len(distinct) + 1))
+        return cls(alphabet, distinct, size[first], bounds.astype(np.int64), pairs[1], int(size.min()))
 
 
 def _runs(keep: np.ndarray, bounds: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +182,12 @@ def search_block(block, phrases: Phrases) -> tuple[list, list]:
     origin = np.zeros(len(text), np.int64)
     origin[np.arange(len(words)) + gaps] = words
     index = FMIndex(text, len(phrases.alphabet) + 1)
-    which, low, high = index.search(phrases.symbols)
+    # Only phrases whose first and last words stand in the shard can occur in it.
+    here = np.zeros(len(phrases.alphabet) + 2, bool)
+    here[text] = True
+    some = np.flatnonzero(here[phrases.symbols[:, -1]] & here[phrases.symbols[np.arange(len(phrases.symbols)), phrases.symbols.shape[1] - phrases.sizes]])
+    which, low, high = index.search(phrases.symbols[some].astype(np.int64))
+    which = some[which]
     if not len(which):
         return spans, items
     at = origin[index.locate(_ranges(low, high - low))]
@@ -195,28 +206,39 @@ def search_block(block, phrases: Phrases) -> tuple[list, list]:
     return spans, items
 
 
-def _merge(old: list | None, new: list) -> list:
-    out: list[dict] = []
-    for x in sorted([*(old or []), *new], key=lambda s: s["start"]):
-        if out and x["start"] <= out[-1]["end"]:
-            out[-1]["end"] = max(out[-1]["end"], x["end"])
-        else:
-            out.append(dict(x))
-    return out
-
-
 def passes(benchmark: DataFrame, window: int = WINDOW, pass_chars: int = PASS_CHARS) -> Iterator[Phrases]:
-    """The benchmark's phrases, as many items at a time as ``pass_chars`` allows."""
+    """The benchmark's phrases, as many items at a time as ``pass_chars`` allows on average; one pass is held at a time."""
     total = benchmark.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = max(1, -(-total // pass_chars))
     for k in range(n):
-        part = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).select(F.col("item_id").cast("long"), "text").collect()
+        part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).select(F.col("item_id").cast("long"), "text").collect()
         found = Phrases.of([r[0] for r in part], [r[1] for r in part], window)
+        del part
         if found is not None:
             yield found
+        del found  # before the next pass is read
+
+
+FOUND = "array<struct<start:bigint,end:bigint>>"
 
 
-FOUND = "n_words long, spans array<struct<start:long,end:long>>, items array<long>"
+def search(rows: DataFrame, phrases: Phrases | None, keep: str) -> tuple[DataFrame, object]:
+    """``keep``, n_words, spans and items of ``rows`` (with ``text``) for the phrases of one pass, and their broadcast."""
+    sent = rows.sparkSession.sparkContext.broadcast(phrases)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        for batch in batches:
+            spans, items, n = [], [], []
+            for block in blocks(batch.column("text"), ALNUM, lower=True, most=SHARD_BYTES):
+                s, i = search_block(block, sent.value) if sent.value is not None else ([[] for _ in block.offsets[1:]],) * 2
+                spans += s
+                items += i
+                n += np.diff(block.bounds).tolist()
+            yield pa.RecordBatch.from_arrays([batch.column(keep), pa.array(n, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.int64()))], [keep, "n_words", "spans", "items"])
+
+    schema = rows.select(keep, F.lit(0).cast("long").alias("n_words"), F.array().cast(FOUND).alias("spans"), F.array().cast("array<bigint>").alias("items")).schema
+    return rows.select(keep, "text").mapInArrow(run, schema), sent
 
 
 def find(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, window: int = WINDOW, pass_chars: int = PASS_CHARS) -> DataFrame:
@@ -225,36 +247,36 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, w
     Spans are merged, in words of the text, end exclusive. Null and empty texts have no words; null and
     empty items have no phrase; items that share an id count once, and an item without an id hits words but
     isn't listed. Other columns, whatever their names, stay inside ``doc``. Each row is judged by itself.
+
+    A benchmark of one pass is searched in one go. Of a larger one, every pass writes what it hits, by text,
+    before the next pass is read; the hits of all passes are then joined to the rows.
     """
-    spark = docs.sparkSession
     keep = docs.columns if keep is None else keep
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("doc"), F.col("text"))
-    rows = rows.withColumns({"spans": F.array().cast("array<struct<start:bigint,end:bigint>>"), "items": F.array().cast("array<bigint>"), "n_words": F.lit(0).cast("long")})
-    rows = rows.select("doc", "text", "n_words", "spans", "items")
-    todo: list[Phrases | None] = list(passes(benchmark, window, pass_chars)) or [None]
-    for k, phrases in enumerate(todo):
-        last = k == len(todo) - 1
-        sent = spark.sparkContext.broadcast(phrases)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, last=last) -> Iterator[pa.RecordBatch]:
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            for batch in batches:
-                spans, items, n = [], [], []
-                for block in blocks(batch.column("text"), ALNUM, lower=True, most=SHARD_BYTES):
-                    s, i = search_block(block, sent.value) if sent.value is not None else ([[] for _ in block.offsets[1:]],) * 2
-                    spans += s
-                    items += i
-                    n += np.diff(block.bounds).tolist()
-                if any(len(x) for x in batch.column("spans")):
-                    spans = [_merge(a, b) for a, b in zip(batch.column("spans").to_pylist(), spans)]
-                if any(len(x) for x in batch.column("items")):
-                    items = [sorted({*(a or []), *b}) for a, b in zip(batch.column("items").to_pylist(), items)]
-                out = [batch.column("doc"), batch.column("text"), pa.array(n, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.int64()))]
-                names = ["doc", "text", "n_words", "spans", "items"]
-                yield pa.RecordBatch.from_arrays(out, names) if not last else pa.RecordBatch.from_arrays([out[0], *out[2:]], [names[0], *names[2:]])
-
-        rows = rows.mapInArrow(run, rows.schema if not last else rows.drop("text").schema)
-    return rows
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("doc"), "text")
+    every = passes(benchmark, window, pass_chars)
+    if benchmark.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] <= pass_chars:
+        return search(rows, next(every, None), "doc")[0]
+    scratch, hits = Scratch(docs.sparkSession, "op5"), []
+    texts = docs.select(F.sha2("text", 256).alias("key"), "text")
+    for phrases in every:  # no counter, which would hold on to the last pass
+        found, sent = search(texts, phrases, "key")
+        hits.append(scratch.write(found.where(F.size("spans") > 0).select("key", "spans", "items").dropDuplicates(["key"]), f"pass{len(hits)}"))
+        sent.destroy()
+        del phrases, found, sent
+    if not hits:
+        return search(rows, None, "doc")[0]
+    union = hits[0]
+    for h in hits[1:]:
+        union = union.unionByName(h)
+    merged = union.groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    none = F.array().cast(FOUND)
+    last = lambda s: F.element_at(s, -1)
+    joined = lambda s, x: F.concat(F.slice(s, 1, F.size(s) - 1), F.array(F.struct(last(s)["start"].alias("start"), F.greatest(last(s)["end"], x["end"]).alias("end"))))
+    step = lambda s, x: F.when((F.size(s) > 0) & (x["start"] <= F.get(s, F.size(s) - 1)["end"]), joined(s, x)).otherwise(F.concat(s, F.array(x)))
+    merged = scratch.write(merged.select("key", F.aggregate("all", none, step).alias("spans"), "items"), "merged")
+    counted = search(rows.withColumn("row", F.struct("doc", F.sha2("text", 256).alias("key"))), None, "row")[0]
+    out = counted.select("row.doc", "row.key", "n_words").join(merged, "key", "left")
+    return out.select("doc", "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"))
 
 
 def n_hit() -> Column:

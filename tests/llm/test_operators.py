@@ -279,7 +279,7 @@ def test_substring_dedup(spark, docs, rows, empty, monkeypatch):
     assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in again), key=str) == brute_substrings(rows)
 
 
-def test_decontamination(spark, docs, rows, empty):
+def test_decontamination(spark, docs, rows, empty, monkeypatch):
     from larkgraph.llm import op05_decontamination as q
 
     item = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -304,6 +304,24 @@ def test_decontamination(spark, docs, rows, empty):
     for size in (1 << 20, 60):
         got = q.find(docs, table, pass_chars=size).select("doc.doc_id", "n_words", q.n_hit().alias("h"), "items").collect()
         assert sorted(((r[0], r[1], r[2], sorted(r[3])) for r in got), key=str) == sorted(want, key=str)
+    import gc
+    import weakref
+
+    held, most = [], []
+    real = q.Phrases.of.__func__
+
+    def counted(cls, *args):
+        gc.collect()
+        most.append(sum(x() is not None for x in held))
+        out = real(cls, *args)
+        if out is not None:
+            held.append(weakref.ref(out))
+        return out
+
+    monkeypatch.setattr(q.Phrases, "of", classmethod(counted))
+    q.find(docs.limit(3), table, pass_chars=60).count()
+    assert len(held) > 2 and max(most) == 0  # a pass is gone before the next is made
+    monkeypatch.undo()
     clean = q.decontaminate(docs, table)
     assert clean.columns == docs.columns and clean.count() == sum(not (h and 20 * h >= n) for _, n, h, _ in want)
     assert q.find(empty, table).count() == 0 and q.find(docs, table.limit(0)).where(q.n_hit() > 0).count() == 0
