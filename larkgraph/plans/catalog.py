@@ -1,6 +1,6 @@
 """All registered queries; importing this module registers them."""
 
-from . import curation, evidence, graph, identity, ontology, ranking, release, search, similarity, streams, texts  # noqa: F401
+from . import curation, evidence, graph, identity, lookups, ontology, ranking, release, search, similarity, streams, texts  # noqa: F401
 from .registry import FLAGSHIP, ORACLES, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
