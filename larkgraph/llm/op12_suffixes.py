@@ -38,6 +38,8 @@ PIECE = 1 << 20
 BLOCK_BYTES = 1 << 21
 #: Text whose anchors are sorted in one task.
 BUCKET_BYTES = 16 << 20
+#: Suffixes of a task that are sorted at a time, if no single anchor has more.
+SORTED = 1 << 20
 #: Anchors of so many texts have their suffixes dealt one by one. Speed only.
 FREQUENT = 1 << 15
 LAST_ID = (1 << 63) - 1
@@ -306,8 +308,13 @@ def judged(sent: DataFrame, size: int = SIZE) -> DataFrame:
         _, anchor, stretches = np.unique(low[rep], return_inverse=True, return_counts=True)
         several = np.flatnonzero(stretches[anchor] > 1)
         mask = np.zeros(len(rep), np.uint32)
-        r = rep[several]
-        mask[several] = sort_suffixes(data, begin[r], sizes[r], before[r], anchor[several], first[several], size)
+        total, start = np.cumsum(sizes[rep[several]] - size + 1), 0
+        while start < len(several):  # whole anchors, as many as SORTED allows
+            end = int(np.searchsorted(total, (total[start - 1] if start else 0) + SORTED, "right"))
+            end = int(np.searchsorted(anchor[several], anchor[several[max(end - 1, start)]], "right"))
+            part = several[start:end]
+            r, start = rep[part], end
+            mask[part] = sort_suffixes(data, begin[r], sizes[r], before[r], anchor[part], first[part], size)
         out = np.where(ids > first[slot], np.uint32(0xFFFFFFFF), mask[slot])
         return pa.table({"block": table.column("block"), "first": table.column("first"), "masks": _cut(out, np.append(0, np.cumsum(n)))})
 

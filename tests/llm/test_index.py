@@ -141,6 +141,7 @@ def test_suffixes_of_hard_texts(spark, monkeypatch):
     rng.shuffle(ids)
     rows = list(zip(ids, texts)) + [(ids[7], core[50:260]), (ids[6], core), (None, core[3:90]), (None, core[3:91])]
     monkeypatch.setattr(q, "BLOCK_BYTES", 900)  # many blocks
+    monkeypatch.setattr(q, "SORTED", 40)  # and few suffixes at a time
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = brute_removed(rows)
     for options in ({}, {"frequent": 3, "bucket_bytes": 1000}, {"piece": 64}):
