@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators.graph import components
 from ..session import table
 from .registry import query
 
@@ -40,21 +39,6 @@ def id_03(spark, sf_dir):
     return rows.join(hub, "k").select("doc_id", "representative")
 
 
-@query("id_06", """WITH RECURSIVE l AS (SELECT 'C:' || c_custkey AS a, 'S:' || s_suppkey AS b FROM customer JOIN supplier ON c_nationkey = s_nationkey AND floor(c_acctbal / 100) = floor(s_acctbal / 100)),
-    g AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT a AS node, a AS reach FROM g UNION SELECT g.b, r.reach FROM r JOIN g ON g.a = r.node), m AS (SELECT node, min(reach) AS component FROM r GROUP BY 1),
-    bad AS (SELECT DISTINCT component FROM (SELECT component, left(node, 1) AS kind, count(*) AS n FROM m GROUP BY 1, 2) WHERE n > 1)
-    SELECT node, component, component IN (SELECT component FROM bad) AS demoted FROM m""")
-def id_06(spark, sf_dir):
-    """Clusters of customers and suppliers of a nation by account balance; those with two of a kind are demoted."""
-    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("C:"), "c_custkey").alias("id"), "c_nationkey", F.floor(F.col("c_acctbal") / 100).alias("k"))
-    s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("S:"), "s_suppkey").alias("b"), "s_nationkey", F.floor(F.col("s_acctbal") / 100).alias("ks"))
-    links = c.join(s, (F.col("c_nationkey") == F.col("s_nationkey")) & (F.col("k") == F.col("ks"))).select(F.col("id").alias("a"), "b")
-    named = components(links)
-    kinds = named.groupBy("component", F.left("node", F.lit(1)).alias("kind")).agg(F.count("*").alias("n"))
-    bad = kinds.where("n > 1").select("component").distinct().withColumn("demoted", F.lit(True))
-    return named.join(bad, "component", "left").select("node", "component", F.coalesce("demoted", F.lit(False)).alias("demoted"))
-
-
 @query("cx_05", "WITH a AS (SELECT DISTINCT lower(p_type) AS alias, p_brand AS node FROM part UNION SELECT DISTINCT lower(p_brand), p_brand FROM part) SELECT alias, count(DISTINCT node) AS nodes, count(DISTINCT node) > 1 AS ambiguous FROM a WHERE alias NOT IN (SELECT lower(p_name) FROM part) GROUP BY 1")
 def cx_05(spark, sf_dir):
     """Aliases and whether they are ambiguous; canonical ids are reserved."""
