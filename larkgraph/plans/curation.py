@@ -64,11 +64,12 @@ def fn_13(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", t.study_kind(type_, title, F.col("o_orderkey") % 11 == 0).alias("kind"))
 
 
-@query("fn_18", "WITH p AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN p_partkey || '-' || p_size WHEN 1 THEN ' protocol ' WHEN 2 THEN 'ab ' || p_brand ELSE 'x' || p_size END AS raw FROM part), k AS (SELECT p_partkey, upper(regexp_replace(raw, '\\s+', '', 'g')) AS k FROM p) SELECT p_partkey, CASE WHEN length(k) < 6 OR regexp_full_match(k, '[0-9.-]*') OR k IN ('NONE', 'N/A', 'NA', 'PROTOCOL', 'PILOT', 'STUDY', 'IRB', '1.0') THEN NULL ELSE k END AS protocol FROM k")
+@query("fn_18", "WITH p AS (SELECT p_partkey, CASE WHEN p_size % 8 = 3 THEN 'nct ' || lpad(p_partkey::VARCHAR, 8, '0') ELSE CASE p_size % 4 WHEN 0 THEN p_partkey || '-' || p_size WHEN 1 THEN ' protocol ' WHEN 2 THEN 'ab ' || p_brand ELSE 'x' || p_size END END AS raw FROM part), k AS (SELECT p_partkey, upper(regexp_replace(raw, '\\s+', '', 'g')) AS k FROM p) SELECT p_partkey, CASE WHEN length(k) < 6 OR regexp_full_match(k, '[0-9.-]*') OR regexp_matches(k, '\\bNCT\\d{8}\\b') OR k IN ('NONE', 'N/A', 'NA', 'PROTOCOL', 'PILOT', 'STUDY', 'IRB', '1.0') THEN NULL ELSE k END AS protocol FROM k")
 def fn_18(spark, sf_dir):
-    """Protocol numbers that can tell studies apart."""
+    """Protocol numbers that can tell studies apart; a registry's id is none."""
     k, size = F.col("p_size") % 4, F.col("p_size").cast("string")
     raw = F.when(k == 0, F.concat_ws("-", "p_partkey", "p_size")).when(k == 1, " protocol ").when(k == 2, F.concat(F.lit("ab "), "p_brand")).otherwise(F.concat(F.lit("x"), size))
+    raw = F.when(F.col("p_size") % 8 == 3, F.concat(F.lit("nct "), F.lpad(F.col("p_partkey").cast("string"), 8, "0"))).otherwise(raw)
     return table(spark, sf_dir, "part").select("p_partkey", t.protocol_key(raw).alias("protocol"))
 
 
