@@ -4,27 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import licence_class
+from ..functions.licences import licence_class, licence_class_sql
 from ..session import table
 from .registry import query
 
-LINE = "regexp_extract(text, '(?i)[^\\n]*licen[sc]e[^\\n]*')"
-CLASS = f"CASE WHEN l = '' THEN 'unknown' WHEN lower(l) LIKE '%-nc%' THEN 'non_commercial' WHEN lower(l) LIKE '%cc by%' OR lower(l) LIKE '%cc0%' THEN 'open' ELSE 'unknown' END"
+# All lines that name a licence, as one text: the class is that of the licence that restricts most.
+LINES = "array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '(?i)licen[sc]e')), chr(10))"
 
 
 def _classed(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    line = F.regexp_extract("text", "(?i)[^\\n]*licen[sc]e[^\\n]*", 0)
-    return docs.select("doc_id", "source", F.col("n_chars"), licence_class(line).alias("class"))
+    lines = F.array_join(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike("(?i)licen[sc]e")), "\n")
+    return table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", licence_class(lines).alias("class"))
 
 
-@query("ag_15", f"SELECT source, {CLASS} AS class, count(*) AS texts FROM (SELECT source, {LINE} AS l FROM documents) GROUP BY 1, 2")
+@query("ag_15", f"SELECT source, {licence_class_sql('l')} AS class, count(*) AS texts FROM (SELECT source, {LINES} AS l FROM documents) GROUP BY 1, 2")
 def ag_15(spark, sf_dir):
     """Licence classes by source."""
     return _classed(spark, sf_dir).groupBy("source", "class").agg(F.count("*").alias("texts"))
 
 
-@query("rl_02", f"SELECT CASE WHEN class = 'non_commercial' THEN 'licence' WHEN n_chars < 100 THEN 'too_short' WHEN class = 'unknown' THEN 'link_only' ELSE 'copied' END AS reason, count(*) AS texts, sum(CASE WHEN class = 'open' AND n_chars >= 100 THEN n_chars END)::BIGINT AS chars FROM (SELECT n_chars, {CLASS} AS class FROM (SELECT n_chars, {LINE} AS l FROM documents)) GROUP BY 1")
+@query("rl_02", f"SELECT CASE WHEN class = 'non_commercial' THEN 'licence' WHEN n_chars < 100 THEN 'too_short' WHEN class = 'unknown' THEN 'link_only' ELSE 'copied' END AS reason, count(*) AS texts, sum(CASE WHEN class = 'open' AND n_chars >= 100 THEN n_chars END)::BIGINT AS chars FROM (SELECT n_chars, {licence_class_sql('l')} AS class FROM (SELECT n_chars, {LINES} AS l FROM documents)) GROUP BY 1")
 def rl_02(spark, sf_dir):
     """Why each text is kept out, only linked, or copied."""
     reason = F.when(F.col("class") == "non_commercial", "licence").when(F.col("n_chars") < 100, "too_short").when(F.col("class") == "unknown", "link_only").otherwise("copied")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions.licences import licence_class, licence_class_sql
 from ..operators.similarity import simgic
 from ..session import table
 from .registry import query
@@ -66,13 +67,11 @@ def fn_07(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(t.frequency(raw)["value"], 6).alias("value"))
 
 
-@query("fn_12", """WITH l AS (SELECT unnest(regexp_extract_all(text, '(?i)[^\\n]*licen[sc]e[^\\n]*')) AS l FROM documents), w AS (SELECT l, list_filter(regexp_split_to_array(lower(l), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM l),
-    t AS (SELECT list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || w[i + 1])) AS t FROM w)
-    SELECT CASE WHEN list_has_any(t, ['nc', 'noncommercial']) THEN 'non_commercial' WHEN list_has_any(t, ['sa', 'sharealike']) THEN 'share_alike' WHEN list_has_any(t, ['cc0', 'ccby', 'publicdomain', 'pddl', 'odcby']) THEN 'open' ELSE 'unknown' END AS class, count(*) AS lines FROM t GROUP BY 1""")
+@query("fn_12", f"WITH l AS (SELECT unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '(?i)licen[sc]e'))) AS l FROM documents) SELECT {licence_class_sql('l')} AS class, count(*) AS lines FROM l GROUP BY 1")
 def fn_12(spark, sf_dir):
     """Licence classes of all lines that name a licence."""
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("(?i)licen[sc]e"))
-    return docs(spark, sf_dir).select(F.explode(lines).alias("l")).groupBy(t.licence_class(F.col("l")).alias("class")).agg(F.count("*").alias("lines"))
+    return docs(spark, sf_dir).select(F.explode(lines).alias("l")).groupBy(licence_class(F.col("l")).alias("class")).agg(F.count("*").alias("lines"))
 
 
 @query("fn_15", "WITH d AS (SELECT c_custkey, lpad(c_custkey::VARCHAR, 15, '0') AS s FROM customer), c AS (SELECT c_custkey, (12 - list_reduce(list_prepend(0, list_transform(string_split(s, ''), lambda x: x::INT)), lambda a, x: (a + x) * 2 % 11) % 11) % 11 AS k FROM d) SELECT c_custkey, CASE WHEN k = 10 THEN 'X' ELSE k::VARCHAR END AS check_digit FROM c")
