@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,6 +20,37 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session may have ended before
+        pass
+
+
+_folders: dict[str, str] = {}
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the checkpoint folder, read back; it is removed when the driver ends.
+
+    For loops of many rounds: a checkpoint hands on its plan's estimate of size, which joins multiply round by round
+    until planning takes longer than the work, whereas a table has the size of its files.
+    """
+    spark: SparkSession = df.sparkSession
+    root, app = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir(), spark.sparkContext.applicationId
+    if app not in _folders:
+        if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            root = tempfile.mkdtemp(prefix="larkgraph-")  # tests and single machines
+        _folders[app] = f"{root.rstrip('/')}/rounds-{uuid.uuid4().hex}"
+        atexit.register(_remove, spark, _folders[app])
+    to = f"{_folders[app]}/{uuid.uuid4().hex}"
+    df.write.parquet(to)
+    return spark.read.schema(df.schema).parquet(to)
+
+
 def running(df: DataFrame, order: Column, parts: int = 0, **sums: Column) -> DataFrame:
     """``df`` with running sums in an order over the whole table, in range partitions; no task sees all rows.
 

@@ -83,15 +83,6 @@ def test_simgic_example(spark):
     assert s.simgic(sets, content).first()["score"] == pytest.approx(0.5)
 
 
-def test_communities_part_two_cliques(spark):
-    clique = lambda k: [(k + i, k + j, 1.0) for i in range(5) for j in range(i)]
-    edges = spark.createDataFrame(clique(0) + clique(10) + [(0, 10, 1.0)], "a long, b long, weight double")
-    labels = s.communities(edges, rounds=12)
-    single = labels.select("node", F.col("node").alias("label"))
-    assert s.modularity(edges, labels).first()[0] > s.modularity(edges, single).first()[0] + 0.3
-    assert labels.select("label").distinct().count() == 2
-
-
 def test_validation_values(spark):
     rows = spark.createDataFrame([(0.9, True), (0.8, False), (0.8, True), (0.1, False)], "score double, y boolean")
     got = s.auroc(rows, "score", "y").first()
