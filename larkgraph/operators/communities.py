@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import BITS, draw
@@ -10,6 +10,8 @@ from .stored import written
 
 #: A gain, in units of weight or of modularity, that counts as one.
 LEAST = 1e-12
+#: As a power of two, the least share of the nodes that may move at once.
+FEWEST = 3
 
 
 def _two_ways(edges: DataFrame) -> DataFrame:
@@ -56,16 +58,16 @@ def _level(both: DataFrame, nodes: DataFrame, inner: DataFrame, weights: dict, r
     proposed = nodes.select("run", "node", "degree", F.col("node").alias("label"))
     labels = pulls = None
     quality: dict = {}
-    wide, busy = {r: True for r in weights}, set(weights)
+    share, busy = {r: 1 for r in weights}, set(weights)  # one node in 2^share moves
     for k in range(most_rounds):
         pull = written(_pull(both, proposed.where(F.col("run").isin(*busy))))
         held = pull.where("to = label").groupBy("run", "label").agg(F.sum("pull").alias("inner"), F.sum("degree").alias("total"))
-        share = F.col("inner") / _of(weights) - resolution * F.pow(F.col("total") / _of(weights), F.lit(2.0))
-        now = {r[0]: r[1] + 2 * loops.get(r[0], 0.0) / weights[r[0]] for r in held.groupBy("run").agg(F.sum(share)).collect()}
+        worth = F.col("inner") / _of(weights) - resolution * F.pow(F.col("total") / _of(weights), F.lit(2.0))
+        now = {r[0]: r[1] + 2 * loops.get(r[0], 0.0) / weights[r[0]] for r in held.groupBy("run").agg(F.sum(worth)).collect()}
         better = [r for r in busy if r not in quality or now[r] > quality[r] + LEAST]
         quality.update({r: now[r] for r in better})
-        for r in busy:  # many may move at once as long as that helps; if it did not, only moves that can't disturb each other
-            wide[r] = r in better
+        for r in busy:  # many may move at once as long as that helps; if not, fewer, and at last only such as can't disturb each other
+            share[r] = max(1, min(share[r], FEWEST) - (share[r] > 1)) if r in better else share[r] + 1
         if set(better) == set(weights):
             labels, pulls = proposed, pull
         elif better:
@@ -76,9 +78,9 @@ def _level(both: DataFrame, nodes: DataFrame, inner: DataFrame, weights: dict, r
         busy = {r[0] for r in moves.select("run").distinct().collect()}
         if not busy:
             return written(labels.select("run", "node", "label"))
-        many, few = ([r for r in busy if wide[r] is x] for x in (True, False))
-        half = draw(seed, F.col("run"), k, F.col("node")) % 2 == 0
-        chosen = moves.where(F.col("run").isin(*many) & half) if many else moves.limit(0)
+        few = [r for r in busy if share[r] > FEWEST]
+        part = F.create_map(*(F.lit(x) for r in busy for x in (r, 1 << share[r])))[F.col("run")]
+        chosen = moves.where(~F.col("run").isin(*few) & (draw(seed, F.col("run"), k, F.col("node")) % part == 0))
         chosen = chosen.unionByName(_apart(moves.where(F.col("run").isin(*few)))) if few else chosen
         step = labels.where(F.col("run").isin(*busy)).join(chosen.select("run", "node", "to"), ["run", "node"], "left")
         proposed = written(step.select("run", "node", "degree", F.coalesce("to", "label").alias("label")))
@@ -90,9 +92,9 @@ def communities(edges: DataFrame, resolution: float = 1.0, seed: int = 0, most_r
 
     ``edges``: a, b, weight, and optionally run (whole number): runs are apart, and stepped side by side. A round moves half
     of the nodes, by a draw of seed, run, round and node, to the community that gains them most. As they move at
-    the same time, the result is measured; a round that doesn't help is taken back, and the next one moves only nodes
-    of which no two touch one community, whose gains add up. So modularity rises with every round that counts, and
-    a level ends when no node has a gain. Raises where that takes too many rounds or levels.
+    the same time, the result is measured; a round that doesn't help is taken back, and the next one moves half as
+    many, at last only nodes of which no two touch one community, whose gains add up. So modularity rises with
+    every round that counts, and a level ends when no node has a gain. Raises where that takes too many rounds or levels.
     """
     if "run" not in edges.columns:
         edges = edges.withColumn("run", F.lit(0))
@@ -124,9 +126,9 @@ def communities(edges: DataFrame, resolution: float = 1.0, seed: int = 0, most_r
 def nearest(pairs: DataFrame, k: int) -> DataFrame:
     """(run, a, b, weight): the k heaviest partners of each node in each run, ties by the smaller partner, as edges a < b."""
     both = pairs.select("run", "a", "b", "weight").unionByName(pairs.select("run", F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
-    # Only the k best of a node are ever held.
-    best = both.groupBy("run", "a").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "b"))), 1, k).alias("n"))
-    return best.select("run", "a", F.explode("n").alias("n")).select("run", F.least("a", "n.b").alias("a"), F.greatest("a", "n.b").alias("b"), (-F.col("n.w")).alias("weight")).distinct()
+    place = F.row_number().over(Window.partitionBy("run", "a").orderBy(F.desc("weight"), "b"))
+    best = both.withColumn("place", place).where(F.col("place") <= k)  # each task first leaves k of a node
+    return best.select("run", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight").distinct()
 
 
 def stable_communities(pairs: DataFrame, k: int, runs: int = 20, fraction: float = 0.8, resolution: float = 1.0, seed: int = 0) -> tuple[DataFrame, DataFrame]:
