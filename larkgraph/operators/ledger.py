@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import ineligible, prefix
 from .graph import components
+from .stored import fingerprint
 
 #: Predicates that state identity, those that tell two things apart, and prefixes of mere aliases.
 IDENTITY = ("skos:exactMatch", "owl:sameAs", "owl:equivalentClass")
@@ -26,15 +27,8 @@ def identified(assertions: DataFrame) -> DataFrame:
 
 
 def input_digest(rows: DataFrame) -> str:
-    """One digest of all assertions, whatever their order; digests of digests by their first letters, so that none is long."""
-    level, width = rows.select(F.col("assertion").alias("h")), 12
-    while width:  # 16^12 groups at most, then fewer, each of some 16^4 digests
-        width = max(width - 4, 0)
-        key = F.substring("h", 1, width)
-        # Each group keeps its first letters in front, so that the next level can group by them.
-        body = F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256)
-        level = level.groupBy(key.alias("k")).agg(body.alias("body")).select(F.concat("k", "body").alias("h"))
-    found = level.first()
+    """One digest of all assertions, whatever their order."""
+    found = fingerprint(rows.select(F.col("assertion").alias("h"))).first()
     return found[0] if found else ""
 
 

@@ -76,8 +76,9 @@ def resnik(terms: DataFrame, closed: DataFrame, annotations: DataFrame, content:
     """(entity, score): summed content of the most informative ancestor shared with each query term, over their own."""
     own = terms.join(content, F.col("query") == F.col("term")).agg(F.sum("ic").alias("whole"))
     up = terms.join(closed, F.col("query") == F.col("node")).join(content, F.col("ancestor") == F.col("term")).select("query", "ancestor", "ic")
-    held = annotations.select("entity", F.col("term").alias("node")).join(closed, "node").select("entity", "ancestor")
-    best = held.join(up, "ancestor").groupBy("entity", "query").agg(F.max("ic").alias("ic"))
+    # The few ancestors of the query meet the closure first, so an annotation meets one row for each query term at most.
+    near = closed.join(F.broadcast(up), "ancestor").groupBy("node", "query").agg(F.max("ic").alias("ic"))  # up: the ancestors of a query's terms
+    best = annotations.select("entity", F.col("term").alias("node")).join(near, "node").groupBy("entity", "query").agg(F.max("ic").alias("ic"))
     total = best.groupBy("entity").agg(F.sum("ic").alias("sum")).crossJoin(F.broadcast(own))
     return total.select("entity", (F.col("sum") / F.when(F.col("whole") == 0, 1.0).otherwise(F.col("whole"))).alias("score"))
 
@@ -126,3 +127,37 @@ def fuse(a: DataFrame, b: DataFrame, weight: float = 0.25, k: float = 1.0) -> Da
 def top_in_group(df: DataFrame, n: int, group: list[str], order: list) -> DataFrame:
     """The first ``n`` rows of each group, with their ``place``."""
     return df.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long")).where(F.col("place") <= n)
+
+
+def rank_among(scores: DataFrame, targets: DataFrame, gap: float = 1e-9) -> DataFrame:
+    """(entity, mid, best, worst): where each of ``targets`` (entity, score) stands among ``scores`` (score), highest first.
+
+    Scores within ``gap`` of a target's tie with it. Every target puts two marks beside the scores, above and below
+    its band, and one running sum of all in order tells how many stand ahead of each; nothing is paired.
+    """
+    counted = scores.groupBy("score").agg(F.count("*").alias("n")).select(F.col("score").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(targets.schema["entity"].dataType).alias("entity"), "n")
+    mark = lambda at, kind: targets.select(at.alias("at"), F.lit(kind).alias("kind"), "entity", F.lit(0).cast("long").alias("n"))
+    every = counted.unionByName(mark(F.col("score") + gap, 0)).unionByName(mark(F.col("score") - gap, 2))
+    # A mark above comes before scores that equal it, a mark below after them.
+    placed = running(every, F.struct((-F.col("at")).alias("at"), "kind", "entity"), ahead=F.col("n")).where("kind <> 1")
+    out = placed.groupBy("entity").agg(F.max(F.when(F.col("kind") == 0, F.col("ahead"))).alias("above"), F.max(F.when(F.col("kind") == 2, F.col("ahead"))).alias("worst"))
+    return out.select("entity", ((F.col("above") + 1 + F.col("worst")) / 2).alias("mid"), (F.col("above") + 1).alias("best"), "worst")
+
+
+def quantiles(rows: DataFrame, group: str, value: str, **shares: float) -> DataFrame:
+    """(group, *shares): quantiles with linear interpolation, exact, of each group's values; nulls don't count.
+
+    Distinct values are counted in one order over all groups, in ranges, so no task holds a group.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("_g"), F.col(value).cast("double").alias("_x")).agg(F.count("*").alias("_c"))
+    placed = running(counted, F.struct("_g", "_x"), _n=F.col("_c"))
+    whole = placed.groupBy("_g").agg(F.min(F.col("_n") - F.col("_c")).alias("_before"), F.sum("_c").alias("_all"))
+    whole = whole.withColumnRenamed("_g", "_h")
+    own = placed.join(whole, F.col("_g").eqNullSafe(F.col("_h"))).select("_g", "_x", "_c", (F.col("_n") - F.col("_before")).alias("_upto"), "_all")
+    out = []
+    for name, share in shares.items():
+        at = F.lit(share) * (F.col("_all") - 1)
+        here = lambda p: F.max(F.when((F.col("_upto") - F.col("_c") <= p) & (p < F.col("_upto")), F.col("_x")))  # noqa: E731, B023
+        low, high, part = here(F.floor(at)), here(F.ceil(at)), F.max(at - F.floor(at))
+        out.append((low + (high - low) * part).alias(name))
+    return own.groupBy("_g").agg(*out).withColumnRenamed("_g", group)

@@ -65,3 +65,20 @@ def running(df: DataFrame, order: Column, parts: int = 0, **sums: Column) -> Dat
     own = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     out = ranged.join(F.broadcast(totals), "_part")  # one row a range
     return out.withColumns({k: F.sum(f"_v_{k}").over(own) + F.col(f"_b_{k}") for k in sums}).drop("_part", *(f"_{x}_{k}" for k in sums for x in "vb"))
+
+
+#: First letters of digests by which they are grouped, level by level.
+WIDTHS = (8, 4, 0)
+
+
+def fingerprint(digests: DataFrame) -> DataFrame:
+    """One row, ``fingerprint``, of a table of digests ``h`` (hex), whatever their order; none for an empty table.
+
+    Digests are sorted and hashed in groups by their first letters, then the groups' digests, with fewer letters, until
+    there is one. So a group holds some hundreds of rows where there are 10^12, and later levels 65,536 at most.
+    """
+    level = digests.select("h")
+    for width in WIDTHS:
+        body = F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "").cast("binary"), 256)
+        level = level.groupBy(F.substring("h", 1, width).alias("k")).agg(body.alias("body")).select(F.concat("k", "body").alias("h"))
+    return level.withColumnRenamed("h", "fingerprint")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..operators.ranking import rank_among
 from ..session import table
 from ..sources import star
 from .registry import query
@@ -211,12 +212,14 @@ def jn_11(spark, sf_dir):
     return own.groupBy("node", "umbrella").agg(F.min("depth").alias("depth"))
 
 
-@query("jn_15", "WITH a AS (SELECT c_custkey AS entity, l_partkey AS drug, 0 AS route FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey WHERE l_returnflag = 'R' UNION ALL SELECT c_custkey, p_partkey, 1 FROM customer JOIN supplier ON s_nationkey = c_nationkey JOIN part ON p_partkey % 100 = s_suppkey WHERE p_size < 3) SELECT entity, drug, CASE min(route) WHEN 0 THEN 'indication' ELSE 'target' END AS route FROM a GROUP BY 1, 2")
+@query("jn_15", "WITH l AS (SELECT o_custkey AS entity, l_suppkey AS gene, l_partkey AS drug, l_returnflag AS flag, l_linenumber AS line, l_quantity AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey), a AS (SELECT entity, drug, 0 AS route FROM l WHERE flag = 'R' UNION ALL SELECT g.entity, t.drug, 1 FROM (SELECT DISTINCT entity, gene FROM l WHERE flag = 'R' AND line = 1) AS g JOIN (SELECT DISTINCT gene, drug FROM l WHERE line = 2 AND q >= 49) AS t USING (gene)) SELECT entity, drug, CASE min(route) WHEN 0 THEN 'indication' ELSE 'target' END AS route FROM a GROUP BY 1, 2")
 def jn_15(spark, sf_dir):
-    """Drugs of an entity by indication, else by a target that its place names."""
-    by = _held(spark, sf_dir).where("l_returnflag = 'R'").select(F.col("o_custkey").alias("entity"), F.col("l_partkey").alias("drug"), F.lit(0).alias("route"))
-    targets = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "part").where("p_size < 3"), F.col("p_partkey") % 100 == F.col("s_suppkey"))
-    mech = table(spark, sf_dir, "customer").join(targets, F.col("s_nationkey") == F.col("c_nationkey")).select(F.col("c_custkey").alias("entity"), F.col("p_partkey").alias("drug"), F.lit(1).alias("route"))
+    """Drugs of an entity by indication, else by a target among its genes."""
+    lines = _held(spark, sf_dir)
+    by = lines.where("l_returnflag = 'R'").select(F.col("o_custkey").alias("entity"), F.col("l_partkey").alias("drug"), F.lit(0).alias("route"))
+    genes = lines.where("l_returnflag = 'R' AND l_linenumber = 1").select(F.col("o_custkey").alias("entity"), F.col("l_suppkey").alias("gene")).distinct()
+    targets = lines.where("l_linenumber = 2 AND l_quantity >= 49").select(F.col("l_suppkey").alias("gene"), F.col("l_partkey").alias("drug")).distinct()
+    mech = genes.join(targets, "gene").select("entity", "drug", F.lit(1).alias("route"))
     best = by.unionByName(mech).groupBy("entity", "drug").agg(F.min("route").alias("route"))
     return best.select("entity", "drug", F.when(F.col("route") == 0, "indication").otherwise("target").alias("route"))
 
@@ -274,19 +277,11 @@ def rk_09(spark, sf_dir):
     return studies.unionByName(people).orderBy("reach", F.when(F.col("kind") == "person", 0).otherwise(1), F.desc("y"), "id").limit(150).select("kind", "id")
 
 
-@query("rk_12", "WITH s AS (SELECT c_custkey AS entity, floor(c_acctbal / 100) AS score FROM customer), t AS (SELECT entity, score FROM s WHERE entity % 100 = 1) SELECT t.entity, (2 * count(*) FILTER (s.score > t.score + 1e-9) + 1 + count(*) FILTER (abs(s.score - t.score) <= 1e-9)) / 2.0 AS mid, count(*) FILTER (s.score > t.score + 1e-9) + 1 AS best, count(*) FILTER (s.score > t.score + 1e-9) + count(*) FILTER (abs(s.score - t.score) <= 1e-9) AS worst FROM t, s GROUP BY t.entity, t.score")
+@query("rk_12", "WITH s AS (SELECT c_custkey AS entity, c_acctbal AS score FROM customer), t AS (SELECT entity, score FROM s WHERE entity % 20 = 0) SELECT t.entity, (2 * count(*) FILTER (s.score > t.score + 5) + 1 + count(*) FILTER (abs(s.score - t.score) <= 5)) / 2.0 AS mid, count(*) FILTER (s.score > t.score + 5) + 1 AS best, count(*) FILTER (s.score > t.score + 5) + count(*) FILTER (abs(s.score - t.score) <= 5) AS worst FROM t, s GROUP BY t.entity, t.score")
 def rk_12(spark, sf_dir):
-    """Ranks of some targets by counts of scores above and within a hair of theirs.
-
-    Scores are counted once each; a target meets the distinct scores, not the candidates.
-    """
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity"), F.floor(F.col("c_acctbal") / 100).cast("double").alias("score"))
-    asked = rows.where("entity % 100 = 1").agg(F.collect_list(F.struct("entity", "score")).alias("targets"))  # a stated query set
-    sizes = rows.groupBy("score").agg(F.count("*").alias("n"))
-    pairs = sizes.crossJoin(F.broadcast(asked)).select("n", F.col("score").alias("other"), F.explode("targets").alias("t")).select("n", "other", "t.*")
-    above = F.sum(F.when(F.col("other") > F.col("score") + 1e-9, F.col("n")).otherwise(0))
-    tied = F.sum(F.when(F.abs(F.col("other") - F.col("score")) <= 1e-9, F.col("n")).otherwise(0))
-    return pairs.groupBy("entity").agg(((2 * above + 1 + tied) / 2).alias("mid"), (above + 1).alias("best"), (above + tied).alias("worst"))
+    """Ranks of a stated set of targets among all scores; those within five units tie."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity"), F.col("c_acctbal").alias("score"))
+    return rank_among(rows, rows.where("entity % 20 = 0"), gap=5.0)
 
 
 @query("st_01", "WITH p AS (SELECT DISTINCT o_custkey AS e, l_suppkey AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey), a AS (SELECT s FROM p WHERE e = 1), b AS (SELECT s FROM p WHERE e = 4) SELECT (SELECT count(*) FROM (SELECT s FROM a INTERSECT SELECT s FROM b)) AS shared, (SELECT count(*) FROM (SELECT s FROM a UNION SELECT s FROM b)) AS either")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators.stored import fingerprint
 from ..session import table
 from .registry import query
 
@@ -48,17 +49,17 @@ def cx_05(spark, sf_dir):
     return free.groupBy("alias").agg(F.countDistinct("node").alias("nodes")).withColumn("ambiguous", F.col("nodes") > 1)
 
 
-@query("cx_06", "WITH n AS (SELECT count(*) // 1000 + 1 AS n FROM lineitem) SELECT sha256(string_agg(h, '' ORDER BY h)) AS fingerprint FROM (SELECT sha256(string_agg(h, '' ORDER BY h)) AS h FROM (SELECT l_orderkey % n AS part, sha256(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, (l_quantity * 100)::BIGINT, round(l_extendedprice * 100)::BIGINT, round(l_discount * 100)::BIGINT, round(l_tax * 100)::BIGINT, l_returnflag, l_linestatus, epoch(l_shipdate)::BIGINT)) AS h FROM lineitem, n) GROUP BY part)")
+ROWS = "SELECT sha256(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, (l_quantity * 100)::BIGINT, round(l_extendedprice * 100)::BIGINT, round(l_discount * 100)::BIGINT, round(l_tax * 100)::BIGINT, l_returnflag, l_linestatus, epoch(l_shipdate)::BIGINT)) AS h FROM lineitem"
+LEVEL = "SELECT left(h, {0}) || sha256(string_agg(h, '' ORDER BY h)) AS h FROM {1} GROUP BY left(h, {0})"
+
+
+@query("cx_06", f"WITH r AS ({ROWS}), a AS ({LEVEL.format(8, 'r')}), b AS ({LEVEL.format(4, 'a')}) SELECT sha256(string_agg(h, '' ORDER BY h)) AS fingerprint FROM b")
 def cx_06(spark, sf_dir):
-    """Fingerprint of a table: digests of whole rows, of parts of about 1,000, and of the whole, so no task holds all rows."""
-    lines = table(spark, sf_dir, "lineitem")
-    n = lines.count() // 1000 + 1
+    """Fingerprint of a table: digests of whole rows, hashed in groups by their first letters, level by level."""
     cents = lambda c: F.round(F.col(c) * 100).cast("long")
     columns = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *map(cents, ("l_quantity", "l_extendedprice", "l_discount", "l_tax")), "l_returnflag", "l_linestatus", F.unix_timestamp("l_shipdate")]
     h = F.sha2(F.concat_ws("|", *(F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in columns)).cast("binary"), 256)
-    join = F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "").cast("binary"), 256)
-    parts = lines.select((F.col("l_orderkey") % n).alias("part"), h.alias("h")).groupBy("part").agg(join.alias("h"))
-    return parts.agg(join.alias("fingerprint"))
+    return fingerprint(table(spark, sf_dir, "lineitem").select(h.alias("h")))
 
 
 @query("in_01", """SELECT 'line_has_order' AS contract, count(*) AS checked, count(*) FILTER (o_orderkey IS NULL) AS violations FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey

@@ -95,10 +95,16 @@ def fn_19(spark, sf_dir):
     return simgic(w, even, 0.1).select("a", "b", F.round("score", 6).alias("jaccard"))
 
 
-@query("fn_20", "SELECT l_orderkey, sha256(l_orderkey || chr(9) || l_partkey || chr(9) || l_suppkey || chr(9) || l_linenumber) AS row_hash FROM lineitem")
+LINE = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")
+CENTS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@query("fn_20", "SELECT l_orderkey, sha256(concat_ws(chr(9), " + ", ".join([*(f"coalesce({c}::VARCHAR, '\\N')" for c in LINE), *(f"coalesce(round({c} * 100)::BIGINT::VARCHAR, '\\N')" for c in CENTS), "coalesce(epoch(l_shipdate)::BIGINT::VARCHAR, '\\N')"]) + ")) AS row_hash FROM lineitem")
 def fn_20(spark, sf_dir):
-    """Digest of each line in tab-separated form."""
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", F.sha2(F.concat_ws("\t", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").cast("binary"), 256).alias("row_hash"))
+    """Digest of each whole line in tab-separated form; a null is told from an empty field."""
+    columns = [*(F.col(c) for c in LINE), *(F.round(F.col(c) * 100).cast("long") for c in CENTS), F.unix_timestamp("l_shipdate")]
+    fields = [F.coalesce(c.cast("string"), F.lit("\\N")) for c in columns]
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", F.sha2(F.concat_ws("\t", *fields).cast("binary"), 256).alias("row_hash"))
 
 
 WORDS = "w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark)"
