@@ -225,20 +225,20 @@ FOUND = "array<struct<start:bigint,end:bigint>>"
 def search(rows: DataFrame, phrases: Phrases | None, keep: str) -> tuple[DataFrame, object]:
     """``keep``, n_words, spans and items of ``rows`` (with ``text``) for the phrases of one pass, and their broadcast."""
     sent = rows.sparkSession.sparkContext.broadcast(phrases)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # A scalar function: only texts go to Python and only findings come back, the rows stay where they are.
+    @F.arrow_udf(f"struct<n_words:bigint,spans:{FOUND},items:array<bigint>>")
+    def found(texts: pa.Array) -> pa.Array:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
-            spans, items, n = [], [], []
-            for block in blocks(batch.column("text"), ALNUM, lower=True, most=SHARD_BYTES):
-                s, i = search_block(block, sent.value) if sent.value is not None else ([[] for _ in block.offsets[1:]],) * 2
-                spans += s
-                items += i
-                n += np.diff(block.bounds).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(keep), pa.array(n, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.int64()))], [keep, "n_words", "spans", "items"])
-
-    schema = rows.select(keep, F.lit(0).cast("long").alias("n_words"), F.array().cast(FOUND).alias("spans"), F.array().cast("array<bigint>").alias("items")).schema
-    return rows.select(keep, "text").mapInArrow(run, schema), sent
+        spans, items, n = [], [], []
+        for block in blocks(texts, ALNUM, lower=True, most=SHARD_BYTES):
+            s, i = search_block(block, sent.value) if sent.value is not None else ([[] for _ in block.offsets[1:]],) * 2
+            spans += s
+            items += i
+            n += np.diff(block.bounds).tolist()
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.int64()))], ["n_words", "spans", "items"])
+
+    out = rows.select(keep, found("text").alias("_found"))
+    return out.select(keep, "_found.n_words", "_found.spans", "_found.items"), sent
 
 
 def find(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, window: int = WINDOW, pass_chars: int = PASS_CHARS) -> DataFrame:
