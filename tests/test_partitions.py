@@ -106,3 +106,59 @@ def test_background_of_random_pairs(spark):
     row = got.first()
     assert 20 < row["pairs"] < 60 and 0 <= row["median"] <= row["strong"] <= 1 / 3 + 1e-9
     assert background(spark, sets.limit(0), content).first()["pairs"] == 0
+
+
+def test_ranks_of_targets_count_the_band_around_them(spark):
+    from larkgraph.operators.ranking import rank_among
+
+    scores = [9.0, 8.0, 8.0, 7.5, 5.0, 5.0, 1.0, -2.0]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(scores)], "entity long, score double").repartition(3)
+    for gap in (0.0, 0.5, 3.0):
+        got = {r["entity"]: (r["mid"], r["best"], r["worst"]) for r in rank_among(rows, rows, gap).collect()}
+        want = {}
+        for i, s in enumerate(scores):
+            above, tied = sum(x > s + gap for x in scores), sum(abs(x - s) <= gap for x in scores)
+            want[i] = ((2 * above + 1 + tied) / 2, above + 1, above + tied)
+        assert got == want
+
+
+def test_quantiles_are_exact(spark):
+    import numpy as np
+
+    from larkgraph.operators.ranking import quantiles
+
+    values = {"a": [1.0, 2.0, 2.0, 10.0], "b": [5.0], None: [3.0, 4.0, 4.0, 4.0, 9.0, -1.0]}
+    rows = spark.createDataFrame([(g, v) for g, vs in values.items() for v in vs] + [("a", None)], "g string, v double").repartition(5)
+    got = {r["g"]: r for r in quantiles(rows, "g", "v", low=0.0, q=0.3, mid=0.5, high=0.95, top=1.0).collect()}
+    assert set(got) == set(values)
+    for g, vs in values.items():
+        for name, q in (("low", 0.0), ("q", 0.3), ("mid", 0.5), ("high", 0.95), ("top", 1.0)):
+            assert got[g][name] == pytest.approx(np.quantile(vs, q))
+
+
+def test_fingerprints_do_not_depend_on_order(spark):
+    from larkgraph.operators.stored import fingerprint
+
+    rows = spark.range(500).select(F.sha2(F.col("id").cast("string"), 256).alias("h"))
+    one = fingerprint(rows).first()[0]
+    assert one == fingerprint(rows.repartition(7)).first()[0] and len(one) == 64
+    assert one != fingerprint(rows.where("h <> (SELECT sha2('7', 256))")).first()[0] != fingerprint(rows.union(rows.limit(1))).first()[0]
+    assert fingerprint(rows.limit(0)).count() == 0
+
+
+def test_blocks_of_sets_give_the_same_pairs(spark):
+    import random
+
+    from larkgraph.operators.similarity import neighbours, set_pairs, simgic
+
+    rng = random.Random(4)
+    sets = spark.createDataFrame([(e, f"t{t}") for e in range(40) for t in rng.sample(range(12), rng.randrange(1, 11))], "entity long, term string")
+    content = spark.createDataFrame([(f"t{t}", float(t % 4)) for t in range(12)], "term string, ic double")
+    plain = simgic(sets, content).withColumn("score", F.round("score", 6)).cache()
+    for block in (7, 1024):
+        got = {tuple(r) for r in set_pairs(sets, content, block=block).collect()}
+        assert got == {tuple(r) for r in plain.collect()}
+        high = {tuple(r) for r in set_pairs(sets, content, least=0.6, block=block).collect()}
+        assert high == {tuple(r) for r in plain.where("score >= 0.6").collect()} and high
+        near = {tuple(r) for r in neighbours(set_pairs(sets, content, most=3, block=block), 3).collect()}
+        assert near == {tuple(r) for r in neighbours(plain, 3).collect()}
