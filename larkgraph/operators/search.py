@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,21 +42,23 @@ def inverse_frequency(index: DataFrame, n: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(n)).select("word", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
-def relevance(index: DataFrame, n: DataFrame, terms: DataFrame, k1: float = 1.2, b: float = 0.75, coverage: float = 0.45) -> DataFrame:
-    """(id, score, matched) of texts that match enough terms. ``terms``: word, weight.
+def relevance(texts: DataFrame, asked: dict[str, float], k1: float = 1.2, b: float = 0.75, coverage: float = 0.45) -> DataFrame:
+    """(id, score, matched) of texts that match enough terms. ``texts``: id, words; ``asked``: weights of the terms.
 
     A word counts once whatever its frequency, weighed by rarity and the text's length; a text must hold one
-    of up to two terms, or ``coverage`` of more.
+    of up to two terms, or ``coverage`` of more. Only the terms that are asked for leave a text's words; texts without a word
+    count as texts, but not for the mean length.
     """
-    length = index.groupBy("id").agg(F.sum("tf").alias("length"))
-    mean = length.agg(F.avg("length").alias("mean"))
-    asked = F.broadcast(terms)
-    idf = inverse_frequency(index.join(asked, "word", "left_semi"), n)
-    hits = index.join(asked, "word").join(F.broadcast(idf), "word").join(length, "id").crossJoin(F.broadcast(mean))
-    part = F.col("weight") * F.col("idf") * (k1 + 1) / (1 + k1 * (1 - b + b * F.col("length") / F.greatest("mean", F.lit(1.0))))
-    size = terms.agg(F.count("*").alias("terms"))
-    need = F.when(F.col("terms") <= 2, 1).otherwise(F.ceil(F.col("terms") * coverage))
-    out = hits.groupBy("id").agg(F.sum(part).alias("score"), F.count("*").alias("matched")).crossJoin(F.broadcast(size))
+    size = F.size("words")
+    whole = texts.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.when(size > 0, size)), F.lit(0.0)).alias("mean")).first()
+    held = F.array_distinct(F.filter("words", lambda w: w.isin(*asked)))
+    hits = texts.select("id", size.alias("length"), F.explode(held).alias("word"))
+    df = hits.groupBy("word").agg(F.count("*").alias("df"))  # no more rows than terms
+    idf = df.select("word", F.log(1 + (F.lit(whole["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    weight = F.create_map(*(F.lit(x) for kv in asked.items() for x in kv))[F.col("word")]
+    part = weight * F.col("idf") * (k1 + 1) / (1 + k1 * (1 - b + b * F.col("length") / F.lit(max(whole["mean"], 1.0))))
+    need = 1 if len(asked) <= 2 else math.ceil(len(asked) * coverage)
+    out = hits.join(F.broadcast(idf), "word").groupBy("id").agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
     return out.where(F.col("matched") >= need).select("id", "score", "matched")
 
 
@@ -81,18 +86,23 @@ def corrections(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 @F.pandas_udf(IntegerType())
 def osa(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Optimal string alignment distance: edits, and swaps of neighbours of which no letter is edited again."""
-
-    def distance(x: str, y: str) -> int:
-        rows = [list(range(len(y) + 1))]
-        for i in range(1, len(x) + 1):
-            row = [i]
-            for j in range(1, len(y) + 1):
-                best = min(rows[-1][j] + 1, row[-1] + 1, rows[-1][j - 1] + (x[i - 1] != y[j - 1]))
-                if i > 1 and j > 1 and x[i - 1] == y[j - 2] and x[i - 2] == y[j - 1]:
-                    best = min(best, rows[-2][j - 2] + 1)
-                row.append(best)
-            rows.append(row)
-        return rows[-1][-1]
+    """Optimal string alignment distance: edits, and swaps of neighbours of which no letter is edited again.
 
-    return pd.Series([distance(x, y) for x, y in zip(a, b)])
+    Pairs of the same two lengths go through the table of distances together, a cell at a time.
+    """
+    out = np.zeros(len(a), np.int32)
+    sizes = pd.DataFrame({"a": a.str.len().to_numpy(), "b": b.str.len().to_numpy()})
+    for (n, m), rows in sizes.groupby(["a", "b"]).indices.items():
+        x, y = (np.frombuffer("".join(s.iloc[rows]).encode("utf-32-le"), "<u4").reshape(len(rows), k) for s, k in ((a, n), (b, m)))
+        before, last = None, [np.full(len(rows), j, np.int32) for j in range(m + 1)]
+        for i in range(1, n + 1):
+            row = [np.full(len(rows), i, np.int32)]
+            for j in range(1, m + 1):
+                best = np.minimum(np.minimum(last[j], row[-1]) + 1, last[j - 1] + (x[:, i - 1] != y[:, j - 1]))
+                if i > 1 and j > 1:
+                    swapped = (x[:, i - 1] == y[:, j - 2]) & (x[:, i - 2] == y[:, j - 1])
+                    best = np.where(swapped, np.minimum(best, before[j - 2] + 1), best)
+                row.append(best)
+            before, last = last, row
+        out[rows] = last[m]
+    return pd.Series(out)

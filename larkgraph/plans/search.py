@@ -50,10 +50,8 @@ def ag_09(spark, sf_dir):
 @query("se_12", f"WITH {INDEX}, l AS (SELECT id, sum(tf) AS len FROM i GROUP BY 1), a AS (SELECT avg(len) AS a FROM l), q AS (SELECT * FROM (VALUES ('license', 1.0), ('released', 0.9), ('under', 1.0), ('idiot', 0.78)) AS v(word, weight)), d AS (SELECT word, ln(1 + (any_value(n.n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM i, n WHERE word IN (SELECT word FROM q) GROUP BY 1) SELECT id, round(sum(weight * idf * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len / greatest(a, 1)))), 6)::DOUBLE AS score, count(*) AS matched FROM i JOIN q USING (word) JOIN d USING (word) JOIN l USING (id), a GROUP BY 1 HAVING count(*) >= 2")
 def se_12(spark, sf_dir):
     """Relevance of texts for four weighted terms."""
-    index, n = _index(spark, sf_dir)
-    rows = F.array(*(F.struct(F.lit(w).alias("word"), F.lit(x).alias("weight")) for w, x in (("license", 1.0), ("released", 0.9), ("under", 1.0), ("idiot", 0.78))))
-    terms = spark.range(1).select(F.explode(rows).alias("t")).select("t.*")
-    return s.relevance(index, n, terms).withColumn("score", F.round("score", 6))
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("words"))
+    return s.relevance(texts, {"license": 1.0, "released": 0.9, "under": 1.0, "idiot": 0.78}).withColumn("score", F.round("score", 6))
 
 
 @query("se_04", f"""WITH v AS (SELECT DISTINCT unnest({WORDS}) AS word FROM documents), b AS (SELECT DISTINCT unnest({WORDS}) AS w FROM benchmark), a AS (SELECT DISTINCT CASE WHEN length(w) < 8 THEN w || 'x' ELSE 'q' || w || 'x' END AS asked FROM b),

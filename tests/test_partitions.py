@@ -162,3 +162,24 @@ def test_blocks_of_sets_give_the_same_pairs(spark):
         assert high == {tuple(r) for r in plain.where("score >= 0.6").collect()} and high
         near = {tuple(r) for r in neighbours(set_pairs(sets, content, most=3, block=block), 3).collect()}
         assert near == {tuple(r) for r in neighbours(plain, 3).collect()}
+
+
+def test_edit_distances_of_all_lengths(spark):
+    import random
+
+    from larkgraph.operators.search import osa
+
+    def distance(x, y):
+        d = {(i, j): i + j for i in range(len(x) + 1) for j in range(len(y) + 1) if not i or not j}
+        for i in range(1, len(x) + 1):
+            for j in range(1, len(y) + 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (x[i - 1] != y[j - 1]))
+                if i > 1 and j > 1 and x[i - 1] == y[j - 2] and x[i - 2] == y[j - 1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(x), len(y)]
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcä𝛼") for _ in range(rng.randrange(8)))
+    pairs = [(word(), word()) for _ in range(300)] + [("ca", "abc"), ("", "")]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", osa("a", "b").alias("d")).collect()
+    assert all(r["d"] == distance(r["a"], r["b"]) for r in got)
