@@ -86,32 +86,38 @@ def resnik(terms: DataFrame, closed: DataFrame, annotations: DataFrame, content:
 def midranks(df: DataFrame, score: str, tie: str, gap: float = 1e-9, partition: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with rank_mid, rank_best, rank_worst and tied. Scores no more than ``gap`` below the next are one tie.
 
-    With ``partition`` each group is ranked by itself. Without it the distinct scores are ranked in ranges, so no
-    task sees them all; ``tie`` then plays no part, as equal scores share their ranks (or, with a negative
-    ``gap``, are taken to be distinct already).
+    The distinct scores are ranked in ranges, so no task sees them all; with ``partition`` each group is ranked
+    by itself, in one order of groups and scores, so no task sees a whole group either. ``tie`` plays no part, as
+    equal scores share their ranks (or, with a negative ``gap``, are taken to be distinct already).
     """
-    if partition:
-        order = Window.partitionBy(*partition).orderBy(F.desc(score), tie)
-        step = F.when(F.lag(score).over(order) - F.col(score) > gap, 1).otherwise(0)
-        marked = df.withColumns({"_step": step, "_place": F.row_number().over(order).cast("long")})
-        marked = marked.withColumn("_tie", F.sum("_step").over(Window.partitionBy(*partition).orderBy("_place")))
-        group = Window.partitionBy(*partition, "_tie")
-        out = marked.withColumns({"rank_best": F.min("_place").over(group), "rank_worst": F.max("_place").over(group), "tied": F.count("*").over(group)})
-        return out.withColumn("rank_mid", (F.col("rank_best") + F.col("rank_worst")) / 2).drop("_step", "_place", "_tie")
-    scores = df.groupBy(score).agg(F.count("*").alias("_n"))
-    placed = running(scores, F.desc(score), _worst=F.col("_n"))
+    keys, order = list(partition), F.struct(*partition, (-F.col(score)).alias("_down"))
+
+    def meet(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+        named = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
+        test = F.lit(True)
+        for c in on:
+            test = test & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+        return left.join(named, test).drop(*(f"_r_{c}" for c in on))
+
+    scores = df.groupBy(*keys, score).agg(F.count("*").alias("_n"))
+    placed = running(scores, order, _worst=F.col("_n"))
+    if keys:
+        first = placed.groupBy(*keys).agg(F.min(F.col("_worst") - F.col("_n")).alias("_before"))
+        placed = meet(placed, first, keys).withColumn("_worst", F.col("_worst") - F.col("_before")).drop("_before")
     if gap < 0:
-        ranks = placed.select(score, (F.col("_worst") - F.col("_n") + 1).alias("rank_best"), F.col("_worst").alias("rank_worst"))
+        ranks = placed.select(*keys, score, (F.col("_worst") - F.col("_n") + 1).alias("rank_best"), F.col("_worst").alias("rank_worst"))
     else:
         # A score opens a tie if no other lies within the gap above it; those scores are found by a join over gap-wide cells.
         cell = lambda c: F.floor(c / (gap or 1e-300))
-        above = placed.select(F.col(score).alias("_above"), F.explode(F.array(cell(F.col(score)), cell(F.col(score)) - 1)).alias("_cell"))
-        near = placed.withColumn("_cell", cell(F.col(score))).join(above, "_cell").where((F.col("_above") > F.col(score)) & (F.col("_above") - F.col(score) <= gap)).select(score).distinct()
-        marked = placed.join(near.withColumn("_near", F.lit(1)), score, "left")
-        tied = running(marked, F.desc(score), _tie=F.when(F.col("_near").isNull(), 1).otherwise(0))
+        above = placed.select(*keys, F.col(score).alias("_above"), F.explode(F.array(cell(F.col(score)), cell(F.col(score)) - 1)).alias("_cell"))
+        near = meet(placed.select(*keys, score, cell(F.col(score)).alias("_cell")), above, [*keys, "_cell"])
+        near = near.where((F.col("_above") > F.col(score)) & (F.col("_above") - F.col(score) <= gap)).select(*keys, score).distinct()
+        marked = meet(placed, near.withColumn("_near", F.lit(1)), [*keys, score]).select(*placed.columns, "_near").unionByName(placed.withColumn("_near", F.lit(None).cast("int")))
+        marked = marked.groupBy(*placed.columns).agg(F.max("_near").alias("_near"))
+        tied = running(marked, order, _tie=F.when(F.col("_near").isNull(), 1).otherwise(0))
         ends = tied.groupBy("_tie").agg(F.min(F.col("_worst") - F.col("_n") + 1).alias("rank_best"), F.max("_worst").alias("rank_worst"))
-        ranks = tied.join(ends, "_tie").select(score, "rank_best", "rank_worst")
-    out = df.join(ranks, score).withColumn("tied", F.col("rank_worst") - F.col("rank_best") + 1)
+        ranks = tied.join(ends, "_tie").select(*keys, score, "rank_best", "rank_worst")
+    out = meet(df, ranks, [*keys, score]).withColumn("tied", F.col("rank_worst") - F.col("rank_best") + 1)
     return out.withColumn("rank_mid", (F.col("rank_best") + F.col("rank_worst")) / 2)
 
 
