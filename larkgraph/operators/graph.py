@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stored import keep
+from .stored import keep, written
 
 
 def incident(edges: DataFrame) -> DataFrame:
@@ -66,25 +66,33 @@ def page(rows: DataFrame, plan: Plan, *order) -> DataFrame:
     return marked.where(F.col("_place") <= plan.limit).drop("_place")
 
 
-def shortest_path(edges: DataFrame, start: str, goal: str, most_hops: int = 5, most_nodes: int = 400_000) -> DataFrame:
+def shortest_path(edges: DataFrame, start: str, goal: str, most_hops: int = 5, most_nodes: int | None = None) -> DataFrame:
     """(hop, node, relation) along one shortest undirected path; ties go to the least (previous node, relation).
 
-    Breadth first: a frontier join and an anti join with what was seen, written between hops. Raises when more
-    than ``most_nodes`` were seen. No rows if there is no path of ``most_hops`` hops or fewer.
+    Breadth first: a frontier join and an anti join with what was seen, written between hops. What lies within half
+    of the hops from the goal is found first; a node that is reached with so few hops left is kept only if it is among
+    that, so hops through the hubs between the two stay small. ``edges`` may repeat. Raises when more than
+    ``most_nodes`` were kept, if given. No rows if there is no path of ``most_hops`` hops or fewer.
     """
     spark = edges.sparkSession
     both = incident(edges).select("node", "relation", "other")
-    seen = keep(spark.range(1).select(F.lit(start).alias("node"), F.lit(0).alias("hop"), F.lit(None).cast("string").alias("via"), F.lit(None).cast("string").alias("relation")))
+    near = [written(spark.range(1).select(F.lit(goal).alias("node")))]  # by hops from the goal, at most so many
+    for _ in range(most_hops // 2):
+        near.append(written(both.join(near[-1], "node", "left_semi").select(F.col("other").alias("node")).union(near[-1]).distinct()))
+    seen = written(spark.range(1).select(F.lit(start).alias("node"), F.lit(0).alias("hop"), F.lit(None).cast("string").alias("via"), F.lit(None).cast("string").alias("relation")))
     for hop in range(1, most_hops + 1):
         if seen.where(F.col("node") == goal).limit(1).count():
             break
         frontier = seen.where(F.col("hop") == hop - 1).select("node")
-        reached = both.join(frontier, "node").groupBy(F.col("other").alias("node")).agg(F.min(F.struct(F.col("node").alias("via"), "relation")).alias("best"))
+        reached, left = both.join(frontier, "node"), most_hops - hop
+        if left < len(near):
+            reached = reached.join(near[left].withColumnRenamed("node", "other"), "other", "left_semi")
+        reached = reached.groupBy(F.col("other").alias("node")).agg(F.min(F.struct(F.col("node").alias("via"), "relation")).alias("best"))
         new = reached.join(seen.select("node"), "node", "left_anti").select("node", F.lit(hop).alias("hop"), "best.via", "best.relation")
-        seen = keep(seen.unionByName(new))
-        if seen.count() > most_nodes:
+        seen = written(seen.unionByName(new))
+        if most_nodes is not None and seen.count() > most_nodes:
             raise RuntimeError(f"shortest_path: more than {most_nodes} nodes")
-    back = keep(seen.where(F.col("node") == goal))
+    back = written(seen.where(F.col("node") == goal))
     path = back
     for _ in range(most_hops):
         back = seen.join(back.select(F.col("via").alias("node")), "node", "left_semi")

@@ -46,8 +46,8 @@ def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.explode(rows).alias("e")).select("e.*").distinct()
 
 
-def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, relation, dst): distinct typed edges between prefixed ids."""
+def graph(spark: SparkSession, sf_dir: str, repeats: bool = False) -> DataFrame:
+    """(src, relation, dst): typed edges between prefixed ids, distinct unless those of several lines may repeat."""
 
     def edges(name: str, src: str, a: str, relation: str, dst: str, b: str) -> DataFrame:
         return table(spark, sf_dir, name).select(F.concat(F.lit(src), a).alias("src"), F.lit(relation).alias("relation"), F.concat(F.lit(dst), b).alias("dst"))
@@ -59,7 +59,8 @@ def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("nation", "N:", "n_nationkey", "part_of", "R:", "n_regionkey"),
         ("orders", "O:", "o_orderkey", "placed_by", "C:", "o_custkey"),
     )
-    out = edges("lineitem", "O:", "l_orderkey", "contains", "P:", "l_partkey").unionByName(edges("lineitem", "S:", "l_suppkey", "offers", "P:", "l_partkey")).distinct()
+    out = edges("lineitem", "O:", "l_orderkey", "contains", "P:", "l_partkey").unionByName(edges("lineitem", "S:", "l_suppkey", "offers", "P:", "l_partkey"))
+    out = out if repeats else out.distinct()
     for k in keyed:
         out = out.unionByName(edges(*k))
     return out
