@@ -185,9 +185,15 @@ def jn_05(spark, sf_dir):
 @query("jn_08", "SELECT DISTINCT o_orderkey, p_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON 'D' || (p_partkey % 97) = 'D' || (o_custkey % 97) AND p_size = l_linenumber")
 def jn_08(spark, sf_dir):
     """Studies and terms that name the same heading and size."""
-    own = _held(spark, sf_dir).select("o_orderkey", F.concat(F.lit("D"), F.col("o_custkey") % 97).alias("mesh"), F.col("l_linenumber").alias("size")).distinct()
-    terms = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("D"), F.col("p_partkey") % 97).alias("mesh"), F.col("p_size").alias("size"))
-    return own.join(terms, ["mesh", "size"]).select("o_orderkey", "p_partkey").distinct()
+    mesh = lambda c: F.concat(F.lit("D"), F.col(c) % 97).alias("mesh")
+    # A study holds each size once and a term seldom two, so pairs come out of the join distinct: the least common size gives them.
+    own = _held(spark, sf_dir).groupBy("o_orderkey", mesh("o_custkey")).agg(F.collect_set("l_linenumber").alias("sizes"))
+    own = own.select("o_orderkey", "mesh", "sizes", F.explode("sizes").alias("size"))
+    terms = table(spark, sf_dir, "part").groupBy("p_partkey", mesh("p_partkey")).agg(F.collect_set("p_size").alias("all"))
+    terms = terms.select("p_partkey", "mesh", "all", F.explode("all").alias("size"))
+    both = own.join(terms, ["mesh", "size"])
+    one = (F.size("all") == 1) | (F.col("size") == F.array_min(F.array_intersect("sizes", "all")))
+    return both.where(one).select("o_orderkey", "p_partkey")
 
 
 @query("jn_10", "WITH d AS (SELECT doc_id, source, ' ' || trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')) || ' ' AS norm FROM documents), n AS (SELECT * FROM (VALUES ('mit license'), ('general public license'), ('all rights reserved'), ('licensed under')) AS v(name)) SELECT source, name, count(*) AS texts FROM d JOIN n ON contains(norm, ' ' || name || ' ') GROUP BY 1, 2")
