@@ -108,11 +108,14 @@ def src_04(spark, sf_dir):
     path = _folder(spark, "disorders")
     lines = table(spark, sf_dir, "lineitem")
     named = lambda c: F.struct(F.struct(F.lit("en").alias("_lang"), c.alias("_VALUE")).alias("Name"))
-    kind = F.when(F.col("l_returnflag") == "A", "Disease-causing germline mutation(s) in").otherwise("Role in the phenotype of")
-    gene = F.struct(F.concat(F.lit("PMID:"), "l_partkey").alias("SourceOfValidation"), F.struct(F.col("l_suppkey").cast("string").alias("Symbol")).alias("Gene"), named(kind).alias("DisorderGeneAssociationType"), named(F.col("l_linestatus")).alias("DisorderGeneAssociationStatus"))
-    by = lines.groupBy("l_orderkey").agg(F.collect_list(gene).alias("g"))
-    rows = table(spark, sf_dir, "orders").join(by, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").cast("string").alias("OrphaCode"), F.struct(F.lit("en").alias("_lang"), F.col("o_orderpriority").alias("_VALUE")).alias("Name"), F.struct(F.col("g").alias("DisorderGeneAssociation")).alias("DisorderGeneAssociationList"))
-    rows.write.format("xml").option("rootTag", "JDBOR").option("rowTag", "Disorder").save(path)
+
+    def gene(row):  # keys go through the shuffle; elements are worded where they are written
+        kind = F.when(row["l_returnflag"] == "A", "Disease-causing germline mutation(s) in").otherwise("Role in the phenotype of")
+        return F.struct(F.concat(F.lit("PMID:"), row["l_partkey"]).alias("SourceOfValidation"), F.struct(row["l_suppkey"].cast("string").alias("Symbol")).alias("Gene"), named(kind).alias("DisorderGeneAssociationType"), named(row["l_linestatus"]).alias("DisorderGeneAssociationStatus"))
+
+    by = lines.groupBy("l_orderkey").agg(F.collect_list(F.struct("l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")).alias("rows"))
+    rows = table(spark, sf_dir, "orders").join(by, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").cast("string").alias("OrphaCode"), F.struct(F.lit("en").alias("_lang"), F.col("o_orderpriority").alias("_VALUE")).alias("Name"), F.struct(F.transform("rows", gene).alias("DisorderGeneAssociation")).alias("DisorderGeneAssociationList"))
+    rows.write.format("xml").option("rootTag", "JDBOR").option("rowTag", "Disorder").option("compression", "gzip").save(path)
     return records.Disorders(spark, path).genes()
 
 

@@ -86,3 +86,15 @@ def test_equal_sets_are_one_class(spark, tables, name):
     if name != "rk_13":
         assert min(r[-1] for r in got) < 0.5  # low scores are whole as well
         assert len(got) < 40 * 39 / 2 / 2  # copies are not paired with all the others
+
+
+def test_elements_are_worded_after_the_shuffle_and_packed(spark, tables, tmp_path):
+    from larkgraph.plans.catalog import ORACLES, QUERIES
+
+    at, ask = tables(
+        orders=([(1, "1-URGENT"), (2, "5-LOW"), (3, "5-LOW")], "o_orderkey long, o_orderpriority string"),
+        lineitem=([(1, 7, 3, "A", "F"), (1, 8, 4, "N", "O"), (2, 7, 3, "R", "O")], "l_orderkey long, l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string"),
+    )
+    out = QUERIES["src_04"](spark, at)
+    assert sorted(tuple(r) for r in out.select("id", "symbol", "association", "status", "source").collect()) == ask(ORACLES["src_04"])
+    assert all(f.endswith(".gz") for f in out.inputFiles())
