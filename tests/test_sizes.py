@@ -98,3 +98,27 @@ def test_elements_are_worded_after_the_shuffle_and_packed(spark, tables, tmp_pat
     out = QUERIES["src_04"](spark, at)
     assert sorted(tuple(r) for r in out.select("id", "symbol", "association", "status", "source").collect()) == ask(ORACLES["src_04"])
     assert all(f.endswith(".gz") for f in out.inputFiles())
+
+
+def test_blocks_of_vectors_meet_once_and_labels_are_counted_there(spark):
+    import numpy as np
+
+    from larkgraph.operators.similarity import close_labels, cosine_pairs
+
+    v = np.random.default_rng(4).normal(size=(70, 4))
+    label = [None if i % 11 == 0 else i % 3 for i in range(70)]
+    rows = spark.createDataFrame([(i, [float(x) for x in v[i]], label[i]) for i in range(70)], "id long, vector array<double>, label int")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(i, j) for i in range(70) for j in range(i + 1, 70) if u[i] @ u[j] >= 0.3}
+    ends = {}
+    for i, j in want:
+        k = tuple(sorted((label[i], label[j]), key=str))
+        ends[k] = ends.get(k, 0) + 1
+    for block in (16, 4096):
+        got = [(r["a"], r["b"]) for r in cosine_pairs(rows, 0.3, block=block).collect()]
+        assert len(got) == len(want) and set(got) == want
+        counted = {}
+        for r in close_labels(rows, 0.3, block=block).collect():
+            k = tuple(sorted((r["la"], r["lb"]), key=str))
+            counted[k] = counted.get(k, 0) + r["n"]
+        assert counted == ends
