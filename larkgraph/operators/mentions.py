@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stored import written
+
 #: Words that deny what follows, and words that end their reach.
 NEGATIONS = ("no", "not", "without", "kein", "keine", "keinen", "ohne", "sans")
 BOUNDARIES = ("and", "but", "with", "und", "aber", "mit")
@@ -20,11 +22,12 @@ def mentions(texts: DataFrame, phrases: DataFrame, reach: int = REACH) -> DataFr
     ``texts``: id, words (array); ``phrases``: phrase (words joined by a blank). ``start`` counts words from 0; ``context`` holds
     up to ``reach`` words before. A phrase that is the whole text is a name, not a mention; single words of
     under three letters are passed over. Words that begin no phrase are left out by a join on the word alone, so
-    only places that can match are cut into windows of the sizes that phrases with that first word have.
+    only places that can match are cut into windows of the sizes that phrases with that first word have. The
+    dictionary is written first, so that its size is known: unless it is large it goes to the texts, and words stay where they are.
     """
-    known = phrases.where((F.length("phrase") >= LEAST_LETTERS) | F.contains("phrase", F.lit(" "))).select("phrase").distinct()
+    known = written(phrases.where((F.length("phrase") >= LEAST_LETTERS) | F.contains("phrase", F.lit(" "))).select("phrase").distinct())
     split = F.split("phrase", " ")
-    first = known.groupBy(split[0].alias("word")).agg(F.collect_set(F.size(split)).alias("sizes"))
+    first = written(known.groupBy(split[0].alias("word")).agg(F.collect_set(F.size(split)).alias("sizes")))
     longest = known.agg(F.max(F.size(split))).first()[0] or 0
 
     def window(w: Column, i: Column) -> Column:
@@ -45,12 +48,12 @@ def negated(context: Column) -> Column:
 
 def longest(spans: DataFrame) -> DataFrame:
     """The spans (id, start, n) of each text that no longer one holds; overlaps stay, and so do rows of one span."""
-    distinct = spans.select("id", "start", "n").distinct()
     # Whatever begins before, or here and is longer, comes first; if one of them ends no earlier, it holds this span.
-    before = Window.partitionBy("id").orderBy("start", F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    place = F.shiftleft(F.col("start").cast("long"), 32) - F.col("n")
+    before = Window.partitionBy("id").orderBy("_place").rangeBetween(Window.unboundedPreceding, -1)
     end = F.col("start") + F.col("n")
-    free = distinct.withColumn("reached", F.max(end).over(before)).where(F.col("reached").isNull() | (F.col("reached") < end)).select("id", "start", "n")
-    return spans.join(free, ["id", "start", "n"], "left_semi")
+    reached = spans.withColumn("_place", place).withColumn("_reached", F.max(end).over(before))
+    return reached.where(F.col("_reached").isNull() | (F.col("_reached") < end)).drop("_place", "_reached")
 
 
 def profile(found: DataFrame, names: DataFrame, above: DataFrame) -> DataFrame:

@@ -122,3 +122,14 @@ def test_blocks_of_vectors_meet_once_and_labels_are_counted_there(spark):
             k = tuple(sorted((r["la"], r["lb"]), key=str))
             counted[k] = counted.get(k, 0) + r["n"]
         assert counted == ends
+
+
+def test_words_stay_where_they_are_when_the_dictionary_is_small(spark):
+    from larkgraph.operators.mentions import longest, mentions
+
+    texts = spark.createDataFrame([(1, "a fine old tree house stands".split()), (2, "the tree".split())], "id long, words array<string>")
+    phrases = spark.createDataFrame([("tree",), ("old tree",), ("tree house",), ("old tree house",)], "phrase string").distinct()
+    found = mentions(texts, phrases)
+    assert "SortMergeJoin" not in found._jdf.queryExecution().sparkPlan().toString()
+    twice = found.unionByName(found)  # rows of one span don't hold each other
+    assert sorted((r["id"], r["start"], r["n"]) for r in longest(twice).collect()) == [(1, 2, 3)] * 2 + [(2, 1, 1)] * 2
