@@ -2,7 +2,7 @@
 
 Paragraphs are lines, long ones cut into overlapping pieces. A multinomial logistic regression over hashed
 word 1- and 2-grams tells licence families from other text; it learns from variants of the templates below
-and from paragraphs of a bounded number of documents. How probable the best family must be is calibrated on
+and from the paragraphs of all documents. How probable the best family must be is calibrated on
 held-out paragraphs. A prediction counts for its family if the paragraph shares enough of the words, in
 pairs, of one of its templates; a probable notice that matches no template is of an unknown licence.
 
@@ -57,7 +57,6 @@ class Settings:
     """Bounds and levels of the classifier."""
 
     variants: int = 60  # of each template
-    sample_texts: int = 200  # documents whose paragraphs are the other class
     piece: int = 60  # words of a paragraph judged at once
     step: int = 45
     features: int = 1 << 14
@@ -148,15 +147,14 @@ def examples(docs: DataFrame, how: Settings) -> DataFrame:
     copies = templates(spark).select("family", "words", F.explode(F.sequence(F.lit(0), F.lit(how.variants - 1))).alias("v"))
     lose = F.filter("words", lambda w, i: (F.col("v") == 0) | (F.pmod(F.xxhash64(w, i, F.col("v")), F.lit(100)) >= F.col("v") % 5 * 5))
     notices = copies.select(label.alias("label"), lose.alias("words"), (F.col("v") % 5).cast("int").alias("fold")).where(F.size("words") > 0)
-    # By a hash of the id, so that neither files nor partitions decide what is learned.
-    order = [F.xxhash64(F.lit("sample"), F.col("doc_id").cast("string")), F.xxhash64("text")]
-    texts = docs.where(F.col("text").isNotNull()).orderBy(*order).limit(how.sample_texts).select("text").collect()
-    other = spark.createDataFrame(texts, "text string").select(F.explode(pieces(F.col("text"), how)).alias("words"))
-    other = other.where(F.element_at(closeness(spark, F.col("words")), 1)["less"] > -0.5)  # a notice in the sample isn't other text
-    other = other.select(F.lit(0.0).alias("label"), "words", F.pmod(F.xxhash64("words"), F.lit(5)).cast("int").alias("fold"))
+    # Paragraphs that repeat are one example, weighed by how often they stand.
+    other = docs.select(F.explode(pieces(F.col("text"), how)).alias("words")).groupBy("words").agg(F.count("*").cast("double").alias("weight"))
+    other = other.where(F.element_at(closeness(spark, F.col("words")), 1)["less"] > -0.5)  # a notice isn't other text
+    other = other.select(F.lit(0.0).alias("label"), "words", "weight", F.pmod(F.xxhash64("words"), F.lit(5)).cast("int").alias("fold"))
     # Stop words alone, and single words of notices, are other text too.
     single = templates(spark).select(F.explode("words").alias("w")).distinct().select(F.lit(0.0).alias("label"), F.array("w").alias("words"), F.lit(1).alias("fold"))
-    return notices.unionByName(other).unionByName(single).coalesce(1)
+    few = notices.unionByName(single).withColumn("weight", F.lit(1.0)).select("label", "words", "weight", "fold").coalesce(1)
+    return few.unionByName(other)
 
 
 @dataclass
@@ -183,19 +181,19 @@ class Classifier:
 
 
 def train(docs: DataFrame, how: Settings = Settings()) -> Classifier:
-    """Fits on the templates' variants and the paragraphs of at most ``sample_texts`` documents."""
+    """Fits on the templates' variants and the paragraphs of all documents."""
     rows = examples(docs, how).cache()
     grams = "CASE WHEN size(words) < 2 THEN words ELSE concat(words, zip_with(slice(words, 1, size(words) - 1), slice(words, 2, size(words) - 1), (a, b) -> concat_ws(' ', a, b))) END"
     stages = [
         SQLTransformer(statement=f"SELECT *, {grams} AS grams FROM __THIS__"),
         HashingTF(numFeatures=how.features, binary=True, inputCol="grams", outputCol="hashed"),
         Normalizer(inputCol="hashed", outputCol="features"),
-        LogisticRegression(maxIter=40, regParam=2e-4, standardization=False, family="multinomial"),
+        LogisticRegression(maxIter=40, regParam=2e-4, standardization=False, family="multinomial", weightCol="weight"),
     ]
     try:
         model = Pipeline(stages=stages).fit(rows.where("fold > 0"))
-        held = model.transform(rows.where("fold = 0 AND label = 0")).select((1.0 - F.element_at(vector_to_array("probability"), 1)).alias("p"))
-        least = held.agg(F.percentile("p", F.lit(1.0 - how.false_rate))).first()[0]
+        held = model.transform(rows.where("fold = 0 AND label = 0")).groupBy(F.round(1.0 - F.element_at(vector_to_array("probability"), 1), 5).alias("p")).agg(F.sum("weight").cast("long").alias("n"))
+        least = held.agg(F.percentile("p", F.lit(1.0 - how.false_rate), F.col("n"))).first()[0]
     finally:
         rows.unpersist()
     return Classifier(model, sorted({f for f, _ in TEMPLATES}), min(0.95, max(0.5, least or 0.0)))

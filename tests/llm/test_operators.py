@@ -531,3 +531,12 @@ def test_pipeline(spark, docs, rows, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     assert not {r["doc_id"] for r in out.collect()} & {rows[7][0]}
+
+
+def test_licenses_are_learned_from_all_documents(spark):
+    from larkgraph.llm import op03_licenses as q
+
+    rows = [(i, f"word{i} goes on") for i in range(250)] + [(250 + i, "the same line") for i in range(3)] + [(300, None)]
+    got = q.examples(spark.createDataFrame(rows, "doc_id long, text string"), q.Settings()).where("label = 0 AND size(words) = 3")
+    counted = {" ".join(r["words"]): r["weight"] for r in got.collect()}
+    assert counted == {**{f"word{i} goes on": 1.0 for i in range(250)}, "the same line": 3.0}
