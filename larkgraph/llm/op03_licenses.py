@@ -1,8 +1,9 @@
 """Licence scans by a trained paragraph classifier, in DataFrame and SQL functions only.
 
-Paragraphs are lines, long ones cut into overlapping pieces. A multinomial logistic regression over hashed
-word 1- and 2-grams tells licence families from other text; it learns from variants of the templates below
-and from the paragraphs of all documents. How probable the best family must be is calibrated on
+Paragraphs are lines, long ones cut into overlapping pieces. A multinomial logistic regression tells licence
+families from other text by the words and pairs of words that the templates have, and by how many other words
+there are. It learns from variants of the templates below and from the paragraphs of all documents; those alike in
+these are one row, weighed. How probable the best family must be is calibrated on
 held-out paragraphs. A prediction counts for its family if the paragraph shares enough of the words, in
 pairs, of one of its templates; a probable notice that matches no template is of an unknown licence.
 
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, Normalizer, SQLTransformer
+from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,7 +60,6 @@ class Settings:
     variants: int = 60  # of each template
     piece: int = 60  # words of a paragraph judged at once
     step: int = 45
-    features: int = 1 << 14
     false_rate: float = 0.001  # of held-out other paragraphs taken for notices
     shared: float = 0.75  # of a template's word pairs that confirm it
 
@@ -90,12 +90,41 @@ def templates(spark) -> DataFrame:
     return spark.range(1).select(F.explode(rows).alias("t")).select("t.family", lower_words(F.col("t.text")).alias("words"))
 
 
-def closeness(spark, words: Column) -> Column:
-    """For each template, its family and the share of its word pairs that ``words`` hold, best first."""
-    known = [(r["family"], r["pairs"]) for r in templates(spark).select("family", word_pairs(F.col("words")).alias("pairs")).collect()]
-    pairs = word_pairs(words)
-    shares = [F.struct((-F.size(F.array_intersect(pairs, F.array(*map(F.lit, own)))) / F.lit(float(len(own)))).alias("less"), F.lit(-len(own)).alias("size"), F.lit(family).alias("family")) for family, own in known]
-    return F.array_sort(F.array(*shares))
+#: Marks of how many words a paragraph has besides those of the templates: 1 or more, 2, 4 and so on. No word has a space in front.
+OTHERS = [f" {1 << i}" for i in range(7)]
+
+
+@dataclass(frozen=True)
+class Known:
+    """Each template's family and word pairs, and the words and pairs of all templates."""
+
+    templates: list[tuple[str, list[str]]]
+    words: list[str]
+    pairs: list[str]
+
+    @classmethod
+    def of(cls, spark) -> Known:
+        rows = templates(spark).select("family", "words", word_pairs(F.col("words")).alias("pairs")).collect()
+        every = lambda c: sorted({x for r in rows for x in r[c]})
+        return cls([(r["family"], r["pairs"]) for r in rows], every("words"), every("pairs"))
+
+    def features(self) -> list[str]:
+        return sorted({*self.words, *self.pairs}) + OTHERS
+
+    def grams(self, words: Column) -> Column:
+        """The templates' words and pairs among ``words``, each once, in order, and the marks of how many words are not among them."""
+        own = F.filter(words, lambda w: w.isin(self.words))
+        n = F.greatest(F.size(words) - 1, F.lit(0))
+        pair = lambda a, b: F.when(a.isin(self.words) & b.isin(self.words), F.concat_ws(" ", a, b))
+        pairs = F.filter(F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), pair), lambda p: p.isin(self.pairs))
+        others = F.size(words) - F.size(own)
+        marks = F.slice(F.array(*map(F.lit, OTHERS)), F.lit(1), F.when(others > 0, F.length(F.bin(others))).otherwise(0))
+        return F.concat(F.array_sort(F.array_distinct(F.concat(own, pairs))), marks)
+
+    def closeness(self, grams: Column) -> Column:
+        """For each template, its family and the share of its word pairs that ``grams`` hold, best first."""
+        shares = [F.struct((-F.size(F.array_intersect(grams, F.array(*map(F.lit, own)))) / F.lit(float(len(own)))).alias("less"), F.lit(-len(own)).alias("size"), F.lit(family).alias("family")) for family, own in self.templates]
+        return F.array_sort(F.array(*shares))
 
 
 def places(docs: DataFrame, how: Settings) -> DataFrame:
@@ -139,22 +168,37 @@ def places(docs: DataFrame, how: Settings) -> DataFrame:
     return some.select("doc_id", F.slice("words", F.col("hit.first"), F.col("hit.length") + 1).alias("words"))
 
 
-def examples(docs: DataFrame, how: Settings) -> DataFrame:
-    """Labelled paragraphs: label, words, fold (0 to 4; 0 is held out). Labels count the families; 0 is other text."""
+def paragraphs(docs: DataFrame, how: Settings) -> DataFrame:
+    """Labelled paragraphs: label, words, weight, fold (0 to 4; 0 is held out). Labels count the families; 0 is the documents' text.
+
+    Equal paragraphs share a fold.
+    """
     spark = docs.sparkSession
     families = sorted({f for f, _ in TEMPLATES})
     label = F.array_position(F.array(*map(F.lit, families)), F.col("family")).cast("double")
     copies = templates(spark).select("family", "words", F.explode(F.sequence(F.lit(0), F.lit(how.variants - 1))).alias("v"))
     lose = F.filter("words", lambda w, i: (F.col("v") == 0) | (F.pmod(F.xxhash64(w, i, F.col("v")), F.lit(100)) >= F.col("v") % 5 * 5))
     notices = copies.select(label.alias("label"), lose.alias("words"), (F.col("v") % 5).cast("int").alias("fold")).where(F.size("words") > 0)
-    # Paragraphs that repeat are one example, weighed by how often they stand.
-    other = docs.select(F.explode(pieces(F.col("text"), how)).alias("words")).groupBy("words").agg(F.count("*").cast("double").alias("weight"))
-    other = other.where(F.element_at(closeness(spark, F.col("words")), 1)["less"] > -0.5)  # a notice isn't other text
-    other = other.select(F.lit(0.0).alias("label"), "words", "weight", F.pmod(F.xxhash64("words"), F.lit(5)).cast("int").alias("fold"))
     # Stop words alone, and single words of notices, are other text too.
     single = templates(spark).select(F.explode("words").alias("w")).distinct().select(F.lit(0.0).alias("label"), F.array("w").alias("words"), F.lit(1).alias("fold"))
-    few = notices.unionByName(single).withColumn("weight", F.lit(1.0)).select("label", "words", "weight", "fold").coalesce(1)
-    return few.unionByName(other)
+    # An outer explode, as a plain one cuts the texts once more to leave out those without a paragraph.
+    other = docs.select(F.explode_outer(pieces(F.col("text"), how)).alias("words")).where(F.col("words").isNotNull())
+    other = other.select(F.lit(0.0).alias("label"), "words", F.pmod(F.xxhash64("words"), F.lit(5)).cast("int").alias("fold"))
+    return notices.unionByName(single).coalesce(1).unionByName(other).withColumn("weight", F.lit(1.0))
+
+
+def weighed(rows: DataFrame, by: str, known: Known) -> DataFrame:
+    """``rows`` (label, words, grams, weight, fold) once for each label, ``by`` and fold, by their weight; a notice isn't other text."""
+    once = rows.groupBy("label", by, "fold").agg(F.sum("weight").alias("weight"), *([] if by == "grams" else [F.any_value("grams").alias("grams")]))
+    # Naming the weight keeps this behind the grouping: templates are compared once for each row.
+    apart = F.when(F.col("weight") > 0, (F.col("label") > 0) | (F.element_at(known.closeness(F.col("grams")), 1)["less"] > -0.5))
+    return once.where(apart)
+
+
+def examples(docs: DataFrame, how: Settings) -> DataFrame:
+    """What is learned, spelt out: label, words, weight, fold, grams, with repeated paragraphs once."""
+    known = Known.of(docs.sparkSession)
+    return weighed(paragraphs(docs, how).withColumn("grams", known.grams(F.col("words"))), "words", known)
 
 
 @dataclass
@@ -164,30 +208,31 @@ class Classifier:
     model: PipelineModel
     families: list[str]
     least: float
+    known: Known
 
     def judge(self, rows: DataFrame) -> DataFrame:
         """``rows`` (with ``words``) and ``family``: a family, ``unknown``, or null for other text."""
-        spark, how = rows.sparkSession, Settings()
-        found = self.model.transform(rows).withColumn("p", vector_to_array("probability"))
+        how = Settings()
+        found = self.model.transform(rows.withColumn("grams", self.known.grams(F.col("words")))).withColumn("p", vector_to_array("probability"))
         notice = 1.0 - F.element_at("p", 1) >= self.least
         # Only probable notices are compared with the templates.
-        close = F.filter(closeness(spark, F.col("words")), lambda x: x["less"] <= -how.shared)
+        close = F.filter(self.known.closeness(F.col("grams")), lambda x: x["less"] <= -how.shared)
         # The classifier's most probable family of those that a template confirms; none confirmed is a licence of no known family.
         own = F.array(*map(F.lit, self.families))
         chance = lambda f: F.element_at("p", F.array_position(own, f).cast("int") + 1)
         likely = F.array_sort(F.transform(F.array_distinct(F.transform(close, lambda x: x["family"])), lambda f: F.struct((-chance(f)).alias("less"), f.alias("family"))))
         family = F.when(F.size(likely) > 0, F.get(likely, 0)["family"]).otherwise(F.lit("unknown"))
-        return found.withColumn("family", F.when(notice, family)).drop("p", "grams", "hashed", "features", "rawPrediction", "probability", "prediction")
+        return found.withColumn("family", F.when(notice, family)).drop("p", "grams", "counted", "features", "rawPrediction", "probability", "prediction")
 
 
 def train(docs: DataFrame, how: Settings = Settings()) -> Classifier:
-    """Fits on the templates' variants and the paragraphs of all documents."""
-    rows = examples(docs, how).cache()
-    grams = "CASE WHEN size(words) < 2 THEN words ELSE concat(words, zip_with(slice(words, 1, size(words) - 1), slice(words, 2, size(words) - 1), (a, b) -> concat_ws(' ', a, b))) END"
+    """Fits on the templates' variants and the paragraphs of all documents, in one row for all that have the same features."""
+    known = Known.of(docs.sparkSession)
+    rows = paragraphs(docs, how).select("label", "weight", "fold", known.grams(F.col("words")).alias("grams"))
+    rows = weighed(rows, "grams", known).cache()
     stages = [
-        SQLTransformer(statement=f"SELECT *, {grams} AS grams FROM __THIS__"),
-        HashingTF(numFeatures=how.features, binary=True, inputCol="grams", outputCol="hashed"),
-        Normalizer(inputCol="hashed", outputCol="features"),
+        CountVectorizerModel.from_vocabulary(known.features(), inputCol="grams", outputCol="counted", binary=True),
+        Normalizer(inputCol="counted", outputCol="features"),
         LogisticRegression(maxIter=40, regParam=2e-4, standardization=False, family="multinomial", weightCol="weight"),
     ]
     try:
@@ -196,7 +241,7 @@ def train(docs: DataFrame, how: Settings = Settings()) -> Classifier:
         least = held.agg(F.percentile("p", F.lit(1.0 - how.false_rate), F.col("n"))).first()[0]
     finally:
         rows.unpersist()
-    return Classifier(model, sorted({f for f, _ in TEMPLATES}), min(0.95, max(0.5, least or 0.0)))
+    return Classifier(model, sorted({f for f, _ in TEMPLATES}), min(0.95, max(0.5, least or 0.0)), known)
 
 
 def scan(docs: DataFrame, classifier: Classifier, how: Settings = Settings()) -> DataFrame:

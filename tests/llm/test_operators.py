@@ -540,3 +540,15 @@ def test_licenses_are_learned_from_all_documents(spark):
     got = q.examples(spark.createDataFrame(rows, "doc_id long, text string"), q.Settings()).where("label = 0 AND size(words) = 3")
     counted = {" ".join(r["words"]): r["weight"] for r in got.collect()}
     assert counted == {**{f"word{i} goes on": 1.0 for i in range(250)}, "the same line": 3.0}
+
+
+def test_licenses_are_learned_from_one_row_for_paragraphs_of_equal_features(spark):
+    from larkgraph.llm import op03_licenses as q
+
+    rows = [(i, f"word{i} goes on\nlicensed, as word{i} says") for i in range(250)] + [(300, None), (301, "All rights reserved.")]
+    known = q.Known.of(spark)
+    found = q.paragraphs(spark.createDataFrame(rows, "doc_id long, text string"), q.Settings())
+    found = found.where("label = 0").select("label", "weight", "fold", known.grams(F.col("words")).alias("grams"))
+    got = q.weighed(found, "grams", known).groupBy("grams").agg(F.sum("weight").alias("n"), F.count("*").alias("rows")).collect()
+    counted = {",".join(r["grams"]): r["n"] for r in got if r["n"] > 1}
+    assert counted == {" 1, 2": 250.0, "as,licensed, 1, 2": 250.0} and max(r["rows"] for r in got) <= 5
