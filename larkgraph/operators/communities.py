@@ -21,20 +21,24 @@ def _two_ways(edges: DataFrame) -> DataFrame:
 
 
 def _pull(both: DataFrame, labels: DataFrame) -> DataFrame:
-    """(run, node, label, degree, own, to, pull): weight from each node to each community next to it, its own always among them."""
+    """(run, node, label, degree, own, to, pull): weight from each node to each community next to it, its own always among them, and to the one of its own name."""
     theirs = labels.select("run", F.col("node").alias("b"), F.col("label").alias("to"))
     near = both.join(theirs, ["run", "b"]).groupBy("run", F.col("a").alias("node"), "to").agg(F.sum("weight").alias("pull"))
     own = labels.select("run", "node", F.col("label").alias("to"), F.lit(0.0).alias("pull"))
-    near = near.unionByName(own).groupBy("run", "node", "to").agg(F.sum("pull").alias("pull"))
+    alone = labels.select("run", "node", F.col("node").alias("to"), F.lit(0.0).alias("pull"))
+    near = near.unionByName(own).unionByName(alone).groupBy("run", "node", "to").agg(F.sum("pull").alias("pull"))
     return near.join(labels, ["run", "node"])
 
 
 def _moves(pull: DataFrame, weights: dict, resolution: float) -> DataFrame:
-    """(run, node, label, to, gain): the best community of every node that gains by going there; the least label among equals."""
+    """(run, node, label, to, gain): the best community of every node that gains by going there; the least label among equals.
+
+    One of a node's own name that nobody is in takes it alone.
+    """
     total = pull.where("to = label").groupBy("run", F.col("label").alias("to")).agg(F.sum("degree").alias("total"))
-    others = F.col("total") - F.when(F.col("to") == F.col("label"), F.col("degree")).otherwise(0.0)
+    others = F.coalesce("total", F.lit(0.0)) - F.when(F.col("to") == F.col("label"), F.col("degree")).otherwise(0.0)
     worth = F.col("pull") - resolution * F.col("degree") * others / _of(weights)
-    each = pull.join(total, ["run", "to"]).withColumn("worth", F.round(worth, 10))
+    each = pull.join(total, ["run", "to"], "left").withColumn("worth", F.round(worth, 10))
     best = each.groupBy("run", "node", "label").agg(F.min(F.struct((-F.col("worth")).alias("w"), "to")).alias("best"), F.max(F.when(F.col("to") == F.col("label"), F.col("worth"))).alias("stay"))
     gain = -F.col("best.w") - F.col("stay")
     return best.where(gain > LEAST).select("run", "node", "label", "best.to", gain.alias("gain"))
@@ -87,6 +91,13 @@ def _level(both: DataFrame, nodes: DataFrame, inner: DataFrame, weights: dict, r
     raise RuntimeError(f"communities: nodes still move after {most_rounds} rounds")
 
 
+def _leaves(both: DataFrame) -> DataFrame:
+    """(run, node, hub) of the nodes with one neighbour; of two that have only each other, the greater."""
+    one = both.groupBy("run", F.col("a").alias("node")).agg(F.count("*").alias("n"), F.min("b").alias("hub")).where("n = 1").select("run", "node", "hub")
+    back = one.select("run", F.col("node").alias("hub"), F.col("hub").alias("_back"))
+    return one.join(back, ["run", "hub"], "left").where("_back IS NULL OR node > hub").select("run", "node", "hub")
+
+
 def communities(edges: DataFrame, resolution: float = 1.0, seed: int = 0, most_rounds: int = 500, most_levels: int = 50) -> DataFrame:
     """(run, node, label) by local moves that raise modularity, and the same again over the communities, until nothing moves.
 
@@ -94,7 +105,8 @@ def communities(edges: DataFrame, resolution: float = 1.0, seed: int = 0, most_r
     of the nodes, by a draw of seed, run, round and node, to the community that gains them most. As they move at
     the same time, the result is measured; a round that doesn't help is taken back, and the next one moves half as
     many, at last only nodes of which no two touch one community, whose gains add up. So modularity rises with
-    every round that counts, and a level ends when no node has a gain. Raises where that takes too many rounds or levels.
+    every round that counts, and a level ends when no node has a gain. Up to a resolution of 1, a node with one neighbour gains most
+    where that neighbour is, wherever it goes, so such nodes join it before the first level and are in no round. Raises where that takes too many rounds or levels.
     """
     if "run" not in edges.columns:
         edges = edges.withColumn("run", F.lit(0))
@@ -105,10 +117,15 @@ def communities(edges: DataFrame, resolution: float = 1.0, seed: int = 0, most_r
     if not weights:
         return base
     inner = written(nodes.select("run", "node", F.lit(0.0).alias("weight")).limit(0))
-    for level in range(most_levels):
-        labels = _level(both, nodes, inner, weights, resolution, seed + level, most_rounds)
+    for level in range(-1, most_levels):
+        if level >= 0:
+            labels = _level(both, nodes, inner, weights, resolution, seed + level, most_rounds)
+        elif resolution <= 1:
+            labels = written(nodes.join(_leaves(both), ["run", "node"], "left").select("run", "node", F.coalesce("hub", "node").alias("label")))
+        else:
+            continue
         base = written(base.join(labels.select("run", F.col("node").alias("label"), F.col("label").alias("_to")), ["run", "label"], "left").select("run", "node", F.coalesce("_to", "label").alias("label")))
-        moved = {r[0] for r in labels.where("node <> label").select("run").distinct().collect()}
+        moved = {r[0] for r in labels.where("node <> label").select("run").distinct().collect()} if level >= 0 else set(weights)
         if not moved:
             return base
         some = F.col("run").isin(*moved)

@@ -56,3 +56,14 @@ def test_cliques_are_stable_and_noise_is_not(spark):
     got = [tuple(r) for r in clusters.orderBy("label").collect()]
     assert [g[1] for g in got] == [8, 8] and all(g[2] == 28 for g in got)
     assert all(g[4] == pytest.approx(1.0) and g[5] == pytest.approx(1.0) for g in got)
+
+
+def test_nodes_with_one_neighbour_join_it_before_the_first_level(spark):
+    from larkgraph.operators.communities import _leaves, _two_ways, communities
+
+    edges = [(0, f"leaf{i}", "hub", 1.0) for i in range(5)] + [(0, "hub", "next", 1.0), (0, "next", "end", 1.0), (1, "x", "y", 1.0)]
+    frame = spark.createDataFrame(edges, "run int, a string, b string, weight double")
+    got = {(r["run"], r["node"], r["hub"]) for r in _leaves(_two_ways(frame)).collect()}
+    assert got == {*((0, f"leaf{i}", "hub") for i in range(5)), (0, "end", "next"), (1, "y", "x")}
+    label = {(r["run"], r["node"]): r["label"] for r in communities(frame).collect()}
+    assert all(label[0, f"leaf{i}"] == label[0, "hub"] for i in range(5)) and label[0, "end"] == label[0, "next"] and label[1, "x"] == label[1, "y"]
