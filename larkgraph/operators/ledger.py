@@ -80,12 +80,13 @@ def decide(rows: DataFrame, policy: Policy, reviews: DataFrame, digest: str) ->
     last = reviews.where(F.col("input_digest") == digest).groupBy("assertion").agg(F.max_by("revoked", F.struct("reviewed_at", "revoked")).alias("_revoked"))
     own = F.coalesce(F.col("rule"), F.lit(""))
     ladder = F.coalesce(
-        F.when(F.col("_revoked"), "review_revoked"),
         ineligible(F.col("subject"), F.col("object"), F.coalesce("justification", F.lit("")), F.coalesce("conflict", F.lit("")), own),
         F.when(~F.coalesce(known, F.lit(False)), "unknown_rule_or_version"),
         F.when(~receipt, "missing_evidence_receipt"),
     )
-    first = rows.join(last, "assertion", "left").withColumn("_reason", F.when(states, ladder)).drop("_revoked")
+    # The ladder stands before the join, which then carries its reason and not all that it reads.
+    first = rows.withColumn("_why", F.when(states, ladder)).join(last, "assertion", "left")
+    first = first.withColumn("_reason", F.when(states & F.col("_revoked"), "review_revoked").otherwise(F.col("_why"))).drop("_revoked", "_why")
     links = first.where(states & F.col("_reason").isNull()).select(F.col("subject").alias("a"), F.col("object").alias("b"))
     named = components(links)
     kinds = named.groupBy("component", prefix(F.col("node")).alias("p")).agg(F.count("*").alias("n")).where((F.col("n") > 1) & ~F.col("p").isin(*ALIASES))

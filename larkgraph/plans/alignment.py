@@ -151,9 +151,7 @@ def id_10(spark, sf_dir):
     """Decisions on all assertions after one review; each keeps its first reason."""
     import tempfile
 
-    from ..operators.stored import keep
-
-    rows = keep(ledger.identified(assertions(spark, sf_dir)))
+    rows = ledger.identified(assertions(spark, sf_dir))  # made again from the lines by each reader: a written copy has ten times their size
     root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larkgraph-")
     digest = ledger.input_digest(rows)
     reviews = ledger.Reviews(spark, f"{root.rstrip('/')}/reviews-{spark.sparkContext.applicationId}-{digest[:12]}")
