@@ -135,8 +135,12 @@ def random_pairs(spark: SparkSession, entities: DataFrame, pairs: int, seed: int
 
 
 def pair_similarity(pairs: DataFrame, sets: DataFrame, content: DataFrame) -> DataFrame:
-    """(i, score): content of the terms that both of a pair have over that of all they have. ``sets``: entity, term."""
-    held = keep(sets.join(content.select("term", "ic"), "term").select("entity", "term", "ic"))
+    """(i, score): content of the terms that both of a pair have over that of all they have. ``sets``: entity, term.
+
+    Only the sets of the pairs' entities are looked at.
+    """
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("entity")).distinct()
+    held = keep(sets.join(asked, "entity", "left_semi").join(content.select("term", "ic"), "term").select("entity", "term", "ic"))
     whole = held.groupBy("entity").agg(F.sum("ic").alias("whole"))
     a = pairs.select("i", F.col("a").alias("entity")).join(held, "entity").select("i", "term", "ic")
     b = pairs.select("i", F.col("b").alias("entity")).join(held, "entity").select("i", "term")
