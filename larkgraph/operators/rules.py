@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stored import keep
+from .stored import keep, written
 
 
 @dataclass(frozen=True)
@@ -62,6 +62,8 @@ def _apply(rule: Rule, atoms: list[DataFrame], seeds: DataFrame | None) -> DataF
         later = {v for atom in rule.body[i + 1 :] for v in atom[::2]} | {rule.head[0], rule.head[2]}
         later |= {v for pair in pending for v in pair}
         at = at.groupBy(*[c for c in at.columns if c in later]).agg(F.min("witness").alias("witness"), F.sum("paths").alias("paths"))
+        if seeds is not None:
+            at = written(at)  # of a few subjects: its size is known then, and facts need not be shuffled for a small side
     return at.select(F.col(rule.head[0]).alias("subject"), F.lit(rule.head[1]).alias("relation"), F.col(rule.head[2]).alias("object"), "witness", "paths")
 
 
@@ -78,11 +80,11 @@ def derive(asserted: DataFrame, rules: list[Rule], seeds: DataFrame | None = Non
     base = base.groupBy("subject", "relation", "object").agg(F.min("witness").alias("witness"), F.sum("paths").alias("paths"))
     heads = {r.head[1] for r in rules}
     if not any(relation in heads for r in rules for _, relation, _ in r.body):  # nothing feeds on what is derived
-        out = None
+        base, out = written(base, "relation"), None  # each atom reads its own relation
         for r in rules:
             rows = _apply(r, [base] * len(r.body), seeds).select(F.lit(r.name).alias("rule"), *FACTS)
             out = rows if out is None else out.unionByName(rows)
-        return out.join(base, ["subject", "relation", "object"], "left_anti").select("rule", *FACTS)
+        return out.join(base.where(F.col("relation").isin(*heads)), ["subject", "relation", "object"], "left_anti").select("rule", *FACTS)
     base = keep(base)
     old, delta, out = None, base, None
     for k in range(most_rounds):

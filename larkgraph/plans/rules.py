@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import budgets, rules
+from ..operators.stored import written
 from ..session import table
 from ..sources.star import SQL, hierarchy
 from .registry import query
@@ -45,7 +46,7 @@ def _gene(name, relation):
     SELECT rule, subject, object, count(*) AS paths, array_to_string(min(w), ' > ') AS witness FROM c GROUP BY 1, 2, 3""")
 def gr_13(spark, sf_dir):
     """Six ways to be connected with eight conditions, each pair with its least witness and the number of its paths."""
-    rows = facts(spark, sf_dir)
+    rows = written(facts(spark, sf_dir), "relation")
     rows = rows.where("relation <> 'has_phenotype'").unionByName(rules.distinctive(rows, "has_phenotype", "has_phenotype"))
     seeds = table(spark, sf_dir, "customer").where("c_custkey < 8").select(F.concat(F.lit("C:"), "c_custkey").alias("node"))
     out = rules.derive(rows, rules.connections(), seeds)
