@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .stored import keep
+from .stored import keep, written
 
 #: Conflicts by how often either side occurs, as fixed names.
 MANY = {"1:n": "one_to_many", "n:1": "many_to_one", "n:n": "many_to_many"}
@@ -54,7 +54,7 @@ def clusters(links: DataFrame) -> DataFrame:
 
 
 def _placed(links: DataFrame, named: DataFrame) -> DataFrame:
-    return links.join(named.select(F.col("node").alias("a"), "component"), "a", "left")
+    return links.join(named.withColumnRenamed("node", "a"), "a", "left")
 
 
 def consistent(links: DataFrame, multi: tuple[str, ...] = (), weakest: tuple[str, ...] = (), most_rounds: int = 50) -> DataFrame:
@@ -65,7 +65,7 @@ def consistent(links: DataFrame, multi: tuple[str, ...] = (), weakest: tuple[str
     the bridge. Prefixes that aren't listed are weaker than all listed ones, by name. So links between strong
     terminologies outlive a disagreement about a weak one.
     """
-    links = keep(links)
+    links, settled = written(links), None  # what is settled stands in clusters without a conflict, or is exact no more
     for _ in range(most_rounds):
         named = clusters(links).withColumn("prefix", prefix(F.col("node")))
         members = named.groupBy("component", "prefix").agg(F.count("*").alias("n")).where(~F.col("prefix").isin(*multi))
@@ -76,13 +76,15 @@ def consistent(links: DataFrame, multi: tuple[str, ...] = (), weakest: tuple[str
         else:
             cut = twice
         cut = cut.groupBy("component").agg(F.collect_set("prefix").alias("_cut"))  # a cluster's prefixes: as many as terminologies
-        rows = _placed(links, named).join(cut, "component", "left")
+        rows = _placed(links, named.join(cut, "component")).withColumn("_was", F.col("exact"))
         bad = F.array_contains("_cut", prefix(F.col("a"))) | F.array_contains("_cut", prefix(F.col("b")))
-        step = keep(demote(rows.withColumn("_was", F.col("exact")), bad, F.lit("cluster_conflict")).select(*links.columns, "_was"))
+        step = written(demote(rows, bad, F.lit("cluster_conflict")).select(*links.columns, "_was", (F.col("exact") & F.col("_cut").isNotNull()).alias("_open")))
         done = not step.where("_was AND NOT exact").limit(1).count()
-        links = step.drop("_was")
+        rest = (step if done else step.where("NOT _open OR _open IS NULL")).select(links.columns)
+        settled = rest if settled is None else settled.unionByName(rest)
         if done:
-            return links
+            return settled
+        links = step.where("_open").select(links.columns)
     raise RuntimeError(f"consistent: clusters still conflict after {most_rounds} rounds")
 
 

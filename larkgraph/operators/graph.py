@@ -101,20 +101,36 @@ def shortest_path(edges: DataFrame, start: str, goal: str, most_hops: int = 5, m
 
 
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """(node, component): the least node each node of ``edges`` (a, b) can reach."""
-    pairs = edges.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b")
-    both = keep(pairs.union(pairs.select("b", "a")).distinct())
-    labels = keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")))
+    """(node, component): the least node each node of ``edges`` (a, b) can reach.
+
+    Every node joins its neighbour of the most neighbours, the least of these, unless it has more itself; what joined becomes
+    one node, and the edges left between such nodes are the next round's. Each round at least halves the nodes, and where
+    many nodes hang on few, as copies on their source, the first leaves next to nothing.
+    """
+    pairs = written(edges.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b"))
+    left = written(pairs.where("a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*").distinct())
+    labels = None
     for _ in range(most_rounds):
-        theirs = labels.select(F.col("node").alias("b"), F.col("component").alias("theirs"))
-        near = both.join(theirs, "b").groupBy(F.col("a").alias("node")).agg(F.min("theirs").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("via"))
-        step = step.join(labels.select(F.col("node").alias("via"), F.col("component").alias("up")), "via").select("node", "old", F.least("via", "up").alias("component"))
-        step = keep(step)
-        labels = step.select("node", "component")
-        if not step.where("component <> old").limit(1).count():
-            return labels
-    raise RuntimeError(f"components: labels still change after {most_rounds} rounds")
+        if labels is not None and not left.limit(1).count():
+            break
+        size = left.groupBy(F.col("a").alias("b")).agg((-F.count("*")).alias("less"))
+        best = left.join(size, "b").groupBy(F.col("a").alias("node")).agg(F.min(F.struct("less", F.col("b").alias("node"))).alias("best"), (-F.count("*")).alias("less"))
+        step = written(best.select("node", F.least("best", F.struct("less", "node"))["node"].alias("top")))
+        for _ in range(most_rounds):
+            above = step.where("node <> top").select(F.col("node").alias("top"), F.col("top").alias("up"))
+            step = written(step.join(above, "top", "left").select("node", F.coalesce("up", "top").alias("top"), F.col("up").isNotNull().alias("moved")))
+            if not step.where("moved").limit(1).count():
+                break
+        else:
+            raise RuntimeError(f"components: labels still change after {most_rounds} rounds")
+        step = step.select("node", "top")
+        a, b = (step.select(F.col("node").alias(c), F.col("top").alias(k)) for c, k in (("a", "x"), ("b", "y")))
+        left = written(left.join(a, "a").join(b, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        labels = step if labels is None else labels.join(step.select(F.col("node").alias("top"), F.col("top").alias("up")), "top", "left").select("node", F.coalesce("up", "top").alias("top"))
+    else:
+        raise RuntimeError(f"components: labels still change after {most_rounds} rounds")
+    labels = written(labels.unionByName(pairs.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("top")).distinct().join(labels, "node", "left_anti")))
+    return labels.join(labels.groupBy("top").agg(F.min("node").alias("component")), "top").select("node", "component")
 
 
 def merge_edges(edges: DataFrame, key: list[str], level: str, order: list[str], records: str) -> DataFrame:
