@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stored import keep
+from .stored import keep, spread, written
 
 
 def closure(edges: DataFrame, most_rounds: int = 32) -> DataFrame:
@@ -28,9 +28,24 @@ def closure(edges: DataFrame, most_rounds: int = 32) -> DataFrame:
 
 
 def annotated_sizes(annotations: DataFrame, closed: DataFrame) -> DataFrame:
-    """(term, size): distinct entities annotated with each term or one below it. ``annotations``: entity, term."""
-    up = annotations.select("entity", F.col("term").alias("node")).join(closed, "node")
-    return up.select("entity", F.col("ancestor").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("size"))
+    """(term, size): distinct entities annotated with each term or one below it. ``annotations``: entity, term; read twice.
+
+    Terms with nothing below count their own entities. The others' ancestors are the same for very many terms, so
+    terms of equal ancestors are one class; entities are dealt once, with the classes that they have, and only there are
+    classes spelt out, so that what is shuffled are the annotations and not their ancestors.
+    """
+    n = annotations.count()
+    inner = written(closed.where("node <> ancestor").select("ancestor").distinct())
+    up = closed.where("node <> ancestor").unionByName(closed.where("node = ancestor").join(inner, "ancestor", "left_semi").select("node", "ancestor"))
+    sets = written(up.groupBy("node").agg(F.array_sort(F.collect_set("ancestor")).alias("up")))
+    classes = written(sets.select("up").distinct().withColumn("class", F.monotonically_increasing_id()))
+    named = sets.join(classes, "up").select(F.col("node").alias("term"), "class")
+    rows = spread(annotations.select("entity", "term"), n, "term")
+    leaves = closed.where("node = ancestor").join(inner, "ancestor", "left_anti").select(F.col("node").alias("term")).distinct()
+    own = rows.join(leaves, "term", "left_semi").groupBy("term").agg(F.countDistinct("entity").alias("size"))
+    held = spread(rows.join(named, "term").select("entity", "class"), n, "entity").distinct()
+    held = held.join(classes, "class").select("entity", F.explode("up").alias("term")).distinct()
+    return own.unionByName(held.groupBy("term").agg(F.count("entity").alias("size")))
 
 
 def information_content(annotations: DataFrame, closed: DataFrame) -> DataFrame:

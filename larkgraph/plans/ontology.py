@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ontology as o
+from ..operators.stored import written
 from ..sources import star
 from .registry import query
 
@@ -17,6 +18,11 @@ def present(spark, sf_dir):
     return star.annotations(spark, sf_dir).where("n > 0")
 
 
+def annotated(spark, sf_dir):
+    """(entity, term) of what is present, written, as it is read several times."""
+    return written(present(spark, sf_dir).select("entity", "term"))
+
+
 @query("gr_01", f"{star.with_views('isa', 'clo')} SELECT node, ancestor FROM clo")
 def gr_01(spark, sf_dir):
     """Reflexive-transitive closure of the part hierarchy."""
@@ -32,13 +38,13 @@ def gr_02(spark, sf_dir):
 @query("ag_07", f"{star.with_views('isa', 'clo', 'ann', 'ic')} SELECT term, round(ic, 6) + 0.0 AS ic FROM ic")
 def ag_07(spark, sf_dir):
     """Information content of every term over annotated entities."""
-    return o.information_content(present(spark, sf_dir), closed(spark, sf_dir)).select("term", (F.round("ic", 6) + 0.0).alias("ic"))
+    return o.information_content(annotated(spark, sf_dir), closed(spark, sf_dir)).select("term", (F.round("ic", 6) + 0.0).alias("ic"))
 
 
 @query("ag_08", f"{star.with_views('isa', 'clo', 'ann', 'ic')} SELECT term, CASE WHEN size > 0 THEN round(-ln(size / entities), 6) + 0.0 ELSE 0.0 END AS ic FROM ic")
 def ag_08(spark, sf_dir):
     """Process content: terms that annotate nothing count 0."""
-    annotations, closure = present(spark, sf_dir), closed(spark, sf_dir)
+    annotations, closure = annotated(spark, sf_dir), closed(spark, sf_dir)
     n = annotations.agg(F.countDistinct("entity").alias("entities"))
     rows = closure.select(F.col("ancestor").alias("term")).distinct().join(o.annotated_sizes(annotations, closure), "term", "left").crossJoin(F.broadcast(n))
     return rows.select("term", F.coalesce(F.round(-F.log(F.col("size") / F.col("entities")), 6) + 0.0, F.lit(0.0)).alias("ic"))
@@ -66,7 +72,7 @@ def fl_09(spark, sf_dir):
 @query("cx_16", f"{star.with_views('isa', 'clo', 'ann')} SELECT ancestor AS term, count(DISTINCT entity) AS entities FROM ann JOIN clo ON clo.node = ann.term WHERE n > 0 AND ancestor LIKE 'Y:%' GROUP BY 1")
 def cx_16(spark, sf_dir):
     """Entities under each type."""
-    return o.annotated_sizes(present(spark, sf_dir), closed(spark, sf_dir).where("ancestor LIKE 'Y:%'")).select("term", F.col("size").alias("entities"))
+    return o.annotated_sizes(annotated(spark, sf_dir), closed(spark, sf_dir).where("ancestor LIKE 'Y:%'")).select("term", F.col("size").alias("entities"))
 
 
 @query("jn_03", """WITH RECURSIVE alias AS (SELECT p_partkey AS id, (p_partkey // 3) * 2 AS target FROM part WHERE p_partkey % 3 <> 0),

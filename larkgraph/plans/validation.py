@@ -62,8 +62,9 @@ def gr_12(spark, sf_dir):
 def an_13(spark, sf_dir):
     """What similarity two customers have by chance, from 20,000 seeded pairs."""
     from ..operators.ontology import closure, information_content
+    from ..operators.stored import written
 
-    ann = annotations(spark, sf_dir).where("n > 0").select("entity", "term")
+    ann = written(annotations(spark, sf_dir).where("n > 0").select("entity", "term"))
     closed = closure(hierarchy(spark, sf_dir))
     content = information_content(ann, closed)
     own = ann.join(closed.select(F.col("node").alias("term"), "ancestor"), "term").select("entity", F.col("ancestor").alias("term")).where("term <> 'ROOT'").distinct()

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.stored import spread
 from ..session import table
 
 #: The same views in DuckDB SQL, for oracles.
@@ -28,13 +29,13 @@ def with_views(*names: str) -> str:
 
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(entity, term, n, m, iea): lines not returned, all lines, and whether all were computed (status F)."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag", "l_linestatus")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return (
-        lines.join(orders, lines.l_orderkey == orders.o_orderkey)
-        .groupBy(F.col("o_custkey").alias("entity"), F.concat(F.lit("P:"), "l_partkey").alias("term"))
-        .agg(F.count_if(F.col("l_returnflag") != "R").alias("n"), F.count("*").alias("m"), F.bool_and(F.col("l_linestatus") == "F").alias("iea"))
-    )
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    n = lines.count()
+    lines = lines.select("l_orderkey", "l_partkey", (F.col("l_returnflag") != "R").alias("kept"), (F.col("l_linestatus") == "F").alias("f"))
+    both = spread(lines, n, "l_orderkey").join(spread(orders.select("o_orderkey", "o_custkey"), n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = spread(both.select("o_custkey", "l_partkey", "kept", "f"), n, "o_custkey", "l_partkey").groupBy("o_custkey", "l_partkey")
+    rows = rows.agg(F.count_if("kept").alias("n"), F.count("*").alias("m"), F.bool_and("f").alias("iea"))
+    return rows.select(F.col("o_custkey").alias("entity"), F.concat(F.lit("P:"), "l_partkey").alias("term"), "n", "m", "iea")
 
 
 def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
