@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ontology as o
 from ..operators import ranking as r
-from ..operators.stored import keep, running
+from ..operators.stored import keep, running, written
 from ..session import table
 from ..sources import star
 from .ontology import closed
@@ -21,10 +21,10 @@ def _terms(spark, ids):
 
 
 def _setting(spark, sf_dir):
-    ann, closure = keep(star.annotations(spark, sf_dir)), closed(spark, sf_dir)  # both are read several times
+    ann, closure = written(star.annotations(spark, sf_dir)), written(closed(spark, sf_dir))  # both are read several times
     present = ann.where("n > 0").select("entity", "term", r.annotation_frequency(F.col("n"), F.col("m"), F.col("iea")).alias("frequency"))
     excluded = ann.where("n = 0").select("entity", "term")
-    content = keep(o.information_content(present, closure))
+    content = written(o.information_content(present, closure))
     background = content.select("term", F.exp(-F.col("ic")).alias("share"))
     return closure, present, excluded, content, background
 
