@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from larkgraph.llm import op01_mixing, op02_jaccard_join, op05_decontamination, op07_tokens, op10_quality
-from larkgraph.llm.shared import Scratch, documents
+from larkgraph.llm.shared import Scratch, documents, small_batches
 
 #: The last stage runs a tokenizer's vocabulary file, which SQL can't express; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -22,11 +22,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that of the least id, of each group of near-duplicates."""
+    small_batches(spark)
     return op02_jaccard_join.deduplicate(docs, Scratch(spark, "pipeline-near"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that are contaminated by the benchmark's passages."""
+    small_batches(spark)
     return op05_decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

@@ -315,22 +315,16 @@ def open_tiles(named: DataFrame) -> DataFrame:
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(cls, text) of the documents that ``wanted`` (cls, id, spelling) names, a null id included.
 
-    A bitmap of the wanted spellings' hashes, of a fixed size, leaves most other texts out before they are dealt.
+    A bitmap of the wanted spellings' hashes, of a fixed size, leaves most other texts out before they are dealt. It is
+    looked up without Python: what reads the texts then is the only Python worker of its task.
     """
-    at = F.pmod(F.xxhash64("spelling"), F.lit(WANTED_BITS))
-    pages = wanted.select((at + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
-    bits = np.zeros(WANTED_BITS // 8, np.uint8)
-    for page, part in pages:  # Spark counts bits and pages from 1
-        bits[(page - 1) * 4096 : page * 4096] = np.frombuffer(bytes(part), np.uint8)
-    sent = docs.sparkSession.sparkContext.broadcast(bits)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            place = batch.column("at").to_numpy()
-            yield batch.filter(pa.array((sent.value[place >> 3] >> (place & 7) & 1).astype(bool))).select(["doc_id", "own", "text"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("own"), "text").withColumn("at", F.pmod(F.xxhash64("own"), F.lit(WANTED_BITS)))
-    rows = rows.mapInArrow(run, "doc_id long, own long, text string")
+    at = lambda spelling: F.pmod(F.xxhash64(spelling), F.lit(WANTED_BITS)) + 1  # noqa: E731  Spark counts bits and pages from 1
+    pages = wanted.select(at("spelling").alias("at")).groupBy(F.bitmap_bucket_number("at").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("own"), "text").withColumn("at", at("own"))
+    rows = rows.join(F.broadcast(pages), F.bitmap_bucket_number("at") == F.col("page"))
+    bit = F.bitmap_bit_position("at")
+    byte = F.conv(F.hex(F.substring("bits", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    rows = rows.where(byte.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("long")) != 0).select("doc_id", "own", "text")
     return rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["id"]) & (rows["own"] == wanted["spelling"])).select("cls", "text")
 
 

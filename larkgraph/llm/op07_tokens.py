@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, documents
+from .shared import Scratch, documents, small_batches
 from .textblocks import LOWER, PLAIN, Block, KeyTable, blocks, byte_set
 
 
@@ -231,6 +231,7 @@ def write_tokens(docs: DataFrame, path: str, how: Encoding = Encoding()) -> None
     Null and empty texts hold the end id alone. Rows that repeat an id follow each other, in an order that
     their tokens fix. Other columns are not written. An empty table writes files without rows.
     """
+    small_batches(docs.sparkSession)
     writer = encode(docs, how).write.option("compression", "zstd").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
     writer = writer.option("orc.stripe.size", how.stripe_bytes).option("orc.row.index.stride", how.index_rows).option("orc.create.index", "true")
     (writer.option("maxRecordsPerFile", how.rows_a_file) if how.rows_a_file else writer).orc(path)
@@ -258,10 +259,11 @@ def report(spark, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("token_ids")
-            flat, at = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy() - ids.offsets[0].as_py()
+            flat, at = ids.flatten().to_numpy(zero_copy_only=False).astype("<i4", copy=False), ids.offsets.to_numpy() - ids.offsets[0].as_py()
             crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("file", "doc_id", "n_tokens", "row")), pa.array(crc, pa.int64())], ["file", "doc_id", "n_tokens", "row", "ids_crc32"])
 
+    small_batches(spark)
     rows = read_tokens(spark, path).select(F.col("_metadata.file_name").alias("file"), "doc_id", "n_tokens", F.xxhash64("token_ids").alias("row"), "token_ids")
     checked = rows.mapInArrow(run, "file string, doc_id long, n_tokens long, row long, ids_crc32 long")
     files = read_tokens(spark, path).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.sum("n_tokens").alias("file_tokens"))

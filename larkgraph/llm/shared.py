@@ -28,6 +28,17 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: Rows of an Arrow batch. Spark's own 10,000 texts are tens of MB at a time, in the JVM of the executor and in each Python worker.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's tasks hand Python ``BATCH_ROWS`` rows at a time; a number that the session has set holds."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH_ROWS)
+
+
 class Scratch:
     """A folder of written tables for one run of an operator; removed when the driver ends."""
 

@@ -552,3 +552,35 @@ def test_licenses_are_learned_from_one_row_for_paragraphs_of_equal_features(spar
     got = q.weighed(found, "grams", known).groupBy("grams").agg(F.sum("weight").alias("n"), F.count("*").alias("rows")).collect()
     counted = {",".join(r["grams"]): r["n"] for r in got if r["n"] > 1}
     assert counted == {" 1, 2": 250.0, "as,licensed, 1, 2": 250.0} and max(r["rows"] for r in got) <= 5
+
+
+def 
+
+def test_texts_are_looked_up_by_one_python_worker_a_task(spark, docs, rows):
+    """Two Arrow functions in one task need a worker each, and workers stay: with two cores an executor kept four."""
+    from larkgraph.llm import op02_jaccard_join as q
+
+    keyed = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("spelling"))
+    wanted = keyed.where("id % 3 = 0").distinct().select(F.xxhash64("id", "spelling").alias("cls"), "id", "spelling").cache()
+    found = q.texts_of(docs, wanted)
+    want = Counter(r[1] for r in rows if r[0] is not None and r[0] % 3 == 0)
+    assert Counter(r["text"] for r in found.collect()) == want
+    assert q.texts_of(docs, wanted.limit(0)).count() == 0
+    for made in (q.maps_of(docs, wanted), q.sets_of(docs, wanted)):
+        assert made._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    wanted.unpersist()
+
+
+def test_tokens_are_read_in_small_batches(spark, docs):
+    from larkgraph.llm import op07_tokens as q
+    from larkgraph.llm.shared import BATCH_ROWS, small_batches
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    try:
+        q.write_tokens(docs, f"{Scratch(spark, 't7b').path}/tokens")
+        assert spark.conf.get(key) == str(BATCH_ROWS)
+        spark.conf.set(key, 77)
+        small_batches(spark)
+        assert spark.conf.get(key) == "77"
+    finally:
+        spark.conf.unset(key)
