@@ -34,6 +34,8 @@ SEEDS = 256
 WINDOW = 256
 #: Windows that are worked side by side.
 SIDE_BY_SIDE = 1024
+#: Steps after which products are scaled; so many emissions, the least of which is 0.5 over the corpus' size, do not reach the least double.
+SCALED = 8
 #: Key of the token that ends every text.
 END = np.uint64(0x9D5C_7A3B_11E0_4F27)
 #: Share of the overall word distribution in every state's. A word that no training text has is as likely as in the base.
@@ -175,10 +177,12 @@ def transfer(move: np.ndarray, parts: list[np.ndarray]) -> tuple[np.ndarray, np.
     product, scale = np.tile(np.eye(k), (len(parts), 1, 1)), np.zeros(len(parts))
     for t in range(len(emitted)):
         live = int(np.searchsorted(-sizes, -t))  # parts longer than t come first
-        step = (product[:live].reshape(-1, k) @ move).reshape(live, k, k) * emitted[t, :live][:, None, :]
-        norm = step.sum(axis=(1, 2))
-        product[:live] = step / norm[:, None, None]
-        scale[:live] += np.log10(norm)
+        step = (product[:live].reshape(-1, k) @ move).reshape(live, k, k)
+        np.multiply(step, emitted[t, :live][:, None, :], out=product[:live])
+        if t % SCALED == SCALED - 1 or t == len(emitted) - 1:  # parts that ended since are scaled here too
+            norm = product.reshape(len(parts), -1).sum(axis=1)
+            product /= norm[:, None, None]
+            scale += np.log10(norm)
     return product, scale
 
 
@@ -301,8 +305,12 @@ def tail_columns(k: int) -> str:
     return ", ".join(f"s{s} double" for s in range(k))
 
 
-def expectations(texts: DataFrame, model: Model) -> DataFrame:
-    """Summed expectations of all texts: kind 0, a known word's place; 1, another word's key; 2, moves by state, then starts."""
+def partial_expectations(texts: DataFrame, model: Model) -> DataFrame:
+    """Expectations of each task's texts: kind 0, a known word's place; 1, another word's key; 2, moves by state, then starts.
+
+    A task hands on a row for almost every known word, however few texts it has, so there are two tasks a core and
+    not one for each partition. Texts pass through a task; what it holds does not grow with them.
+    """
     sent, k, n = texts.sparkSession.sparkContext.broadcast(model), len(model.start), len(model.emit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,7 +337,14 @@ def expectations(texts: DataFrame, model: Model) -> DataFrame:
         yield rows(2, np.arange(k + 1), np.concatenate([moves, starts[None]]))
 
     schema = f"kind int, key long, {tail_columns(k)}"
-    return texts.select("places", "others", "tail").mapInArrow(run, schema).groupBy("kind", "key").agg(*(F.sum(f"s{s}").cast("float").alias(f"s{s}") for s in range(k)))
+    some = texts.select("places", "others", "tail").coalesce(2 * texts.sparkSession.sparkContext.defaultParallelism)
+    return some.mapInArrow(run, schema)
+
+
+def expectations(texts: DataFrame, model: Model) -> DataFrame:
+    """The sums of ``partial_expectations`` by kind and key."""
+    columns = [f"s{s}" for s in range(len(model.start))]
+    return partial_expectations(texts, model).groupBy("kind", "key").agg(*(F.sum(c).cast("float").alias(c) for c in columns))
 
 
 def meetings(encoded: DataFrame, seeds: int) -> np.ndarray:

@@ -584,3 +584,36 @@ def test_tokens_are_read_in_small_batches(spark, docs):
         assert spark.conf.get(key) == "77"
     finally:
         spark.conf.unset(key)
+
+
+def test_hmm_sums_expectations_over_tasks_not_partitions(spark):
+    """A task hands on a row for each known word, so their number may not follow the partitions."""
+    import numpy as np
+
+    from larkgraph.llm import op08_hmm as q
+
+    model, _ = random_model(q, np.random.default_rng(2), 5, 2)
+    texts = [(np.random.default_rng(i).integers(0, 5, 9).astype(np.int32).tobytes(), b"", None) for i in range(300)]
+    frame = spark.createDataFrame([tuple(map(lambda x: bytearray(x) if isinstance(x, bytes) else x, r)) for r in texts], "places binary, others binary, tail array<struct<key: long, n: long, s0: float, s1: float>>")
+    many, cores = frame.repartition(40), spark.sparkContext.defaultParallelism
+    part = q.partial_expectations(many, model)
+    assert part.rdd.getNumPartitions() <= 2 * cores < 40
+    got, want = (sorted((r[0], r[1], round(r[2], 3), round(r[3], 3)) for r in q.expectations(x, model).collect()) for x in (many, frame.coalesce(1)))
+    assert np.allclose(got, want, atol=0.01) and sum(sum(r[2:]) for r in got if r[0] == 0) == pytest.approx(2700, abs=0.1)
+
+
+def test_hmm_products_of_small_emissions_keep_their_scale():
+    import numpy as np
+
+    from larkgraph.llm import op08_hmm as q
+
+    rng = np.random.default_rng(4)
+    move, parts = np.array([[0.9, 0.1], [0.2, 0.8]]), [rng.random((n, 2)) * 1e-30 for n in (21, 16, 7, 1)]
+    products, scales = q.transfer(move, parts)
+    for part, product, scale in zip(parts, products, scales):
+        want, log = np.eye(2), 0.0
+        for e in part:
+            want = want @ move * e
+            log += math.log10(want.sum())
+            want = want / want.sum()
+        assert np.allclose(product, want) and scale == pytest.approx(log)
