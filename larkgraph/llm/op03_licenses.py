@@ -119,7 +119,7 @@ class Known:
         pairs = F.filter(F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), pair), lambda p: p.isin(self.pairs))
         others = F.size(words) - F.size(own)
         marks = F.slice(F.array(*map(F.lit, OTHERS)), F.lit(1), F.when(others > 0, F.length(F.bin(others))).otherwise(0))
-        return F.concat(F.array_sort(F.array_distinct(F.concat(own, pairs))), marks)
+        return F.concat(F.sort_array(F.array_distinct(F.concat(own, pairs))), marks)
 
     def closeness(self, grams: Column) -> Column:
         """For each template, its family and the share of its word pairs that ``grams`` hold, best first."""
@@ -127,10 +127,11 @@ class Known:
         return F.array_sort(F.array(*shares))
 
 
-def places(docs: DataFrame, how: Settings) -> DataFrame:
-    """doc_id and words of every place that holds enough of a template's word pairs, wherever lines break.
+def near_blocks(docs: DataFrame, how: Settings) -> DataFrame:
+    """doc_id, words and pairs of every block of lines that may hold a notice, and the templates ``near`` to it.
 
-    The places of a block of lines do not overlap; the best come first. Blocks without any of the pairs of
+    A place holds no more of a template's pairs than its whole block does, so only the templates of which the block
+    holds enough are near. Blocks without any of the pairs of
     which every match holds one are left out before, and before that texts without the longer word of any such pair, so
     that most texts are read once by one pattern and not cut into words.
     """
@@ -152,6 +153,16 @@ def places(docs: DataFrame, how: Settings) -> DataFrame:
     pairs = F.zip_with(F.slice("words", F.lit(1), n), F.slice("words", F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
     # Behind an explode, pairs are built once and not again for every use.
     some = words.select("doc_id", F.explode(F.array(F.struct("words", pairs.alias("pairs")))).alias("b")).select("doc_id", "b.words", "b.pairs").where(F.arrays_overlap("pairs", texts(keys)))
+    near = F.filter(own, lambda t: F.size(F.array_intersect("pairs", t["pairs"])) / F.size(t["pairs"]) >= how.shared)
+    return some.select("doc_id", "words", "pairs", F.explode(F.array(near)).alias("near")).where(F.size("near") > 0)
+
+
+def places(docs: DataFrame, how: Settings) -> DataFrame:
+    """doc_id and words of every place that holds enough of a template's word pairs, wherever lines break.
+
+    The places of a block of lines do not overlap; the best come first.
+    """
+    some = near_blocks(docs, how)
 
     def found(t: Column) -> Column:
         at = lambda i: F.array_contains(t["pairs"], F.try_element_at("pairs", i))
@@ -161,7 +172,7 @@ def places(docs: DataFrame, how: Settings) -> DataFrame:
         match = lambda i: F.struct((-share(i)).alias("less"), (-F.size(t["pairs"])).alias("size"), (last(i) - i).alias("length"), i.alias("first"), last(i).alias("last"))
         return F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size("pairs"), F.lit(1))), at), match)
 
-    hits = F.array_sort(F.filter(F.flatten(F.transform(own, found)), lambda x: x["less"] <= -how.shared))
+    hits = F.array_sort(F.filter(F.flatten(F.transform("near", found)), lambda x: x["less"] <= -how.shared))
     none = F.array().cast("array<struct<less:double,size:int,length:int,first:int,last:int>>")
     apart = lambda kept, x: F.when(F.exists(kept, lambda k: (x["first"] <= k["last"]) & (k["first"] <= x["last"])), kept).otherwise(F.concat(kept, F.array(x)))
     some = some.withColumn("hits", F.aggregate(hits, none, apart)).select("doc_id", "words", F.explode("hits").alias("hit"))

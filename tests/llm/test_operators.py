@@ -586,6 +586,16 @@ def test_tokens_are_read_in_small_batches(spark, docs):
         spark.conf.unset(key)
 
 
+def test_only_templates_near_a_block_are_looked_for(spark):
+    from larkgraph.llm import op03_licenses as q
+
+    text = "published by the Free Software Foundation and others " * 3 + "\n\nReleased under the MIT License.\n\nunder the GNU General Public License"
+    docs = spark.createDataFrame([(1, text), (2, "as published by the Free Software Foundation"), (3, None)], "doc_id long, text string")
+    got = [(r["doc_id"], " ".join(r["words"]), len(r["near"])) for r in q.near_blocks(docs, q.Settings()).collect()]
+    assert got == [(1, "released under the mit license", 1)]
+    assert [(r["doc_id"], " ".join(r["words"])) for r in q.places(docs, q.Settings()).collect()] == [(1, "released under the mit license")]
+
+
 def test_hmm_sums_expectations_over_tasks_not_partitions(spark):
     """A task hands on a row for each known word, so their number may not follow the partitions."""
     import numpy as np
