@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stored import keep, spread, written
+from .stored import keep, side, spread, written
 
 
 def closure(edges: DataFrame, most_rounds: int = 32) -> DataFrame:
@@ -19,8 +19,8 @@ def closure(edges: DataFrame, most_rounds: int = 32) -> DataFrame:
     strict = new = pairs.where("node <> ancestor")
     for _ in range(most_rounds):
         further = strict.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("further"))
-        longer = new.join(further, "ancestor").select("node", F.col("further").alias("ancestor")).where("node <> ancestor").distinct()
-        new = keep(longer.join(strict, ["node", "ancestor"], "left_anti"))
+        longer = new.join(side(further), "ancestor").select("node", F.col("further").alias("ancestor")).where("node <> ancestor").distinct()
+        new = keep(longer.join(side(strict), ["node", "ancestor"], "left_anti"))
         if new.isEmpty():
             return strict.unionByName(nodes.select("node", F.col("node").alias("ancestor")))
         strict = strict.unionByName(new)
@@ -36,14 +36,16 @@ def annotated_sizes(annotations: DataFrame, closed: DataFrame) -> DataFrame:
     """
     n = annotations.count()
     inner = written(closed.where("node <> ancestor").select("ancestor").distinct())
+    inner = side(inner, inner.count())
     up = closed.where("node <> ancestor").unionByName(closed.where("node = ancestor").join(inner, "ancestor", "left_semi").select("node", "ancestor"))
     sets = written(up.groupBy("node").agg(F.array_sort(F.collect_set("ancestor")).alias("up")))
     classes = written(sets.select("up").distinct().withColumn("class", F.monotonically_increasing_id()))
+    classes = side(classes, classes.count())
     named = sets.join(classes, "up").select(F.col("node").alias("term"), "class")
     rows = spread(annotations.select("entity", "term"), n, "term")
     leaves = closed.where("node = ancestor").join(inner, "ancestor", "left_anti").select(F.col("node").alias("term")).distinct()
-    own = rows.join(leaves, "term", "left_semi").groupBy("term").agg(F.countDistinct("entity").alias("size"))
-    held = spread(rows.join(named, "term").select("entity", "class"), n, "entity").distinct()
+    own = rows.join(side(leaves), "term", "left_semi").groupBy("term").agg(F.countDistinct("entity").alias("size"))
+    held = spread(rows.join(side(named), "term").select("entity", "class"), n, "entity").distinct()
     held = held.join(classes, "class").select("entity", F.explode("up").alias("term")).distinct()
     return own.unionByName(held.groupBy("term").agg(F.count("entity").alias("size")))
 
@@ -52,7 +54,7 @@ def information_content(annotations: DataFrame, closed: DataFrame) -> DataFrame:
     """(term, ic) for every term: -ln(size / N); one that annotates nothing counts as one of N + 1."""
     n = annotations.agg(F.countDistinct("entity").alias("entities"))
     terms = closed.select(F.col("ancestor").alias("term")).distinct()
-    sizes = terms.join(annotated_sizes(annotations, closed), "term", "left").crossJoin(F.broadcast(n))  # n is one row
+    sizes = terms.join(side(annotated_sizes(annotations, closed)), "term", "left").crossJoin(F.broadcast(n))  # n is one row
     share = F.coalesce(F.col("size") / F.col("entities"), 1.0 / (F.col("entities") + 1))
     return sizes.select("term", (-F.log(share)).alias("ic"))
 
