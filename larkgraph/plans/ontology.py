@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ontology as o
-from ..operators.stored import written
+from ..operators.stored import side, written
 from ..sources import star
 from .registry import query
 
@@ -46,7 +46,7 @@ def ag_08(spark, sf_dir):
     """Process content: terms that annotate nothing count 0."""
     annotations, closure = annotated(spark, sf_dir), closed(spark, sf_dir)
     n = annotations.agg(F.countDistinct("entity").alias("entities"))
-    rows = closure.select(F.col("ancestor").alias("term")).distinct().join(o.annotated_sizes(annotations, closure), "term", "left").crossJoin(F.broadcast(n))
+    rows = closure.select(F.col("ancestor").alias("term")).distinct().join(side(o.annotated_sizes(annotations, closure)), "term", "left").crossJoin(F.broadcast(n))
     return rows.select("term", F.coalesce(F.round(-F.log(F.col("size") / F.col("entities")), 6) + 0.0, F.lit(0.0)).alias("ic"))
 
 
