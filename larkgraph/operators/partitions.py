@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.draws import below, draw, log_factorial
-from .stored import keep, running
+from .stored import keep, running, side
 
 #: Terms of a series that one row stands for before it is spread.
 STRETCH = 1 << 12
@@ -140,19 +142,24 @@ def pair_similarity(pairs: DataFrame, sets: DataFrame, content: DataFrame) -> Da
     Only the sets of the pairs' entities are looked at.
     """
     asked = pairs.select(F.explode(F.array("a", "b")).alias("entity")).distinct()
-    held = keep(sets.join(asked, "entity", "left_semi").join(content.select("term", "ic"), "term").select("entity", "term", "ic"))
+    held = keep(sets.join(asked, "entity", "left_semi").join(side(content.select("term", "ic")), "term").select("entity", "term", "ic"))
     whole = held.groupBy("entity").agg(F.sum("ic").alias("whole"))
     a = pairs.select("i", F.col("a").alias("entity")).join(held, "entity").select("i", "term", "ic")
     b = pairs.select("i", F.col("b").alias("entity")).join(held, "entity").select("i", "term")
-    both = a.join(b, ["i", "term"]).groupBy("i").agg(F.sum("ic").alias("both"))
+    both = a.join(side(b), ["i", "term"]).groupBy("i").agg(F.sum("ic").alias("both"))
     wa, wb = (whole.select(F.col("entity").alias(c), F.col("whole").alias(f"w{c}")) for c in ("a", "b"))
     out = pairs.join(wa, "a", "left").join(wb, "b", "left").join(both, "i", "left")
     shared, wa, wb = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("both", "wa", "wb"))
     return out.select("i", F.coalesce(F.try_divide(shared, wa + wb - shared), F.lit(0.0)).alias("score"))
 
 
-def background(spark: SparkSession, sets: DataFrame, content: DataFrame, pairs: int = 20_000, seed: int = 7, strong: float = 0.95) -> DataFrame:
-    """One row, pairs, strong and median: what similarity two entities have by chance, over at most ``pairs`` seeded pairs."""
-    drawn = keep(random_pairs(spark, sets.select("entity").distinct(), pairs, seed))
+def background(spark: SparkSession, sets: DataFrame | Callable[[DataFrame], DataFrame], content: DataFrame, pairs: int = 20_000, seed: int = 7, strong: float = 0.95, entities: DataFrame | None = None) -> DataFrame:
+    """One row, pairs, strong and median: what similarity two entities have by chance, over at most ``pairs`` seeded pairs.
+
+    ``sets`` may be a function that makes the sets of the entities it is given; ``entities`` are then all that have one.
+    """
+    drawn = keep(random_pairs(spark, sets.select("entity").distinct() if entities is None else entities, pairs, seed))
+    if callable(sets):
+        sets = sets(drawn.select(F.explode(F.array("a", "b")).alias("entity")).distinct())
     score = pair_similarity(drawn, sets, content)
     return score.agg(F.count("*").alias("pairs"), F.percentile("score", F.lit(strong)).alias("strong"), F.percentile("score", F.lit(0.5)).alias("median"))  # of ``pairs`` values

@@ -62,11 +62,17 @@ def gr_12(spark, sf_dir):
 def an_13(spark, sf_dir):
     """What similarity two customers have by chance, from 20,000 seeded pairs."""
     from ..operators.ontology import closure, information_content
-    from ..operators.stored import written
+    from ..operators.stored import side, written
 
     ann = written(annotations(spark, sf_dir).where("n > 0").select("entity", "term"))
     closed = closure(hierarchy(spark, sf_dir))
     content = information_content(ann, closed)
-    own = ann.join(closed.select(F.col("node").alias("term"), "ancestor"), "term").select("entity", F.col("ancestor").alias("term")).where("term <> 'ROOT'").distinct()
-    out = p.background(spark, own, content)
+    # Every node but the root is its own ancestor, so those that hold any know it from their annotations.
+    holders = ann.join(side(closed.where("node = ancestor AND node <> 'ROOT'").select(F.col("node").alias("term"))), "term", "left_semi").select("entity").distinct()
+
+    def own(asked):
+        up = side(closed.select(F.col("node").alias("term"), "ancestor").where("ancestor <> 'ROOT'"))
+        return ann.join(asked, "entity", "left_semi").join(up, "term").select("entity", F.col("ancestor").alias("term")).distinct()
+
+    out = p.background(spark, own, content, entities=holders)
     return out.select("pairs", F.round("strong", 7).alias("strong"), F.round("median", 7).alias("median"))
