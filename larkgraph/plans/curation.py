@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators.ranking import rank_among
+from ..operators.stored import side
 from ..session import table
 from ..sources import star
 from .registry import query
@@ -185,15 +186,30 @@ def jn_05(spark, sf_dir):
 @query("jn_08", "SELECT DISTINCT o_orderkey, p_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON 'D' || (p_partkey % 97) = 'D' || (o_custkey % 97) AND p_size = l_linenumber")
 def jn_08(spark, sf_dir):
     """Studies and terms that name the same heading and size."""
-    mesh = lambda c: F.concat(F.lit("D"), F.col(c) % 97).alias("mesh")
-    # A study holds each size once and a term seldom two, so pairs come out of the join distinct: the least common size gives them.
-    own = _held(spark, sf_dir).groupBy("o_orderkey", mesh("o_custkey")).agg(F.collect_set("l_linenumber").alias("sizes"))
-    own = own.select("o_orderkey", "mesh", "sizes", F.explode("sizes").alias("size"))
-    terms = table(spark, sf_dir, "part").groupBy("p_partkey", mesh("p_partkey")).agg(F.collect_set("p_size").alias("all"))
-    terms = terms.select("p_partkey", "mesh", "all", F.explode("all").alias("size"))
-    both = own.join(terms, ["mesh", "size"])
-    one = (F.size("all") == 1) | (F.col("size") == F.array_min(F.array_intersect("sizes", "all")))
-    return both.where(one).select("o_orderkey", "p_partkey")
+    mesh = lambda c: (F.col(c) % 97).alias("mesh")
+    lines, parts = _lines(spark, sf_dir), table(spark, sf_dir, "part")
+    n = lines.count()
+    # A study holds each size once, so pairs with a term of one size come out of the join distinct.
+    studies = table(spark, sf_dir, "orders").select("o_orderkey", mesh("o_custkey")).repartition("o_orderkey").distinct()
+    sizes = lines.groupBy("l_orderkey").agg(F.collect_set("l_linenumber").alias("sizes"))
+    own = studies.join(sizes, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "mesh", "sizes")
+    terms = parts.groupBy("p_partkey", mesh("p_partkey")).agg(F.collect_set("p_size").alias("all"))
+    one = terms.where("size(all) = 1").select("p_partkey", "mesh", F.col("all")[0].alias("size"))
+    # Studies of a heading are dealt into slices, which every term meets: a task has few headings and studies, and a study's
+    # rows come one behind the other, so that what it writes is a fraction of a byte a row.
+    slices = max(1, -(-n // (1 << 24)))
+    cut = own.select("o_orderkey", "mesh", F.explode("sizes").alias("size"), F.pmod(F.xxhash64("o_orderkey"), F.lit(slices)).cast("int").alias("slice"))
+    each = one.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    cell = ["mesh", "size", "slice"]
+    if -(-n // (1 << 16)) > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        cut, each = (x.repartition(-(-n // (1 << 16)), *cell) for x in (cut, each))
+    out = cut.join(side(each), cell).select("o_orderkey", "p_partkey")
+    many = terms.where("size(all) > 1")
+    if many.isEmpty():
+        return out
+    # A term of several sizes is met by the least that a study has too.
+    both = own.select("o_orderkey", "mesh", "sizes", F.explode("sizes").alias("size")).join(many.select("p_partkey", "mesh", "all", F.explode("all").alias("size")), ["mesh", "size"])
+    return out.unionByName(both.where(F.col("size") == F.array_min(F.array_intersect("sizes", "all"))).select("o_orderkey", "p_partkey"))
 
 
 @query("jn_10", "WITH d AS (SELECT doc_id, source, ' ' || trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')) || ' ' AS norm FROM documents), n AS (SELECT * FROM (VALUES ('mit license'), ('general public license'), ('all rights reserved'), ('licensed under')) AS v(name)) SELECT source, name, count(*) AS texts FROM d JOIN n ON contains(norm, ' ' || name || ' ') GROUP BY 1, 2")

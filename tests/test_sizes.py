@@ -133,3 +133,19 @@ def test_words_stay_where_they_are_when_the_dictionary_is_small(spark):
     assert "SortMergeJoin" not in found._jdf.queryExecution().sparkPlan().toString()
     twice = found.unionByName(found)  # rows of one span don't hold each other
     assert sorted((r["id"], r["start"], r["n"]) for r in longest(twice).collect()) == [(1, 2, 3)] * 2 + [(2, 1, 1)] * 2
+
+
+def test_studies_meet_terms_in_slices(spark, tables, monkeypatch):
+    """Only keys, headings and sizes are dealt to the terms, not the lines' columns or the sets of sizes."""
+    from larkgraph.plans.catalog import ORACLES, QUERIES
+
+    at, ask = tables(
+        orders=([(i, i * 7 % 200) for i in range(60)] + [(3, 5), (4, None)], "o_orderkey long, o_custkey long"),
+        lineitem=([(i % 60, 1 + i % 4) for i in range(300)] + [(7, None)], "l_orderkey long, l_linenumber int"),
+        part=([(i, 1 + i % 5) for i in range(200)], "p_partkey long, p_size int"),
+    )
+    out = QUERIES["jn_08"](spark, at)
+    assert sorted(tuple(r) for r in out.collect()) == ask(ORACLES["jn_08"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    dealt = plan.split("Join", 1)[1].split("\n")[1]
+    assert "mesh" in dealt and "size#" in dealt and "sizes" not in dealt
