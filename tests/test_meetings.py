@@ -33,3 +33,17 @@ def test_pairs_are_not_shuffled(spark):
 
     plan = QUERIES["an_10"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan.split("FlatMapGroupsInArrow")[0]  # what comes out isn't grouped again
+
+
+def test_sizes_come_along_and_ranges_serve_what_is_grouped(spark):
+    """Lines are not shuffled again for what their entities carry."""
+    from larkgraph.operators import meetings
+    from larkgraph.plans.catalog import QUERIES
+
+    rows = spark.createDataFrame([(e, t, 1, 10 * e) for e in range(9) for t in range(e % 4 + 1)], "entity long, term long, value long, size long")
+    for dealt in (False, True):
+        got = meetings.shared_terms(meetings.ranges(rows, 8192, 4096) if dealt else rows, lambda x, y: x, dealt=dealt).collect()
+        assert len(got) == 36 and all(r["size_a"] == 10 * r["a"] and r["size_b"] == 10 * r["b"] for r in got)
+        assert all(r["shared"] == min(r["a"] % 4, r["b"] % 4) + 1 for r in got)
+    plan = QUERIES["an_10"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # rows meet the ranges of their term once
