@@ -78,6 +78,8 @@ def decide(rows: DataFrame, policy: Policy, reviews: DataFrame, digest: str) ->
         known = known | ((F.col("rule") == rule) & (F.col("rule_version") == version) & (F.col("predicate") == predicate))
     receipt = (F.coalesce("evidence_url", F.lit("")) != "") & (F.coalesce("evidence_locator", F.lit("")) != "") & F.coalesce(F.col("evidence_sha256").rlike("^[0-9a-fA-F]{64}$"), F.lit(False))
     last = reviews.where(F.col("input_digest") == digest).groupBy("assertion").agg(F.max_by("revoked", F.struct("reviewed_at", "revoked")).alias("_revoked"))
+    # Digests meet as bytes, half as long as their letters; what is no digest meets nothing.
+    last = last.where(F.col("assertion").rlike("^[0-9a-f]{64}$")).select(F.unhex("assertion").alias("_key"), "_revoked")
     own = F.coalesce(F.col("rule"), F.lit(""))
     ladder = F.coalesce(
         ineligible(F.col("subject"), F.col("object"), F.coalesce("justification", F.lit("")), F.coalesce("conflict", F.lit("")), own),
@@ -85,8 +87,8 @@ def decide(rows: DataFrame, policy: Policy, reviews: DataFrame, digest: str) ->
         F.when(~receipt, "missing_evidence_receipt"),
     )
     # The ladder stands before the join, which then carries its reason and not all that it reads.
-    first = rows.withColumn("_why", F.when(states, ladder)).join(last, "assertion", "left")
-    first = first.withColumn("_reason", F.when(states & F.col("_revoked"), "review_revoked").otherwise(F.col("_why"))).drop("_revoked", "_why")
+    first = rows.withColumn("_why", F.when(states, ladder)).withColumn("_key", F.unhex("assertion")).join(last, "_key", "left")
+    first = first.withColumn("_reason", F.when(states & F.col("_revoked"), "review_revoked").otherwise(F.col("_why"))).drop("_revoked", "_why", "_key")
     links = first.where(states & F.col("_reason").isNull()).select(F.col("subject").alias("a"), F.col("object").alias("b"))
     named = components(links)
     kinds = named.groupBy("component", prefix(F.col("node")).alias("p")).agg(F.count("*").alias("n")).where((F.col("n") > 1) & ~F.col("p").isin(*ALIASES))

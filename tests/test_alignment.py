@@ -264,3 +264,19 @@ def test_longer_spans_hold_shorter_ones_but_not_overlaps(spark):
     spans = [(1, 0, 3, "x"), (1, 1, 2, "y"), (1, 2, 2, "z"), (1, 0, 3, "w"), (1, 0, 1, "v"), (2, 2, 1, "u"), (1, 9, 1, "t")]
     got = m.longest(spark.createDataFrame(spans, "id int, start int, n int, phrase string"))
     assert {r["phrase"] for r in got.collect()} == {"x", "w", "z", "u", "t"}
+
+
+def test_digests_go_through_shuffles_as_bytes(spark):
+    import hashlib
+
+    from larkgraph.operators.stored import WIDTHS, fingerprint
+
+    level = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(40)] + ["ab" * 32] * 2
+    out = fingerprint(spark.createDataFrame([(h,) for h in level], "h string").repartition(3))
+    for width in WIDTHS:
+        groups = {}
+        for h in level:
+            groups.setdefault(h[:width], []).append(h)
+        level = [k + hashlib.sha256("".join(sorted(v)).encode()).hexdigest() for k, v in groups.items()]
+    assert [r[0] for r in out.collect()] == level
+    assert "collect_list(unhex(h" in out._jdf.queryExecution().optimizedPlan().toString()
